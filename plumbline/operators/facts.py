@@ -50,7 +50,7 @@ FACTS = T.StructType(
             T.StructField(n, T.LongType())
             for n in (
                 "rows", "non_null", "blank", "octets",
-                "short_numbers", "iso", "delimited", "named", "dates", "dates_in_range",
+                "date_values", "short_numbers", "iso", "delimited", "named", "dates", "dates_in_range",
                 "truth_bits",
                 "len_min", "len_max", "len_sum",
                 "at_sign", "email_ok", "phone_ok", "stamps", "stamps_ok",
@@ -369,11 +369,12 @@ def beyond_limits(
 
 
 def constant_values(df: DataFrame, ordinals: Sequence[int]) -> dict[int, str]:
-    """The text of the one value of each constant column."""
+    """The start of the one value of each constant column, enough to show it."""
     if not ordinals:
         return {}
     fields = df.schema.fields
     picks = [
-        X.text(F.any_value(X.ref(fields[i].name), F.lit(True))).alias(str(i)) for i in ordinals
+        F.substring(X.text(F.any_value(X.ref(fields[i].name), F.lit(True))), 1, 41).alias(str(i))
+        for i in ordinals
     ]
     return {int(i): v for i, v in df.agg(*picks).first().asDict().items()}

@@ -3,61 +3,78 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import constants as k
-from plumbline.functions import exprs as X
+from plumbline.functions import sqltext as Q
 
 COLUMNS = (
     "dataset_id", "ordinal", "type", "severity", "column", "affected_rows", "percentage",
     "description", "method",
 )
+SCHEMA = (
+    "dataset_id string, ordinal int, type string, severity string, column string, "
+    "affected_rows bigint, percentage double, description string, method string"
+)
 SEVERITIES = ("high", "medium", "low")
 
 
-def issue(
-    rule: str,
-    applies: Column,
-    affected: Column,
-    percentage: Column,
-    *,
-    severity: Column | None = None,
-    as_type: str | None = None,
-    column: Column | None = None,
-    **slots: Column,
-) -> Column:
-    """One issue as a struct when the rule applies, else null."""
-    fixed_severity, method, description = k.ISSUES[rule]
-    slots |= {"c": F.col("column"), "n": affected, "p": percentage}
-    return F.when(
-        applies,
-        F.struct(
-            F.lit(as_type or rule).alias("type"),
-            (F.lit(fixed_severity) if severity is None else severity).alias("severity"),
-            (F.col("column") if column is None else column).alias("column"),
-            affected.cast("bigint").alias("affected_rows"),
-            percentage.cast("double").alias("percentage"),
-            X.fill(description, **slots).alias("description"),
-            X.fill(method, **slots).alias("method"),
-        ),
+@dataclass(frozen=True)
+class Rule:
+    """One line of the issue catalogue with its condition over a facts row, as SQL.
+
+    Modules order the issue list; within a module issues follow the columns.
+    """
+
+    name: str
+    module: int
+    when: str
+    affected: str
+    type: str | None = None
+    severity: str | None = None
+    slots: dict[str, str] = field(default_factory=dict)
+
+    def sql(self) -> str:
+        severity, method, description = k.ISSUES[self.name]
+        percentage = Q.pct(self.affected)
+        slots = {"c": "column", "n": self.affected, "p": percentage} | self.slots
+        return (
+            f"if({self.when}, named_struct("
+            f"'module', {self.module}, "
+            f"'type', {Q.literal(self.type or self.name)}, "
+            f"'severity', {self.severity or Q.literal(severity)}, "
+            f"'affected_rows', cast({self.affected} as bigint), "
+            f"'percentage', {percentage}, "
+            f"'description', {Q.fill(description, **slots)}, "
+            f"'method', {Q.fill(method, **slots)}), null)"
+        )
+
+
+def apply_rules(facts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The issues of every facts row, with their place in the detection order."""
+    found = facts.selectExpr(
+        "dataset_id",
+        "ordinal as column_no",
+        "column",
+        f"posexplode(array({', '.join(r.sql() for r in rules)})) as (rule_no, found)",
+    ).where("found is not null")
+    return found.selectExpr(
+        "dataset_id",
+        "struct(found.module, column_no, rule_no) as place",
+        "found.type",
+        "found.severity",
+        "column",
+        "found.affected_rows",
+        "found.percentage",
+        "found.description",
+        "found.method",
     )
 
 
-def issue_rows(facts: DataFrame, issues: Sequence[Column], module: int) -> DataFrame:
-    """Explode the issues of each facts row, placed by module, column and rule."""
-    found = F.filter(F.array(*issues), lambda i: i.isNotNull())
-    exploded = facts.select(
-        "dataset_id", F.col("ordinal").alias("__column_no"), F.posexplode(found)
-    )
-    place = F.struct(
-        F.lit(module).alias("module"), F.col("__column_no"), F.col("pos").alias("rule_no")
-    )
-    return exploded.select("dataset_id", place.alias("place"), "col.*")
-
-
 def number(issues: DataFrame) -> DataFrame:
     """Issue rows in detection order, numbered from 1 within each dataset."""
     order = Window.partitionBy("dataset_id").orderBy("place")
@@ -71,7 +88,7 @@ def severity_weight(c: Column) -> Column:
 def count_by_severity(issues: DataFrame, datasets: DataFrame) -> DataFrame:
     """Always high, medium and low per dataset, with zero where nothing was found."""
     levels = F.explode(F.array(*map(F.lit, SEVERITIES))).alias("severity")
-    all_levels = datasets.select("dataset_id").distinct().select("dataset_id", levels)
+    all_levels = datasets.select("dataset_id", levels)
     counts = issues.groupBy("dataset_id", F.lower("severity").alias("severity")).agg(
         F.count("*").alias("issues")
     )

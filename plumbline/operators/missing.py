@@ -1,41 +1,23 @@
-"""Completeness rules over column facts."""
+"""Completeness rules: nulls plus whitespace-only text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from plumbline.functions import sqltext as Q
+from plumbline.operators.issues import Rule
 
-from plumbline.functions import exprs as X
-from plumbline.operators.issues import issue, issue_rows
+MISSING = "(rows - non_null + coalesce(blank, 0))"
+_SHARE = Q.pct(MISSING)
+_SOME = f"{MISSING} > 0 and {MISSING} < rows"
 
-
-def missing_count() -> Column:
-    """Nulls plus whitespace-only text."""
-    return F.col("rows") - F.col("non_null") + F.coalesce("blank", F.lit(0))
-
-
-def missing_issues(facts: DataFrame) -> DataFrame:
-    n = missing_count()
-    p = X.pct(n, F.col("rows"))
-    kind = (
-        F.when(n == F.col("rows"), "empty_column")
-        .when(p >= 50, "high_missing_percentage")
-        .when(p >= 20, "elevated_missing_percentage")
-        .otherwise("missing_values")
-    )
-    return issue_rows(
-        facts.where((F.col("rows") > 0) & (n > 0)),
-        [
-            issue("empty_column", kind == "empty_column", n, p),
-            issue("high_missing_percentage", kind == "high_missing_percentage", n, p),
-            issue(
-                "elevated_missing_percentage",
-                kind == "elevated_missing_percentage",
-                n,
-                p,
-                as_type="high_missing_percentage",
-            ),
-            issue("missing_values", kind == "missing_values", n, p),
-        ],
-        module=0,
-    )
+RULES = (
+    Rule("empty_column", 0, f"rows > 0 and {MISSING} = rows", MISSING),
+    Rule("high_missing_percentage", 0, f"{_SOME} and {_SHARE} >= 50", MISSING),
+    Rule(
+        "elevated_missing_percentage",
+        0,
+        f"{_SOME} and {_SHARE} >= 20 and {_SHARE} < 50",
+        MISSING,
+        type="high_missing_percentage",
+    ),
+    Rule("missing_values", 0, f"{_SOME} and {_SHARE} < 20", MISSING),
+)

@@ -1,43 +1,38 @@
-"""Tukey fences and outlier issues over column facts."""
+"""Tukey fences and the outlier rule over column facts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from plumbline.functions import exprs as X
-from plumbline.operators.facts import NUMERIC
-from plumbline.operators.issues import issue, issue_rows
+from plumbline.functions import sqltext as Q
+from plumbline.operators.issues import Rule
 
 MIN_VALUES = 4
 
+_SHARE = Q.pct("outliers")
+RULES = (
+    Rule(
+        "outliers",
+        3,
+        "outliers > 0",
+        "outliers",
+        severity=f"case when {_SHARE} >= 10 then 'high' when {_SHARE} >= 3 then 'medium' "
+        "else 'low' end",
+        slots={"lo": Q.fixed("lower", 2), "hi": Q.fixed("upper", 2)},
+    ),
+)
+
 
 def fence_rows(facts: DataFrame) -> DataFrame:
     """Fences of every numeric column with enough values and a positive IQR."""
-    iqr = F.col("q75") - F.col("q25")
     return facts.where(
-        F.col("kind").isin(*NUMERIC)
-        & (F.col("rows") >= MIN_VALUES)
-        & (F.col("non_null") >= MIN_VALUES)
-        & (iqr > 0)
-    ).select(
+        f"rows >= {MIN_VALUES} and non_null >= {MIN_VALUES} and q75 - q25 > 0"
+    ).selectExpr(
         "dataset_id",
-        F.col("column").alias("column"),
-        F.round("q25", 4).alias("q25"),
-        F.round("q75", 4).alias("q75"),
-        F.round(iqr, 4).alias("iqr"),
-        F.round(F.col("q25") - 1.5 * iqr, 4).alias("lower_bound"),
-        F.round(F.col("q75") + 1.5 * iqr, 4).alias("upper_bound"),
-    )
-
-
-def outlier_issues(facts: DataFrame) -> DataFrame:
-    n = F.col("outliers")
-    p = X.pct(n, F.col("rows"))
-    severity = F.when(p >= 10, "high").when(p >= 3, "medium").otherwise("low")
-    bounds = {"lo": X.fixed(F.col("lower"), 2), "hi": X.fixed(F.col("upper"), 2)}
-    return issue_rows(
-        facts.where(F.col("kind").isin(*NUMERIC)),
-        [issue("outliers", n > 0, n, p, severity=severity, **bounds)],
-        module=3,
+        "column",
+        "round(q25, 4) as q25",
+        "round(q75, 4) as q75",
+        "round(q75 - q25, 4) as iqr",
+        "round(q25 - 1.5D * (q75 - q25), 4) as lower_bound",
+        "round(q75 + 1.5D * (q75 - q25), 4) as upper_bound",
     )

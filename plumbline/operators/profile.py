@@ -72,18 +72,20 @@ def footprint(facts: DataFrame) -> DataFrame:
 def with_types(facts: DataFrame) -> DataFrame:
     """Adds date detection and the logical type of every column."""
     n = F.nullif(F.col("non_null"), F.lit(0))
+    looked_at = F.coalesce("date_values", "non_null")
+    seen = F.nullif(looked_at, F.lit(0))
     iso, delimited, named = map(F.col, ("iso", "delimited", "named"))
     family = (
-        F.when(iso / n >= 0.8, "ISO 8601 (YYYY-MM-DD)")
-        .when(delimited / n >= 0.8, "Delimited Date (MM/DD/YYYY or DD/MM/YYYY)")
-        .when(named / n >= 0.8, "Named Month Date")
-        .when((iso + delimited + named) / n >= 0.7, "Standard Date")
+        F.when(iso / seen >= 0.8, "ISO 8601 (YYYY-MM-DD)")
+        .when(delimited / seen >= 0.8, "Delimited Date (MM/DD/YYYY or DD/MM/YYYY)")
+        .when(named / seen >= 0.8, "Named Month Date")
+        .when((iso + delimited + named) / seen >= 0.7, "Standard Date")
     )
     written_date = (
         (F.col("kind") == STRING)
-        & (F.col("short_numbers") / n <= 0.3)
+        & (F.col("short_numbers") / seen <= 0.3)
         & family.isNotNull()
-        & (F.col("dates") / n >= 0.9)
+        & (F.col("dates") / seen >= 0.9)
         & (F.col("dates") == F.col("dates_in_range"))
     )
     temporal = F.col("kind") == TEMPORAL
@@ -98,7 +100,7 @@ def with_types(facts: DataFrame) -> DataFrame:
         facts.withColumn("is_date", is_date)
         .withColumn(
             "date_confidence",
-            F.when(temporal, 1.0).when(is_date, X.quotient(F.col("dates"), filled, 100)),
+            F.when(temporal, 1.0).when(is_date, X.quotient(F.col("dates"), looked_at, 100)),
         )
         .withColumn("date_format", F.when(temporal, "datetime64").when(is_date, family))
         .withColumn("date_earliest", F.when(is_date, F.col("earliest")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import constants as k
-from plumbline.functions import exprs as X
+from plumbline.functions import sqltext as Q
 
 DIMENSIONS = ("completeness", "validity", "uniqueness", "consistency")
 VALIDITY_TYPES = (
@@ -22,103 +22,106 @@ TEXT_TYPES = (
     "whitespace_formatting_anomaly",
 )
 
-_POINTS = "decimal(20,6)"
 
+def _flat(points: float) -> str:
+    return f"cast({points} as decimal(20,6))"
 
-def _decimal(c: Column | float) -> Column:
-    return (F.lit(c) if isinstance(c, (int, float)) else c).cast(_POINTS)
 
+def _share(factor: float, low: float, high: float, percentage: str = "percentage") -> str:
+    exact = f"cast(cast({percentage} as decimal(9,2)) * cast({factor} as decimal(9,4)) as decimal(20,6))"
+    return f"least({_flat(high)}, greatest({_flat(low)}, {exact}))"
 
-def _share(percentage: Column, factor: float, low: float | None, high: float) -> Column:
-    points = (_decimal(percentage) * F.lit(factor).cast("decimal(9,3)")).cast(_POINTS)
-    if low is not None:
-        points = F.greatest(_decimal(low), points)
-    return F.least(_decimal(high), points)
 
-
-def deductions(
-    issues: DataFrame, dimensions: DataFrame, penalties: dict = k.SCORE_PENALTIES
-) -> DataFrame:
-    """Every deduction: dimension, position, points and note."""
-    kind, p = F.col("type"), F.col("percentage")
-    high = F.col("severity") == "high"
+def _rules(penalties: dict) -> list[tuple[str, str, str, str]]:
+    """(dimension, condition, points, note) for each kind of issue, as SQL."""
     w = penalties
-    rules = [
-        ("completeness", kind == "empty_column", _decimal(w["empty_column"]), "empty_column"),
+    is_high = "severity = 'high'"
+    is_type = lambda t: f"type = '{t}'"
+    return [
         (
             "completeness",
-            kind == "high_missing_percentage",
-            F.when(high, _decimal(w["high_missing"])).otherwise(_decimal(w["elevated_missing"])),
-            "high_missing_percentage",
+            is_type("empty_column"),
+            _flat(w["empty_column"]),
+            k.SCORE_NOTES["empty_column"],
+        ),
+        (
+            "completeness",
+            is_type("high_missing_percentage"),
+            f"if({is_high}, {_flat(w['high_missing'])}, {_flat(w['elevated_missing'])})",
+            k.SCORE_NOTES["high_missing_percentage"],
         ),
         (
             "validity",
-            kind.isin(*VALIDITY_TYPES),
-            F.when(high, _share(p, w["high_factor"], 5, 35)).otherwise(
-                _share(p, w["medium_factor"], 5, 35)
-            ),
-            "validity",
+            f"type in ({Q.words(VALIDITY_TYPES)})",
+            f"if({is_high}, {_share(w['high_factor'], 5, 35)}, "
+            f"{_share(w['medium_factor'], 5, 35)})",
+            k.SCORE_NOTES["validity"].replace("{y}", "{y_words}"),
         ),
-        ("uniqueness", kind == "duplicate_rows", _share(p, 1.5, None, 60), "duplicate_rows"),
+        *[
+            ("uniqueness", is_type(t), _share(factor, 0, most), k.SCORE_NOTES[t])
+            for t, factor, most in (
+                ("duplicate_rows", 1.5, 60),
+                ("duplicate_identifier", 1.2, 40),
+                ("normalized_duplicate_rows", 0.8, 25),
+            )
+        ],
         (
-            "uniqueness",
-            kind == "duplicate_identifier",
-            _share(p, 1.2, None, 40),
-            "duplicate_identifier",
+            "consistency",
+            is_type("constant_column"),
+            _flat(w["constant"]),
+            k.SCORE_NOTES["constant_column"],
         ),
         (
-            "uniqueness",
-            kind == "normalized_duplicate_rows",
-            _share(p, 0.8, None, 25),
-            "normalized_duplicate_rows",
+            "consistency",
+            is_type("low_variance_column"),
+            _flat(w["low_variance"]),
+            k.SCORE_NOTES["low_variance_column"],
         ),
-        ("consistency", kind == "constant_column", _decimal(w["constant"]), "constant_column"),
+        ("consistency", is_type("outliers"), _share(0.5, 3, 20), k.SCORE_NOTES["outliers"]),
         (
             "consistency",
-            kind == "low_variance_column",
-            _decimal(w["low_variance"]),
-            "low_variance_column",
+            f"type in ({Q.words(TEXT_TYPES)})",
+            _share(0.3, 2, 15),
+            k.SCORE_NOTES["text"],
         ),
-        ("consistency", kind == "outliers", _share(p, 0.5, 3, 20), "outliers"),
-        ("consistency", kind.isin(*TEXT_TYPES), _share(p, 0.3, 2, 15), "text"),
     ]
-    dimension = points = note = None
-    for name, applies, value, template in rules:
-        slots = {
-            "c": F.coalesce("column", F.lit("None")),
-            "n": F.col("affected_rows"),
-            "p": p,
-            "d": X.fixed(value, 1),
-            "y": F.replace(kind, F.lit("_"), F.lit(" ")) if template == "validity" else kind,
-        }
-        text = X.fill(k.SCORE_NOTES[template], **slots)
-        if dimension is None:
-            dimension, points, note = F.when(applies, name), F.when(applies, value), F.when(applies, text)
-        else:
-            dimension = dimension.when(applies, name)
-            points = points.when(applies, value)
-            note = note.when(applies, text)
-    from_issues = issues.select(
-        "dataset_id",
-        dimension.alias("dimension"),
-        F.col("ordinal").cast("int").alias("position"),
-        points.alias("points"),
-        note.alias("note"),
-    ).where("dimension is not null")
-
-    null_pct = X.pct(F.col("null_cells"), F.col("total_cells"))
-    null_points = _share(null_pct, 1.0, None, 40)
-    from_nulls = dimensions.where("null_cells > 0").select(
-        "dataset_id",
-        F.lit("completeness").alias("dimension"),
-        F.lit(0).alias("position"),
-        null_points.alias("points"),
-        X.fill(
-            k.SCORE_NOTES["null_cells"],
-            n=F.col("null_cells"),
-            p=null_pct,
-            d=X.fixed(null_points, 1),
-        ).alias("note"),
+
+
+_SLOTS = {
+    "c": "column",
+    "n": "affected_rows",
+    "p": "percentage",
+    "d": Q.fixed("points", 1),
+    "y": "type",
+    "y_words": "replace(type, '_', ' ')",
+}
+
+
+def deductions(
+    issues: DataFrame, dimensions: DataFrame, penalties: dict = k.SCORE_PENALTIES
+) -> DataFrame:
+    """Every deduction: dimension, position in the issue list, points and note."""
+    rules = _rules(penalties)
+    dimension = Q.choose([(when, Q.literal(d)) for d, when, _, _ in rules])
+    points = Q.choose([(when, value) for _, when, value, _ in rules])
+    note = Q.choose([(when, Q.fill(template, **_SLOTS)) for _, when, _, template in rules])
+    from_issues = (
+        issues.selectExpr("*", f"{dimension} as dimension", f"{points} as points")
+        .where("dimension is not null")
+        .selectExpr("dataset_id", "dimension", "ordinal as position", "points", f"{note} as note")
+    )
+    null_pct = Q.pct("null_cells", "total_cells")
+    from_nulls = (
+        dimensions.where("null_cells > 0")
+        .selectExpr("dataset_id", "null_cells as affected_rows", f"{null_pct} as percentage")
+        .selectExpr("*", f"{_share(1, 0, 40)} as points")
+        .selectExpr(
+            "dataset_id",
+            "'completeness' as dimension",
+            "0 as position",
+            "points",
+            f"{Q.fill(k.SCORE_NOTES['null_cells'], **_SLOTS)} as note",
+        )
     )
     return from_nulls.unionByName(from_issues)
 
@@ -127,27 +130,24 @@ def dimension_scores(
     issues: DataFrame, dimensions: DataFrame, penalties: dict = k.SCORE_PENALTIES
 ) -> DataFrame:
     """Four rows per dataset: dimension, points lost, score, notes in issue order."""
-    each = F.explode(F.array(*map(F.lit, DIMENSIONS))).alias("dimension")
-    wanted = dimensions.select("dataset_id", each)
-    lost = (
-        deductions(issues, dimensions, penalties)
-        .groupBy("dataset_id", "dimension")
+    wanted = dimensions.selectExpr(
+        "dataset_id", f"explode(array({Q.words(DIMENSIONS)})) as dimension"
+    )
+    lost = deductions(issues, dimensions, penalties)
+    joined = wanted.join(lost, ["dataset_id", "dimension"], "left")
+    return (
+        joined.groupBy("dataset_id", "dimension")
         .agg(
-            F.sum("points").alias("points"),
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("position", "note"))),
-                lambda d: d["note"],
-            ).alias("notes"),
+            F.expr("coalesce(sum(points), cast(0 as decimal(20,6)))").alias("points"),
+            F.expr("collect_list(if(note is null, null, struct(position, note)))").alias("found"),
+        )
+        .selectExpr(
+            "dataset_id",
+            "dimension",
+            "cast(points as double) as deducted",
+            "greatest(0, least(100, cast(bround(100 - points, 0) as int))) as score",
+            "transform(array_sort(found), d -> d.note) as notes",
         )
-    )
-    points = F.coalesce(F.col("points"), _decimal(0))
-    rounded = F.bround((F.lit(100) - points).cast(_POINTS), 0).cast("int")
-    return wanted.join(lost, ["dataset_id", "dimension"], "left").select(
-        "dataset_id",
-        "dimension",
-        points.cast("double").alias("deducted"),
-        F.greatest(F.lit(0), F.least(F.lit(100), rounded)).alias("score"),
-        F.coalesce("notes", F.array().cast("array<string>")).alias("notes"),
     )
 
 
@@ -158,52 +158,35 @@ def score(
     penalties: dict = k.SCORE_PENALTIES,
 ) -> DataFrame:
     """One row per dataset: overall, the four dimensions and the explanation."""
-    per_dimension = dimension_scores(issues, dimensions, penalties)
-    capital = F.initcap("dimension")
-    perfect = F.create_map(*[F.lit(x) for kv in k.SCORE_PERFECT.items() for x in kv])
-    line = F.when(
-        F.size("notes") > 0,
-        X.fill(
-            k.SCORE_LINE, k=capital, s=F.col("score"), notes=F.array_join("notes", "; ")
-        ),
-    ).otherwise(
-        X.fill(
-            k.SCORE_LINE_PERFECT,
-            k=capital,
-            s=F.col("score"),
-            notes=F.element_at(perfect, F.col("dimension")),
-        )
-    )
-    wide = (
-        per_dimension.withColumn("line", line)
-        .groupBy("dataset_id")
-        .agg(
-            *[F.max(F.when(F.col("dimension") == d, F.col("score"))).alias(d) for d in DIMENSIONS],
-            *[
-                F.max(F.when(F.col("dimension") == d, F.col("line"))).alias(f"{d}_line")
-                for d in DIMENSIONS
-            ],
-        )
+    perfect = Q.choose(
+        [(f"dimension = '{d}'", Q.literal(text)) for d, text in k.SCORE_PERFECT.items()]
     )
-    raw = sum(
-        (F.lit(weights[d]).cast("decimal(9,4)") * F.col(d) for d in DIMENSIONS),
-        F.lit(0).cast("decimal(9,4)"),
+    head = {"k": "initcap(dimension)", "s": "score"}
+    with_notes = Q.fill(k.SCORE_LINE, **head, notes="array_join(notes, '; ')")
+    without = Q.fill(k.SCORE_LINE_PERFECT, **head, notes=perfect)
+    lines = dimension_scores(issues, dimensions, penalties).selectExpr(
+        "dataset_id", "dimension", "score", f"if(size(notes) > 0, {with_notes}, {without}) as line"
     )
-    rounded = F.bround(raw.cast(_POINTS), 0).cast("int")
-    overall = F.greatest(F.lit(0), F.least(F.lit(100), rounded))
-    top_line = X.fill(
-        k.SCORE_OVERALL_LINE,
-        s=F.col("overall"),
-        **{
-            slot: F.lit(int(weights[d] * 100))
-            for slot, d in zip(("wc", "wv", "wu", "ws"), DIMENSIONS, strict=True)
-        },
+    wide = lines.groupBy("dataset_id").agg(
+        *[
+            F.expr(f"max({value}) filter (where dimension = '{d}')").alias(f"{d}{suffix}")
+            for value, suffix in (("score", ""), ("line", "_line"))
+            for d in DIMENSIONS
+        ]
     )
-    return wide.withColumn("overall", overall).select(
+    weighted = " + ".join(f"cast({weights[d]} as decimal(9,4)) * {d}" for d in DIMENSIONS)
+    shares = {
+        slot: str(int(weights[d] * 100))
+        for slot, d in zip(("wc", "wv", "wu", "ws"), DIMENSIONS, strict=True)
+    }
+    top_line = Q.fill(k.SCORE_OVERALL_LINE, s="overall", **shares)
+    return wide.selectExpr(
+        "*", f"greatest(0, least(100, cast(bround({weighted}, 0) as int))) as overall"
+    ).selectExpr(
         "dataset_id",
         "overall",
         *DIMENSIONS,
-        F.array(top_line, *[F.col(f"{d}_line") for d in DIMENSIONS]).alias("explanation"),
+        f"array({top_line}, {', '.join(d + '_line' for d in DIMENSIONS)}) as explanation",
     )
 
 

@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from plumbline.functions import sqltext as Q
+from plumbline.operators.issues import Rule
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from plumbline.functions import exprs as X
-from plumbline.operators.facts import STRING
-from plumbline.operators.issues import issue, issue_rows
-
-RULES = (
-    "near_empty_text", "extremely_long_text", "repeated_text_anomaly",
-    "whitespace_formatting_anomaly",
-)
-
-
-def texture_issues(facts: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
-    rows = F.col("rows")
-    p = lambda n: X.pct(n, rows)
-    short, long = F.col("near_empty"), F.col("too_long")
-    repetitive, spaced = F.col("repetitive"), F.col("badly_spaced")
-    rule = {
-        "near_empty_text": lambda: issue(
-            "near_empty_text",
-            (short > 0) & (F.col("len_mean") > 3),
-            short,
-            p(short),
-            severity=F.when(p(short) >= 5, "medium").otherwise("low"),
-        ),
-        "extremely_long_text": lambda: issue(
-            "extremely_long_text", long > 0, long, p(long), t=F.col("length_limit")
-        ),
-        "repeated_text_anomaly": lambda: issue(
-            "repeated_text_anomaly", repetitive > 0, repetitive, p(repetitive)
-        ),
-        "whitespace_formatting_anomaly": lambda: issue(
-            "whitespace_formatting_anomaly", spaced > 0, spaced, p(spaced)
-        ),
-    }
-    return issue_rows(
-        facts.where((F.col("kind") == STRING) & (F.col("non_null") > 0)),
-        [rule[r]() for r in rules],
-        module=4,
-    )
+NEAR_EMPTY = Rule(
+    "near_empty_text",
+    4,
+    "near_empty > 0 and len_mean > 3",
+    "near_empty",
+    severity=f"if({Q.pct('near_empty')} >= 5, 'medium', 'low')",
+)
+LONG = Rule(
+    "extremely_long_text", 4, "too_long > 0", "too_long", slots={"t": "length_limit"}
+)
+REPEATED = Rule("repeated_text_anomaly", 4, "repetitive > 0", "repetitive")
+SPACING = Rule("whitespace_formatting_anomaly", 4, "badly_spaced > 0", "badly_spaced")
+RULES = (NEAR_EMPTY, LONG, REPEATED, SPACING)

@@ -1,50 +1,32 @@
-"""Uniqueness rules over column facts and row-duplicate counts."""
+"""Uniqueness rules: identifiers from column facts, row copies from their counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from plumbline.functions import exprs as X
-from plumbline.operators.issues import issue, issue_rows
-
-
-def duplicate_row_issues(counts: DataFrame) -> DataFrame:
-    """From the one-row duplicate counts of a dataset (with dataset_id)."""
-    rows, affected, extra = map(F.col, ("rows", "exact_affected", "exact_extra"))
-    facts = counts.withColumn("ordinal", F.lit(-1)).withColumn(
-        "column", F.lit(None).cast("string")
-    )
-    return issue_rows(
-        facts.where(rows > 1),
-        [issue("duplicate_rows", extra > 0, affected, X.pct(affected, rows), x=extra)],
-        module=1,
-    )
-
-
-def duplicate_identifier_issues(facts: DataFrame) -> DataFrame:
-    rows, n = F.col("rows"), F.col("repeated")
-    return issue_rows(
-        facts.where(F.col("named_identifier") & (rows > 1)),
-        [issue("duplicate_identifier", n > 0, n, X.pct(n, rows))],
-        module=1,
-    )
-
-
-def normalized_duplicate_issues(counts: DataFrame) -> DataFrame:
-    rows = F.col("rows")
-    extra = F.col("loose_extra") - F.col("exact_extra")
-    affected = F.col("loose_affected") - F.col("exact_affected")
-    facts = counts.withColumn("ordinal", F.lit(1_000_000)).withColumn(
-        "column", F.lit(None).cast("string")
-    )
-    applies = (extra > 0) & (affected > 0)
-    return issue_rows(
-        facts.where(rows > 1),
-        [
-            issue(
-                "normalized_duplicate_rows", applies, affected, X.pct(affected, rows), x=extra
-            )
-        ],
-        module=1,
-    )
+from plumbline.operators.issues import Rule, apply_rules
+
+IDENTIFIER_RULES = (
+    Rule(
+        "duplicate_identifier", 1, "named_identifier and rows > 1 and repeated > 0", "repeated"
+    ),
+)
+
+_EXTRA = "(loose_extra - exact_extra)"
+_AFFECTED = "(loose_affected - exact_affected)"
+EXACT = Rule(
+    "duplicate_rows", 1, "rows > 1 and exact_extra > 0", "exact_affected",
+    slots={"x": "exact_extra"},
+)
+NORMALIZED = Rule(
+    "normalized_duplicate_rows", 1, f"rows > 1 and {_EXTRA} > 0 and {_AFFECTED} > 0", _AFFECTED,
+    slots={"x": _EXTRA},
+)
+
+
+def row_issues(counts: DataFrame) -> DataFrame:
+    """Exact copies come before the identifier issues, normalised copies after them."""
+    placed = counts.selectExpr("*", "cast(null as string) as column")
+    exact = apply_rules(placed.selectExpr("*", "-1 as ordinal"), [EXACT])
+    loose = apply_rules(placed.selectExpr("*", "2147483647 as ordinal"), [NORMALIZED])
+    return exact.unionByName(loose)

@@ -1,90 +1,58 @@
-"""Validity, constant and low-variance rules over column facts."""
+"""Validity, constant and low-variance rules over column facts.
 
-from __future__ import annotations
-
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from plumbline.functions import exprs as X
-from plumbline.operators.facts import NUMERIC, STRING
-from plumbline.operators.issues import issue, issue_rows
-
-RULES = (
-    "constant_column", "low_variance_column", "invalid_email", "impossible_percentage",
-    "negative_value_violation", "malformed_phone", "invalid_date",
-)
+A constant column is exempt from every later rule of this module.
+"""
 
+from __future__ import annotations
 
-def is_email_candidate() -> Column:
-    """Named e-mail, or text with an @ in more than 40 % of its values."""
-    mostly_at = F.col("at_sign") / F.nullif(F.col("non_null"), F.lit(0)) > 0.4
-    return F.col("named_email") | F.coalesce(
-        (F.col("kind") == STRING) & mostly_at, F.lit(False)
-    )
-
-
-def validity_issues(facts: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
-    """A constant column is exempt from every later rule."""
-    rows, filled = F.col("rows"), F.col("non_null")
-    is_text = F.col("kind") == STRING
-    is_number = F.col("kind").isin(*NUMERIC)
-    constant = (F.col("unique") == 1) & (filled > 1)
-    checked = ~F.coalesce(constant, F.lit(False))
-
-    shown = F.col("shown")
-    shown = F.when(
-        F.char_length(shown) > 40, F.concat(F.substring(shown, 1, 37), F.lit("..."))
-    ).otherwise(shown)
-    top, top_pct = F.col("top"), X.pct(F.col("top"), rows)
-    bad_email = filled - F.coalesce("email_ok", F.lit(0))
-    bad_phone = filled - F.col("phone_ok")
-    bad_date = filled - F.col("stamps_ok")
-    date_like = (F.col("stamps") * 2 >= filled) | F.col("named_date")
-    p = lambda n: X.pct(n, rows)
-
-    rule = {
-        "constant_column": lambda: issue(
-            "constant_column", constant, filled, p(filled), v=F.coalesce(shown, F.lit(""))
-        ),
-        "low_variance_column": lambda: issue(
-            "low_variance_column",
-            checked & (rows >= 20) & (F.col("unique") > 1) & (top_pct >= 99),
-            top,
-            top_pct,
-        ),
-        "invalid_email": lambda: issue(
-            "invalid_email",
-            checked & is_email_candidate() & (bad_email > 0),
-            bad_email,
-            p(bad_email),
-        ),
-        "impossible_percentage": lambda: issue(
-            "impossible_percentage",
-            checked & F.col("named_percentage") & is_number & (F.col("off_percent") > 0),
-            F.col("off_percent"),
-            p(F.col("off_percent")),
-        ),
-        "negative_value_violation": lambda: issue(
-            "negative_value_violation",
-            checked & F.col("named_non_negative") & is_number & (F.col("negatives") > 0),
-            F.col("negatives"),
-            p(F.col("negatives")),
-        ),
-        "malformed_phone": lambda: issue(
-            "malformed_phone",
-            checked & F.col("named_phone") & is_text & (bad_phone > 0),
-            bad_phone,
-            p(bad_phone),
-        ),
-        "invalid_date": lambda: issue(
-            "invalid_date",
-            checked & F.col("named_dated") & is_text & (bad_date > 0) & date_like,
-            bad_date,
-            p(bad_date),
-        ),
-    }
-    return issue_rows(
-        facts.where((rows > 0) & (filled > 0)), [rule[r]() for r in rules], module=2
-    )
+from plumbline.functions import sqltext as Q
+from plumbline.operators.issues import Rule
+
+_FILLED = "rows > 0 and non_null > 0"
+_CONSTANT = "coalesce(unique = 1 and non_null > 1, false)"
+_CHECKED = f"{_FILLED} and not {_CONSTANT}"
+_TEXT = "kind = 'string'"
+_NUMBER = "kind in ('integral', 'fractional')"
+_SHOWN = "if(char_length(shown) > 40, concat(substring(shown, 1, 37), '...'), shown)"
+
+# Named e-mail, or text with an @ in more than 40 % of its values.
+EMAIL_CANDIDATE = (
+    f"(named_email or coalesce({_TEXT} and at_sign / nullif(non_null, 0) > 0.4, false))"
+)
+_BAD_EMAIL = "(non_null - coalesce(email_ok, 0))"
+_BAD_PHONE = "(non_null - phone_ok)"
+_BAD_DATE = "(non_null - stamps_ok)"
+
+CONSTANT = Rule("constant_column", 2, f"{_FILLED} and {_CONSTANT}", "non_null", slots={"v": _SHOWN})
+LOW_VARIANCE = Rule(
+    "low_variance_column",
+    2,
+    f"{_CHECKED} and rows >= 20 and unique > 1 and {Q.pct('top')} >= 99",
+    "top",
+)
+EMAIL = Rule(
+    "invalid_email", 2, f"{_CHECKED} and {EMAIL_CANDIDATE} and {_BAD_EMAIL} > 0", _BAD_EMAIL
+)
+PERCENTAGE = Rule(
+    "impossible_percentage",
+    2,
+    f"{_CHECKED} and named_percentage and {_NUMBER} and off_percent > 0",
+    "off_percent",
+)
+NEGATIVE = Rule(
+    "negative_value_violation",
+    2,
+    f"{_CHECKED} and named_non_negative and {_NUMBER} and negatives > 0",
+    "negatives",
+)
+PHONE = Rule(
+    "malformed_phone", 2, f"{_CHECKED} and named_phone and {_TEXT} and {_BAD_PHONE} > 0", _BAD_PHONE
+)
+DATE = Rule(
+    "invalid_date",
+    2,
+    f"{_CHECKED} and named_dated and {_TEXT} and {_BAD_DATE} > 0 "
+    "and (stamps * 2 >= non_null or named_date)",
+    _BAD_DATE,
+)
+RULES = (CONSTANT, LOW_VARIANCE, EMAIL, PERCENTAGE, NEGATIVE, PHONE, DATE)

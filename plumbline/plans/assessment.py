@@ -28,7 +28,8 @@ from plumbline.functions import names
 from plumbline.operators import duplicates, issues, missing, outliers, profile, score
 from plumbline.operators import facts as fx
 from plumbline.operators import quantiles as qt
-from plumbline.operators import texture, uniqueness, validity
+from plumbline.operators import insights, report, texture, uniqueness, validity
+from plumbline.session import materialize
 
 SCANS = ("types", "lengths", "bytes", "validity", "texture", "numbers")
 
@@ -55,18 +56,21 @@ class Assessment:
         order_by: Sequence[str] = (),
         date_sample: int | None = None,
         file_format: str = "parquet",
+        min_values: int = outliers.MIN_VALUES,
     ):
         self.spark = df.sparkSession
         self.dataset_id = dataset_id
         self.file_format = file_format
         self.order_by = list(order_by)
         self.date_sample = date_sample
+        self.min_values = min_values
         self.source = df
         self.columns = list(columns or df.columns)
         self.cells = fx.scalar_cells(df.select(*[X.ref(c) for c in self.columns]))
         self._rows: int | None = None
         self._known: dict[int, dict] = {i: {} for i in range(len(self.columns))}
         self._done: set[str] = set()
+        self._profiles: dict[int, DataFrame] = {}
 
     # ---- facts ----------------------------------------------------------------------
 
@@ -162,7 +166,7 @@ class Assessment:
         self._merge({i: dict(zip(("q25", "q50", "q75"), q, strict=True)) for i, q in found.items()})
         self._done.add("quartiles")
 
-    def _outliers(self, min_values: int = outliers.MIN_VALUES) -> None:
+    def _outliers(self) -> None:
         if "outliers" in self._done:
             return
         self._scan(["numbers"])
@@ -170,7 +174,7 @@ class Assessment:
         fences = {}
         for i in self._numeric():
             f = self._known[i]
-            if f["non_null"] < min_values or "q25" not in f or f["q75"] <= f["q25"]:
+            if f["non_null"] < self.min_values or "q25" not in f or f["q75"] <= f["q25"]:
                 continue
             reach = 1.5 * (f["q75"] - f["q25"])
             f["lower"], f["upper"], f["outliers"] = f["q25"] - reach, f["q75"] + reach, 0
@@ -228,8 +232,11 @@ class Assessment:
 
     def profile(self, top_n: int = 10) -> DataFrame:
         """One row per column in source order."""
-        facts = self.typed_facts("lengths", "numbers", "quartiles")
-        return profile.assemble(facts, profile.top_values(self.cells, facts, top_n))
+        if top_n not in self._profiles:
+            facts = self.typed_facts("lengths", "numbers", "quartiles")
+            top = profile.top_values(self.cells, facts, top_n)
+            self._profiles[top_n] = materialize(profile.assemble(facts, top))
+        return self._profiles[top_n]
 
     # ---- issues and score -----------------------------------------------------------
 
@@ -247,19 +254,28 @@ class Assessment:
 
     def issues(self) -> DataFrame:
         """All issues in detection order."""
+        return self.spark.createDataFrame(self._issues, issues.SCHEMA)
+
+    @cached_property
+    def _issues(self) -> list:
+        """At most one row per column and rule, so it is kept like the facts."""
         self._scan(("validity", "texture", "lengths", "numbers"))
         facts = self.facts("unique", "shown", "outliers", "long")
-        copies = self.row_copies()
-        found = [
-            missing.missing_issues(facts),
-            uniqueness.duplicate_row_issues(copies),
-            uniqueness.duplicate_identifier_issues(facts),
-            uniqueness.normalized_duplicate_issues(copies),
-            validity.validity_issues(facts),
-            outliers.outlier_issues(facts),
-            texture.texture_issues(facts),
-        ]
-        return issues.number(reduce(DataFrame.unionByName, found))
+        by_column = (
+            missing.RULES
+            + uniqueness.IDENTIFIER_RULES
+            + validity.RULES
+            + outliers.RULES
+            + texture.RULES
+        )
+        found = issues.apply_rules(facts, by_column).unionByName(
+            uniqueness.row_issues(self.row_copies())
+        )
+        return issues.number(found).collect()
+
+    def find(self, rules: Sequence, *needs: str) -> DataFrame:
+        """The issues of some rules only, computing no more facts than they need."""
+        return issues.number(issues.apply_rules(self.facts(*needs), rules))
 
     def issues_by_severity(self) -> DataFrame:
         return issues.count_by_severity(self.issues(), self.dimensions())
@@ -267,3 +283,41 @@ class Assessment:
     def score(self, weights: dict = k.SCORE_WEIGHTS, penalties: dict = k.SCORE_PENALTIES):
         """Dimension scores, overall score and explanation."""
         return score.score(self.issues(), self.dimensions(), weights, penalties)
+
+    # ---- insights and report --------------------------------------------------------
+
+    def samples(self) -> DataFrame:
+        return insights.redacted_samples(self.source, self.issues(), self.order_by)
+
+    def executive_summary(self) -> DataFrame:
+        return insights.executive_summary(self.score(), self.dimensions())
+
+    def priorities(self) -> DataFrame:
+        return insights.priorities(self.issues(), self.dimensions())
+
+    def cleaning_plan(self) -> DataFrame:
+        return insights.cleaning_plan(self.issues(), self.dimensions())
+
+    def text_observations(self) -> DataFrame:
+        return insights.text_observations(self.issues())
+
+    def client_summary(self) -> DataFrame:
+        return insights.client_summary(self.issues(), self.dimensions(), self.score())
+
+    def report(
+        self, audit: DataFrame | None = None, cleaning_summary: DataFrame | None = None
+    ) -> DataFrame:
+        """The twelve report sections as rows."""
+        return report.report(
+            dimensions=self.dimensions(),
+            footprint=self.footprint(),
+            scores=self.score(),
+            profile=self.profile(),
+            issues=self.issues(),
+            summary=self.executive_summary(),
+            priorities=self.priorities(),
+            plan=self.cleaning_plan(),
+            observations=self.text_observations(),
+            audit=audit,
+            cleaning_summary=cleaning_summary,
+        )
