@@ -97,6 +97,13 @@ def check_folder(
         .when(F.col("length") > max_bytes, "file too large")
     )
     listed = files.select("path", "length", by_listing.alias("verdict"))
+    # Spark lists empty files but does not scan them
+    empty = (
+        spark.createDataFrame([(f,) for f in files.inputFiles()], "path string")
+        .join(files.select("path"), "path", "left_anti")
+        .select("path", F.lit(0).cast("bigint").alias("length"))
+    )
+    unread = empty.withColumn("verdict", F.coalesce(by_listing, F.lit("empty file")))
     text = F.col("content").cast("string")
     valid = F.is_valid_utf8(text)
     by_content = (
@@ -114,6 +121,7 @@ def check_folder(
     )
     return (
         listed.where("verdict is not null")
+        .unionByName(unread)
         .unionByName(opened.select("path", "length", by_content.alias("verdict")))
         .select(
             sanitize_filename(path).alias("filename"),
