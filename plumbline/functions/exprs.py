@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import constants as k
 
@@ -103,26 +104,34 @@ def parse_date(s: Column, family: Column | None = None) -> Column:
     try_cast, which returns null on failure instead of raising inside the JVM.
     """
     family = date_family(s) if family is None else family
-    iso = F.regexp_replace(s, r"^(\d{4})[-/](\d{1,2})[-/]", "$1-$2-")
-    delimited = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})"
-    month_first = F.regexp_replace(s, delimited, "$3-$1-$2")
-    day_first = F.regexp_replace(s, delimited, "$3-$2-$1")
-    day_month_year = F.regexp_replace(
-        s, r"^([A-Za-z]{3,9})\s+(\d{1,2}),?\s+(\d{4})", "$2 $1 $3"
+    as_ts = lambda *parts: F.concat(*parts).try_cast("timestamp")
+    dash = F.lit("-")
+
+    # the families allow / only between the parts of the date
+    iso = F.translate(s, "/", "-").try_cast("timestamp")
+
+    numbers = F.translate(s, "-", "/")
+    one, two, rest = (F.split_part(numbers, F.lit("/"), F.lit(i)) for i in (1, 2, 3))
+    year, time = F.substring(rest, 1, 4), F.substring(rest, F.lit(5), F.char_length(rest))
+    month_first = as_ts(year, dash, one, dash, two, time)
+    day_first = as_ts(year, dash, two, dash, one, time)
+
+    words = F.split(F.regexp_replace(s, r",?\s+", " "), " ")
+    word = lambda i: F.get(words, F.lit(i))
+    starts_with_day = word(0).rlike(r"^\d")
+    day = F.when(starts_with_day, word(0)).otherwise(word(1))
+    name = F.lower(F.when(starts_with_day, word(1)).otherwise(word(0)))
+    place = F.array_position(F.array(*map(F.lit, k.MONTHS)), name)
+    month = text(F.when(place > 0, F.pmod(place - 1, F.lit(12)) + 1))
+    clock = F.coalesce(F.concat(F.lit(" "), word(3)), F.lit(""))
+    named = F.when(
+        (F.size(words) <= 4) & (F.char_length(word(2)) == 4),
+        as_ts(word(2), dash, month, dash, day, clock),
     )
-    named = r"^(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{4})(?:\s+(\d{2}:\d{2}(?::\d{2})?))?$"
-    part = [F.regexp_extract(day_month_year, named, i) for i in range(5)]
-    month = F.array_position(F.array(*map(F.lit, k.MONTHS)), F.lower(part[2]))
-    month_number = F.when(month > 0, F.pmod(month - 1, F.lit(12)) + 1)
-    named_iso = F.concat(
-        part[3], F.lit("-"), text(month_number), F.lit("-"), part[1],
-        F.when(part[4] != "", F.concat(F.lit(" "), part[4])).otherwise(F.lit("")),
-    )
-    as_ts = lambda c: c.try_cast("timestamp")
     return (
-        F.when(family == ISO, as_ts(iso))
-        .when(family == DELIMITED, F.coalesce(as_ts(month_first), as_ts(day_first)))
-        .when(family == NAMED, as_ts(named_iso))
+        F.when(family == ISO, iso)
+        .when(family == DELIMITED, F.coalesce(month_first, day_first))
+        .when(family == NAMED, named)
     )
 
 
@@ -134,8 +143,16 @@ def year_between(ts: Column, first: int, last: int) -> Column:
 
 
 def is_repetitive(s: Column) -> Column:
-    """One character five times or more, or a word three times in a row."""
-    return s.rlike(k.REPEATED_CHARACTER) | s.rlike("(?U)" + k.REPEATED_WORD)
+    """One character five times or more, or a word three times in a row.
+
+    ASCII text, told by its byte count, takes the cheaper ASCII pattern, and
+    only when a word stands between two gaps at all.
+    """
+    is_ascii = F.octet_length(s) == F.char_length(s)
+    word = F.when(is_ascii, s.rlike(r"\s\S+\s") & s.rlike(k.REPEATED_WORD)).otherwise(
+        s.rlike("(?U)" + k.REPEATED_WORD)
+    )
+    return s.rlike(k.REPEATED_CHARACTER) | word
 
 
 def has_spacing_problem(c: Column, stripped: Column) -> Column:
@@ -162,17 +179,32 @@ def is_placeholder(c: Column) -> Column:
 # ---- row identity -------------------------------------------------------------------
 
 
-def row_digest(columns: Iterable[Column]) -> Column:
-    """A 32-byte SHA-256 of the row, for counting identical rows.
+# Fixed-width columns that are cheaper to compare as they are.
+PLAIN_KEYS = 16
+_PLAIN_TYPES = (
+    T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType,
+)
+
+
+def row_keys(cells: list[tuple[Column, T.DataType]]) -> list[Column]:
+    """Columns that are equal exactly when the rows are.
 
-    Each cell is written as length:bytes, a null as '~', so two different rows
-    never have the same encoding. Shuffling 32 bytes instead of the row is what
-    makes whole-row comparison affordable on wide text tables.
+    Up to 16 fixed-width columns stay as they are. All other cells become one
+    text: each is written as length:bytes and a null as '~', so two different
+    rows never have the same text. Past 64 bytes its SHA-256 takes its place;
+    not shuffling the texts is what makes whole-row comparison affordable.
     """
-    cells = []
-    for c in columns:
-        s = text(c)
-        cells.append(
-            F.coalesce(F.concat(text(F.octet_length(s)), F.lit(":"), s), F.lit("~"))
-        )
-    return F.unhex(F.sha2(F.concat(*cells), 256))
+    plain, hashed = [], []
+    for c, data_type in cells:
+        if isinstance(data_type, _PLAIN_TYPES) and len(plain) < PLAIN_KEYS:
+            plain.append(c)
+        else:
+            s = text(c)
+            hashed.append(
+                F.coalesce(F.concat(text(F.octet_length(s)), F.lit(":"), s), F.lit("~"))
+            )
+    if hashed:
+        whole = F.concat(*hashed)
+        # a digest has neither ':' nor '~', so it never equals a written row
+        plain.append(F.when(F.octet_length(whole) > 64, F.sha2(whole, 256)).otherwise(whole))
+    return plain

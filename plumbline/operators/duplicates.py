@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,31 +12,39 @@ from plumbline.functions import exprs as X
 from plumbline.operators.facts import STRING, kind_of
 from plumbline.session import materialize
 
-# Digests of duplicated rows that may be broadcast (32 bytes each).
-BROADCAST_DIGESTS = 200_000
+# Keys of duplicated rows that may be broadcast (at most 16 numbers and 32 bytes each).
+BROADCAST_KEYS = 200_000
 
 
-def normalized(df: DataFrame) -> list:
-    """Cells stripped and lower-cased where they are text; null stays null."""
-    return [
-        F.lower(X.strip(X.ref(f.name))) if kind_of(f.dataType) == STRING else X.ref(f.name)
-        for f in df.schema.fields
-    ]
+def _cells(df: DataFrame, columns: Sequence[str] | None = None, normalize: bool = False) -> list:
+    """Columns with their types; text stripped and lower-cased, null staying null."""
+    out = []
+    for c in columns or df.columns:
+        data_type = df.schema[c].dataType
+        cell = X.ref(c)
+        if normalize and kind_of(data_type) == STRING:
+            cell = F.lower(X.strip(cell))
+        out.append((cell, data_type))
+    return out
 
 
 def duplicate_counts(df: DataFrame, with_normalized: bool = True) -> DataFrame:
     """One row: affected and extra rows, exact and after normalising text.
 
-    One scan and one shuffle of digests serve both comparisons: rows with equal
+    One scan and one shuffle of row keys serve both comparisons: rows with equal
     cells have equal normalised cells, so exact groups nest in normalised ones.
     Copies of one row collapse before the shuffle, however many there are.
     """
-    exact = X.row_digest([X.ref(c) for c in df.columns]).alias("exact")
     has_text = any(kind_of(f.dataType) == STRING for f in df.schema.fields)
     with_normalized = with_normalized and has_text
-    loose = X.row_digest(normalized(df)) if with_normalized else F.lit(None).cast("binary")
-    groups = df.select(loose.alias("loose"), exact).groupBy("loose", "exact")
-    groups = groups.agg(F.count("*").alias("n"))
+    exact = {f"e{i}": c for i, c in enumerate(X.row_keys(_cells(df)))}
+    loose = {}
+    if with_normalized:
+        loose = {f"l{i}": c for i, c in enumerate(X.row_keys(_cells(df, normalize=True)))}
+        # plain keys are the same columns in both; only the digests differ
+        loose = {n: c for n, c in list(loose.items())[-1:]}
+    keys = df.select(*[c.alias(n) for n, c in (exact | loose).items()])
+    groups = keys.groupBy(*exact, *loose).agg(F.count("*").alias("n"))
     n, m = F.col("n"), F.col("m")
     exact_sums = [
         F.sum(F.when(n > 1, n).otherwise(0)).alias("exact_affected"),
@@ -47,7 +56,8 @@ def duplicate_counts(df: DataFrame, with_normalized: bool = True) -> DataFrame:
             "loose_extra", F.lit(None).cast("bigint")
         )
     else:
-        per_loose = groups.groupBy("loose").agg(F.sum("n").alias("m"), *exact_sums)
+        shared = list(exact)[:-1]
+        per_loose = groups.groupBy(*shared, *loose).agg(F.sum("n").alias("m"), *exact_sums)
         totals = per_loose.agg(
             F.sum("m").alias("rows"),
             F.sum("exact_affected").alias("exact_affected"),
@@ -63,27 +73,28 @@ def keep_first(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     order_by: Sequence[str] = (),
-    broadcast_digests: int = BROADCAST_DIGESTS,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """One row of each group of identical rows, the first by order_by.
 
     Columns outside the comparison (such as order_by) keep the first row's
-    values. Only rows whose digest occurs twice are shuffled; a table without
-    duplicates comes back unshuffled. When the duplicated digests are too many
-    to broadcast, all rows are grouped once instead.
+    values. Only rows whose key occurs twice are shuffled whole; a table without
+    duplicates comes back as it is. When the duplicated keys are too many to
+    broadcast, all rows are grouped once instead.
     """
     columns = list(columns or [c for c in df.columns if c not in order_by])
-    digest = X.row_digest([X.ref(c) for c in columns])
-    marked = df.withColumn("__digest", digest)
-    repeated = materialize(marked.groupBy("__digest").count().where("count > 1"))
+    keys = {f"__k{i}": c for i, c in enumerate(X.row_keys(_cells(df, columns)))}
+    marked = df.withColumns(keys)
+    repeated = materialize(marked.groupBy(*keys).count().where("count > 1"))
     size = repeated.count()
     if size == 0:
         return df
-    if size > broadcast_digests:
+    if size > broadcast_keys:
         return _first_of_each(df, columns, order_by)
-    repeated = F.broadcast(repeated.select("__digest"))
-    single = marked.join(repeated, "__digest", "left_anti").drop("__digest")
-    copies = marked.join(repeated, "__digest", "left_semi").drop("__digest")
+    wanted = F.broadcast(repeated.select(*[F.col(n).alias(n + "r") for n in keys]))
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(n + "r")) for n in keys])
+    single = marked.join(wanted, same, "left_anti").drop(*keys)
+    copies = marked.join(wanted, same, "left_semi").drop(*keys)
     return single.unionByName(_first_of_each(copies, columns, order_by))
 
 

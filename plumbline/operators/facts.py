@@ -9,7 +9,8 @@ is shuffled is one row per column and task.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -103,11 +104,18 @@ def scalar_cells(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def melt(df: DataFrame, ordinals: Sequence[int], data_type: str) -> DataFrame:
+def melt(
+    df: DataFrame,
+    ordinals: Sequence[int],
+    data_type: str,
+    convert: Callable[[Column, T.DataType], Column] = lambda c, t: c,
+) -> DataFrame:
     """(ordinal, value) rows of the non-null cells of some columns."""
-    fields = df.schema.fields
-    wide = df.select(*[X.ref(fields[i].name).cast(data_type).alias(str(i)) for i in ordinals])
-    long = wide.unpivot([], [X.ref(str(i)) for i in ordinals], "ordinal", "value")
+    fields = [(i, df.schema.fields[i]) for i in ordinals]
+    cells = [convert(X.ref(f.name), f.dataType).cast(data_type).alias(str(i)) for i, f in fields]
+    long = df.select(*cells).unpivot(
+        [], [X.ref(str(i)) for i in ordinals], "ordinal", "value"
+    )
     return long.where("value is not null")
 
 
@@ -123,77 +131,177 @@ def _truth_bit(value: Column) -> Column:
     out = F.when(low == "true", 1)
     for bit, word in enumerate(("false", "yes", "no", "y", "n", "t", "f"), start=1):
         out = out.when(low == word, 1 << bit)
-    return out.otherwise(256)
+    return F.when(value.isNotNull(), out.otherwise(256))
 
 
-def _string_measures(groups: set[str], phone: list[int]) -> dict[str, Column]:
+def cell_facts(
+    cells: DataFrame, groups: set[str], phone: Sequence[int] = (), dated: Sequence[int] | None = None
+) -> tuple[DataFrame, list[str]]:
+    """Adds what the rules want to know about each text value, null for a null value.
+
+    Shared steps (strip, date family, parsed date) are columns of their own, so
+    each pattern runs once per value. Dates are read in the columns with the
+    ordinals of dated, or in all of them; phone numbers in the named columns.
+    """
     v, s, family, ts = map(F.col, ("value", "s", "family", "ts"))
-    out = {"non_null": F.count("value"), "blank": F.count_if(s == "")}
+    cells = cells.withColumn("s", X.strip(v))
+    if groups & {"types", "validity"}:
+        wanted = F.lit(True) if dated is None else F.col("ordinal").isin(*map(str, dated))
+        cells = cells.withColumn("family", F.when(wanted, X.date_family(s)))
+        cells = cells.withColumn("ts", X.parse_date(s, family))
+    found = {"c_blank": s == ""}
     if "types" in groups:
-        out |= {
-            "short_numbers": F.count_if(s.rlike(k.SHORT_NUMBER)),
-            "iso": F.count_if(family == X.ISO),
-            "delimited": F.count_if(family == X.DELIMITED),
-            "named": F.count_if(family == X.NAMED),
-            "dates": F.count("ts"),
-            "dates_in_range": F.count_if(X.year_between(ts, 1800, 2100)),
-            "first_ts": F.min("ts"),
-            "last_ts": F.max("ts"),
-            "truth_bits": F.bit_or(_truth_bit(v)),
-        }
+        found |= {"c_short": s.rlike(k.SHORT_NUMBER), "c_truth": _truth_bit(v)}
+    if groups & {"types", "validity"}:
+        found |= {"c_family": family, "c_ts": ts}
     if "lengths" in groups:
-        n = F.char_length(v)
-        out |= {
-            "len_min": F.min(n),
-            "len_max": F.max(n),
-            "len_sum": F.sum(n),
-            "len_mean": F.avg(n),
-            "len_sd": F.stddev_samp(n),
-        }
+        found["c_len"] = F.char_length(v).cast("bigint")
     if "bytes" in groups:
-        out["octets"] = F.sum(F.octet_length(v))
+        found["c_bytes"] = F.octet_length(v)
     if "validity" in groups:
-        out |= {
-            "at_sign": F.count_if(F.contains(v, F.lit("@"))),
-            "email_ok": F.count_if(X.is_strict_email(s)),
-            "stamps": F.count("ts"),
-            "stamps_ok": F.count_if(X.year_between(ts, 1800, 2150)),
-        }
+        found |= {"c_at": F.contains(v, F.lit("@")), "c_email": X.is_strict_email(s)}
         if phone:
             is_phone_column = F.col("ordinal").isin(*map(str, phone))
-            out["phone_ok"] = F.count_if(is_phone_column & X.is_phone(s))
+            found["c_phone"] = F.when(is_phone_column, X.is_phone(s))
     if "texture" in groups:
-        out |= {
-            "near_empty": F.count_if(F.char_length(s) <= 1),
-            "repetitive": F.count_if(X.is_repetitive(s)),
-            "badly_spaced": F.count_if(X.has_spacing_problem(v, s)),
+        found |= {
+            "c_near_empty": F.char_length(s) <= 1,
+            "c_repetitive": X.is_repetitive(s),
+            "c_spaced": X.has_spacing_problem(v, s),
         }
-    return out
+    return cells.withColumns(found).drop("s", "family", "ts"), list(found)
 
 
-def _numeric_measures(groups: set[str]) -> dict[str, Column]:
-    v = F.col("value")
-    out = {"non_null": F.count("value")}
-    if "numbers" in groups:
+def _weighted(found: Sequence[str]) -> dict[str, Column]:
+    """Aggregates over cell facts of which each stands for n cells."""
+    n = F.col("n")
+    total = lambda condition: F.sum(F.when(condition, n).otherwise(0))
+    out = {"non_null": F.sum(n), "blank": total(F.col("c_blank"))}
+    has = set(found)
+    if "c_short" in has:
         out |= {
-            "mn": F.min("value"),
-            "mx": F.max("value"),
-            "mean": F.avg("value"),
-            "sd": F.stddev_samp("value"),
+            "short_numbers": total(F.col("c_short")),
+            "iso": total(F.col("c_family") == X.ISO),
+            "delimited": total(F.col("c_family") == X.DELIMITED),
+            "named": total(F.col("c_family") == X.NAMED),
+            "dates": total(F.col("c_ts").isNotNull()),
+            "dates_in_range": total(X.year_between(F.col("c_ts"), 1800, 2100)),
+            "first_ts": F.min("c_ts"),
+            "last_ts": F.max("c_ts"),
+            "truth_bits": F.bit_or("c_truth"),
         }
-    if "validity" in groups:
+    if "c_len" in has:
+        length = F.col("c_len")
         out |= {
-            "negatives": F.count_if(v < 0),
-            "off_percent": F.count_if((v < 0) | (v > 100)),
+            "len_min": F.min("c_len"),
+            "len_max": F.max("c_len"),
+            "len_sum": F.sum(length * n),
+            "len_squares": F.sum((length * length * n).cast("decimal(20,0)")),
         }
+    if "c_bytes" in has:
+        out["octets"] = F.sum(F.col("c_bytes") * n)
+    if "c_email" in has:
+        out |= {
+            "at_sign": total(F.col("c_at")),
+            "email_ok": total(F.col("c_email")),
+            "stamps": total(F.col("c_ts").isNotNull()),
+            "stamps_ok": total(X.year_between(F.col("c_ts"), 1800, 2150)),
+        }
+    if "c_phone" in has:
+        out["phone_ok"] = total(F.col("c_phone"))
+    if "c_repetitive" in has:
+        out |= {
+            "near_empty": total(F.col("c_near_empty")),
+            "repetitive": total(F.col("c_repetitive")),
+            "badly_spaced": total(F.col("c_spaced")),
+        }
+    return out
+
+
+def _string_facts(long: DataFrame, groups: set[str], **options) -> DataFrame:
+    """Facts of text columns straight from the cells: no shuffle of values."""
+    cells, found = cell_facts(long.withColumn("n", F.lit(1).cast("bigint")), groups, **options)
+    return _aggregate(cells, _weighted(found))
+
+
+def _grouped_string_facts(long: DataFrame, groups: set[str], **options) -> DataFrame:
+    """Facts and exact cardinality of text columns in one scan and one shuffle.
+
+    Equal cells are combined first, map-side, and the patterns then run once per
+    distinct value. A long text is looked at before the shuffle and travels as
+    its SHA-256 together with what was found.
+    """
+    v = F.col("value")
+    is_long = F.octet_length(v) > LONG_VALUE_BYTES
+    keyed = long.withColumn("key", F.when(is_long, F.sha2(v, 256)).otherwise(v))
+    keyed = keyed.withColumn("value", F.when(is_long, v))
+    looked_at, found = cell_facts(keyed, groups, **options)
+    before = F.when(v.isNotNull(), F.struct(*found)).alias("before")
+    distinct = (
+        looked_at.select("ordinal", "key", before)
+        .groupBy("ordinal", "key", "before")
+        .agg(F.count("*").alias("n"))
+    )
+    short = distinct.withColumn("value", F.when(F.col("before").isNull(), F.col("key")))
+    after, _ = cell_facts(short, groups, **options)
+    merged = after.select(
+        "ordinal", "n", *[F.coalesce(F.col(f"before.{c}"), F.col(c)).alias(c) for c in found]
+    )
+    return _aggregate(merged, _weighted(found) | _cardinality_measures())
+
+
+def _cardinality_measures() -> dict[str, Column]:
+    n = F.col("n")
+    return {
+        "unique": F.count("*"),
+        "top": F.max("n"),
+        "repeated": F.sum(F.when(n > 1, n).otherwise(0)),
+    }
+
+
+# Columns per aggregate row, so that generated code stays within one method's size.
+CHUNK = 16
+
+
+def _plain_facts(df: DataFrame, ordinals: Sequence[int], groups: set[str]) -> list[DataFrame]:
+    """Facts of numbers, booleans and times: a global aggregate needs no grouping."""
+    fields = df.schema.fields
+    out = []
+    for start in range(0, len(ordinals), CHUNK):
+        chunk = ordinals[start : start + CHUNK]
+        aggregates, rows = [], []
+        for i in chunk:
+            measures = _measures(X.ref(fields[i].name), kind_of(fields[i].dataType), groups)
+            aggregates += [c.alias(f"{n}_{i}") for n, c in measures.items()]
+            row = [F.lit(str(i)).alias("ordinal")]
+            row += [F.col(f"{n}_{i}").alias(n) for n in measures]
+            rows.append((tuple(measures), F.struct(*row)))
+        totals = df.agg(*aggregates)
+        for names_ in dict.fromkeys(n for n, _ in rows):
+            alike = F.array(*[row for n, row in rows if n == names_])
+            out.append(totals.select(F.inline(alike)))
+    return out
+
+
+def _measures(c: Column, kind: str, groups: set[str]) -> dict[str, Column]:
+    out = {"non_null": F.count(c)}
+    if kind in NUMERIC:
+        c = c.cast("double")
+        if "numbers" in groups:
+            out |= {"mn": F.min(c), "mx": F.max(c), "mean": F.avg(c), "sd": F.stddev_samp(c)}
+        if "validity" in groups:
+            out |= {"negatives": F.count_if(c < 0), "off_percent": F.count_if((c < 0) | (c > 100))}
+    if kind == TEMPORAL and "types" in groups:
+        c = c.cast("timestamp")
+        out |= {"first_ts": F.min(c), "last_ts": F.max(c)}
     return out
 
 
 def scan(df: DataFrame, groups: Iterable[str]) -> tuple[int, dict[int, dict]]:
     """Row count, and the requested facts per column ordinal, in one job.
 
-    Groups: types, lengths, bytes, validity, texture, numbers. Null and blank
-    counts always come along. The result has one small row per column.
+    Groups: types, lengths, bytes, validity, texture, numbers, unique. Null and
+    blank counts always come along. The result is a few small rows per column.
     """
     groups = set(groups)
     fields = df.schema.fields
@@ -201,66 +309,64 @@ def scan(df: DataFrame, groups: Iterable[str]) -> tuple[int, dict[int, dict]]:
 
     strings = by_kind(df, STRING)
     if strings:
-        dated = [str(i) for i in strings if names.is_dated(fields[i].name)]
-        long = melt(df, strings, "string").withColumn("s", X.strip(F.col("value")))
-        if "types" in groups:
-            want_date = F.lit(True)
-        else:
-            want_date = F.col("ordinal").isin(*dated) if dated else F.lit(False)
-        if groups & {"types", "validity"}:
-            long = long.withColumn("family", F.when(want_date, X.date_family(F.col("s"))))
-            long = long.withColumn("ts", X.parse_date(F.col("s"), F.col("family")))
-        phone = [i for i in strings if names.is_phone(fields[i].name)]
-        parts.append(_aggregate(long, _string_measures(groups, phone)))
-
-    numbers = by_kind(df, *NUMERIC)
-    if numbers:
-        parts.append(_aggregate(melt(df, numbers, "double"), _numeric_measures(groups)))
-
-    booleans = by_kind(df, BOOLEAN)
-    if booleans:
-        parts.append(_aggregate(melt(df, booleans, "boolean"), {"non_null": F.count("value")}))
-
-    temporal = by_kind(df, TEMPORAL)
-    if temporal:
-        measures = {"non_null": F.count("value")}
-        if "types" in groups:
-            measures |= {"first_ts": F.min("value"), "last_ts": F.max("value")}
-        parts.append(_aggregate(melt(df, temporal, "timestamp"), measures))
+        long = melt(df, strings, "string")
+        dated = [i for i in strings if names.is_dated(fields[i].name)]
+        options = {
+            "phone": [i for i in strings if names.is_phone(fields[i].name)],
+            "dated": None if "types" in groups else dated,
+        }
+        facts = _grouped_string_facts if "unique" in groups else _string_facts
+        parts.append(facts(long, groups, **options))
+
+    others = by_kind(df, *NUMERIC, BOOLEAN, TEMPORAL)
+    parts += _plain_facts(df, others, groups)
+    if "unique" in groups and others:
+        parts += [_aggregate(c, _cardinality_measures()) for c in value_counts(df, others)]
 
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    if "first_ts" in merged.columns:
-        # as text, so the session time zone and not the driver's decides
-        merged = (
-            merged.withColumn("earliest", X.text(F.col("first_ts")))
-            .withColumn("latest", X.text(F.col("last_ts")))
-            .drop("first_ts", "last_ts")
-        )
     rows, found = 0, {}
-    for r in merged.collect():
+    for r in _dates_as_text(merged).collect():
         values = {n: v for n, v in r.asDict().items() if v is not None and n != "ordinal"}
         if r["ordinal"] == "-1":
             rows = values["rows"]
         else:
-            values.pop("rows", None)
-            found[int(r["ordinal"])] = values
-    return rows, {i: {"non_null": 0} | found.get(i, {}) for i in range(len(fields))}
+            found.setdefault(int(r["ordinal"]), {}).update(values)
+    return rows, {i: _completed(found.get(i, {}), groups) for i in range(len(fields))}
+
+
+def _dates_as_text(facts: DataFrame) -> DataFrame:
+    """Inside Spark, so that the session time zone decides and not the driver's."""
+    if "first_ts" not in facts.columns:
+        return facts
+    return (
+        facts.withColumn("earliest", X.text(F.col("first_ts")))
+        .withColumn("latest", X.text(F.col("last_ts")))
+        .drop("first_ts", "last_ts")
+    )
+
+
+def _completed(values: dict, groups: set[str]) -> dict:
+    """Defaults for columns without values; length mean and deviation from exact sums."""
+    out = {"non_null": 0} | values
+    if "unique" in groups:
+        out = {"unique": 0, "top": 0, "repeated": 0} | out
+    squares = out.pop("len_squares", None)
+    if squares is not None:
+        n, total = out["non_null"], out["len_sum"]
+        out["len_mean"] = total / n
+        spread = n * int(squares) - total * total
+        out["len_sd"] = math.sqrt(spread / (n * (n - 1))) if n > 1 else None
+    return out
 
 
 def date_facts(long: DataFrame) -> dict[int, dict]:
     """The type facts of (ordinal, value) text rows, except the truth words."""
-    long = long.withColumn("s", X.strip(F.col("value")))
-    long = long.withColumn("family", X.date_family(F.col("s")))
-    long = long.withColumn("ts", X.parse_date(F.col("s"), F.col("family")))
-    measures = _string_measures({"types"}, [])
-    for other in ("non_null", "blank", "truth_bits"):
-        del measures[other]
-    # detection compares these counts with the size of the sample
-    measures["date_values"] = F.count("value")
+    facts = _dates_as_text(_string_facts(long, {"types"}))
     found = {}
-    for r in _aggregate(long, measures).collect():
+    for r in facts.drop("blank", "truth_bits").collect():
         values = r.asDict()
-        values["earliest"], values["latest"] = values.pop("first_ts"), values.pop("last_ts")
+        # detection compares these counts with the size of the sample
+        values["date_values"] = values.pop("non_null")
         found[int(values.pop("ordinal"))] = values
     return found
 
@@ -276,51 +382,52 @@ def value_counts(df: DataFrame, ordinals: Sequence[int], whole: bool = False) ->
     """(ordinal, value, n) per kind of column: every distinct value with its count.
 
     A value held by a third of the rows collapses to one row per task before the
-    shuffle. Unless whole values are asked for, a long text travels as its
-    SHA-256, so near-unique text columns do not shuffle their text.
+    shuffle. Unless whole values are asked for, times and booleans are counted as
+    integers and a long text travels as its SHA-256, so near-unique text columns
+    do not shuffle their text.
     """
     fields = df.schema.fields
     classes: dict[str, list[int]] = {}
     for i in ordinals:
-        kind = kind_of(fields[i].dataType)
-        if kind == INTEGRAL:
-            as_type = "bigint"
-        elif kind == FRACTIONAL and not isinstance(fields[i].dataType, T.DecimalType):
-            as_type = "double"
-        elif kind == TEMPORAL:
-            as_type = "timestamp"
-        elif kind == BOOLEAN:
-            as_type = "boolean"
-        else:
-            as_type = "string"
-        classes.setdefault(as_type, []).append(i)
+        classes.setdefault(_counted_as(fields[i].dataType, whole), []).append(i)
     out = []
     for as_type, members in classes.items():
-        long = melt(df, members, as_type)
+        keys = ["ordinal", "value"]
+        if as_type == "bigint":
+            long = melt(df, members, as_type, _as_integer)
+        else:
+            long = melt(df, members, as_type)
         if as_type == "string" and not whole:
             v = F.col("value")
-            digest = F.concat(F.lit("\x01"), F.sha2(v, 256))
-            long = long.withColumn(
-                "value", F.when(F.octet_length(v) > LONG_VALUE_BYTES, digest).otherwise(v)
-            )
-        out.append(long.groupBy("ordinal", "value").agg(F.count("*").alias("n")))
+            is_long = F.octet_length(v) > LONG_VALUE_BYTES
+            shortened = F.when(is_long, F.sha2(v, 256)).otherwise(v)
+            long = long.withColumns({"value": shortened, "is_long": is_long})
+            keys.append("is_long")
+        out.append(long.groupBy(*keys).agg(F.count("*").alias("n")))
     return out
 
 
+def _counted_as(data_type: T.DataType, whole: bool) -> str:
+    kind = kind_of(data_type)
+    if kind == INTEGRAL or (kind in (BOOLEAN, TEMPORAL) and not whole):
+        return "bigint"
+    if kind == FRACTIONAL and not isinstance(data_type, T.DecimalType):
+        return "double"
+    return {TEMPORAL: "timestamp", BOOLEAN: "boolean"}.get(kind, "string")
+
+
+def _as_integer(c: Column, data_type: T.DataType) -> Column:
+    if kind_of(data_type) == TEMPORAL:
+        return F.unix_micros(c.cast("timestamp"))
+    return c.cast("bigint")
+
+
 def cardinality(df: DataFrame, ordinals: Sequence[int] | None = None) -> dict[int, dict]:
     """Exact distinct count, top frequency and rows with a repeated value."""
     ordinals = range(len(df.columns)) if ordinals is None else ordinals
     if not list(ordinals):
         return {}
-    n = F.col("n")
-    parts = [
-        counts.groupBy("ordinal").agg(
-            F.count("*").alias("unique"),
-            F.max("n").alias("top"),
-            F.sum(F.when(n > 1, n).otherwise(0)).alias("repeated"),
-        )
-        for counts in value_counts(df, ordinals)
-    ]
+    parts = [_aggregate(counts, _cardinality_measures()) for counts in value_counts(df, ordinals)]
     found = {
         int(r["ordinal"]): {"unique": r["unique"], "top": r["top"], "repeated": r["repeated"]}
         for r in reduce(DataFrame.unionByName, parts).collect()

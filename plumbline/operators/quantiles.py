@@ -1,8 +1,9 @@
 """Exact quantiles without holding a column in one place.
 
-Spark's percentile keeps one entry per distinct value in a single buffer. That
-is right for columns with few distinct values. For the others each quantile is
-bracketed with a bounded sketch and then ranked exactly inside its bracket; a
+A quantile needs the values at one or two ranks. Columns with a bounded number
+of distinct values are ranked directly: values are counted first, map-side, so
+a ranking task sorts at most that many rows and can spill. For the others each
+quantile is bracketed with a bounded sketch and ranked inside its bracket; a
 bracket that still holds too many values is narrowed again.
 """
 
@@ -18,87 +19,63 @@ from pyspark.sql.window import Window
 
 from plumbline.operators.facts import melt
 
-# Distinct values one percentile buffer may hold, and values ranked in one bracket.
-BUFFER_VALUES = 100_000
+# Distinct values that one task may rank.
+RANKED_VALUES = 1_000_000
 # The sketch's rank error is 1 / accuracy, well inside the two grid steps of slack.
 SKETCH_ACCURACY = 10_000
 GRID = 2_000
 SLACK = 2
 
 
-def quantiles(
-    df: DataFrame,
-    distinct: dict[int, int],
-    counts: dict[int, int],
-    probabilities: Sequence[float] = (0.25, 0.5, 0.75),
-    buffer_values: int = BUFFER_VALUES,
-) -> dict[int, list[float]]:
-    """Linearly interpolated quantiles per numeric column ordinal.
-
-    distinct and counts are the exact distinct and non-null counts per column;
-    they decide which of the two ways is safe for a column.
-    """
-    small = [i for i, u in distinct.items() if 0 < u <= buffer_values]
-    large = [i for i, u in distinct.items() if u > buffer_values]
-    out: dict[int, list[float]] = {}
-    if small:
-        rows = (
-            melt(df, small, "double")
-            .groupBy("ordinal")
-            .agg(F.percentile("value", list(probabilities)).alias("q"))
-            .collect()
-        )
-        out |= {int(r["ordinal"]): list(r["q"]) for r in rows}
-    if large:
-        positions = {(i, p): (counts[i] - 1) * p for i in large for p in probabilities}
-        found = _order_statistics(df, positions, counts, buffer_values)
-        for i in large:
-            out[i] = [
-                low + (high - low) * (positions[i, p] % 1)
-                for p in probabilities
-                for low, high in [found[i, p]]
-            ]
-    return out
-
-
 @dataclass
 class _Bracket:
-    """Where one quantile of one column lies: its two ranks and the value range."""
+    """A range of one column that holds the given ranks (0-based, of all its values)."""
 
     column: int
-    probability: float
-    first: int
-    last: int
+    ranks: list[int]
     low: float = -math.inf
     high: float = math.inf
     below: int = 0
     inside: int = 0
 
 
-def _order_statistics(
+def quantiles(
     df: DataFrame,
-    positions: dict[tuple[int, float], float],
+    distinct: dict[int, int],
     counts: dict[int, int],
-    buffer_values: int,
-) -> dict[tuple[int, float], tuple[float, float]]:
-    """The values at the ranks on both sides of each fractional position."""
-    open_brackets = [
-        _Bracket(i, p, math.floor(h), math.ceil(h), inside=counts[i])
-        for (i, p), h in positions.items()
-    ]
-    found: dict[tuple[int, float], tuple[float, float]] = {}
-    while open_brackets:
-        _narrow(df, open_brackets)
-        distinct = _measure(df, open_brackets)
-        ready = [b for b, u in zip(open_brackets, distinct, strict=True) if u <= buffer_values]
-        if ready:
-            found |= _rank(df, ready)
-        open_brackets = [b for b in open_brackets if b not in ready]
-    return found
+    probabilities: Sequence[float] = (0.25, 0.5, 0.75),
+    ranked_values: int = RANKED_VALUES,
+) -> dict[int, list[float]]:
+    """Linearly interpolated quantiles per numeric column ordinal.
+
+    distinct and counts are the exact distinct and non-null counts per column;
+    they decide which of the two ways is safe for a column.
+    """
+    positions = {i: [(counts[i] - 1) * p for p in probabilities] for i, u in distinct.items() if u}
+    sides = lambda h: sorted({math.floor(h), math.ceil(h)})
+    ready, wide = [], []
+    for i, hs in positions.items():
+        if distinct[i] <= ranked_values:
+            ready.append(_Bracket(i, sorted({r for h in hs for r in sides(h)}), inside=counts[i]))
+        else:
+            wide += [_Bracket(i, sides(h), inside=counts[i]) for h in hs]
+    found = _ranked(df, ready)
+    while wide:
+        _narrow(df, wide)
+        sizes = _measure(df, wide)
+        found |= _ranked(df, [b for b, u in zip(wide, sizes, strict=True) if u <= ranked_values])
+        wide = [b for b, u in zip(wide, sizes, strict=True) if u > ranked_values]
+    return {
+        i: [
+            found[i, math.floor(h)] + (found[i, math.ceil(h)] - found[i, math.floor(h)]) * (h % 1)
+            for h in hs
+        ]
+        for i, hs in positions.items()
+    }
 
 
 def _bracketed(df: DataFrame, brackets: list[_Bracket]) -> DataFrame:
-    """Cells with each bracket of their column; three small rows per column are broadcast."""
+    """Cells with the brackets of their column; a few small rows per column are broadcast."""
     table = df.sparkSession.createDataFrame(
         [(str(b.column), n, b.low, b.high) for n, b in enumerate(brackets)],
         "ordinal string, bracket int, low double, high double",
@@ -107,6 +84,16 @@ def _bracketed(df: DataFrame, brackets: list[_Bracket]) -> DataFrame:
     return cells.join(F.broadcast(table), "ordinal").where("value <= high")
 
 
+def _counted(df: DataFrame, brackets: list[_Bracket]) -> DataFrame:
+    """Distinct values inside each bracket with counts; all smaller ones as one null row."""
+    return (
+        _bracketed(df, brackets)
+        .select("bracket", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
+        .groupBy("bracket", "value")
+        .agg(F.count("*").alias("n"))
+    )
+
+
 def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
     grid = [g / GRID for g in range(GRID + 1)]
     rows = (
@@ -119,28 +106,19 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
     for r in rows:
         b, values = brackets[r["bracket"]], r["grid"]
         span = max(b.inside - 1, 1)
-        left = math.floor((b.first - b.below) / span * GRID) - SLACK
-        right = math.ceil((b.last - b.below) / span * GRID) + SLACK
+        left = math.floor((b.ranks[0] - b.below) / span * GRID) - SLACK
+        right = math.ceil((b.ranks[-1] - b.below) / span * GRID) + SLACK
         if left > 0:
             b.low = values[left]
         if right < GRID:
             b.high = values[right]
 
 
-def _inside(df: DataFrame, brackets: list[_Bracket]) -> DataFrame:
-    """Distinct values inside each bracket with counts; all smaller ones as one null row."""
-    return (
-        _bracketed(df, brackets)
-        .select("bracket", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
-        .groupBy("bracket", "value")
-        .agg(F.count("*").alias("n"))
-    )
-
-
 def _measure(df: DataFrame, brackets: list[_Bracket]) -> list[int]:
+    """Sets the counts below and inside each bracket; returns its distinct values."""
     is_below = F.col("value").isNull()
     rows = (
-        _inside(df, brackets)
+        _counted(df, brackets)
         .groupBy("bracket")
         .agg(
             F.sum(F.when(is_below, F.col("n")).otherwise(0)).alias("below"),
@@ -154,34 +132,26 @@ def _measure(df: DataFrame, brackets: list[_Bracket]) -> list[int]:
         b = brackets[r["bracket"]]
         b.below, b.inside = r["below"], r["inside"]
         distinct[r["bracket"]] = r["distinct"]
-        if not b.below <= b.first <= b.last < b.below + b.inside:
-            raise ArithmeticError(f"quantile {b.probability} left its bracket")
+        if not b.below <= b.ranks[0] <= b.ranks[-1] < b.below + b.inside:
+            raise ArithmeticError("a quantile left its bracket")
     return distinct
 
 
-def _rank(df: DataFrame, brackets: list[_Bracket]) -> dict:
-    """Rank the few values of each bracket; every window partition is size-checked."""
+def _ranked(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
+    """The value at each rank; every window partition has a checked number of rows."""
+    if not brackets:
+        return {}
     wanted = df.sparkSession.createDataFrame(
-        [
-            (n, side, rank - b.below)
-            for n, b in enumerate(brackets)
-            for side, rank in (("first", b.first), ("last", b.last))
-        ],
-        "bracket int, side string, rank bigint",
+        [(n, r, r - b.below) for n, b in enumerate(brackets) for r in b.ranks],
+        "bracket int, rank bigint, place bigint",
     )
     running = Window.partitionBy("bracket").orderBy("value")
     hits = (
-        _inside(df, brackets)
+        _counted(df, brackets)
         .where("value is not null")
         .withColumn("upto", F.sum("n").over(running))
         .join(F.broadcast(wanted), "bracket")
-        .where("rank < upto and rank >= upto - n")
+        .where("place < upto and place >= upto - n")
         .collect()
     )
-    sides: dict[int, dict[str, float]] = {}
-    for r in hits:
-        sides.setdefault(r["bracket"], {})[r["side"]] = r["value"]
-    return {
-        (b.column, b.probability): (sides[n]["first"], sides[n]["last"])
-        for n, b in enumerate(brackets)
-    }
+    return {(brackets[r["bracket"]].column, r["rank"]): r["value"] for r in hits}

@@ -2,11 +2,11 @@
 
 The passes and what they cost:
 
-1. scan        every column once, map-side aggregates, no data shuffle
-2. cardinality one shuffle of distinct (column, value) pairs, long text as digests
-3. quartiles   numeric columns only; bounded buffers (see operators.quantiles)
-4. limits      only columns whose extremes pass a fence or a length limit
-5. row copies  one shuffle of 32-byte row digests
+1. scan        every column once; with distinct counts one shuffle of distinct
+               (column, value) pairs, long text as digests, else none
+2. quartiles   numeric columns only; bounded ranking (see operators.quantiles)
+3. limits      only columns whose extremes pass a fence or a length limit
+4. row copies  one shuffle of row keys: numbers as they are, text as a digest
 
 A pass runs when a result first needs it and is kept as one row of scalars per
 column, so nothing that grows with the data reaches the driver. Everything
@@ -31,7 +31,7 @@ from plumbline.operators import quantiles as qt
 from plumbline.operators import insights, report, texture, uniqueness, validity
 from plumbline.session import materialize
 
-SCANS = ("types", "lengths", "bytes", "validity", "texture", "numbers")
+SCANS = ("types", "lengths", "bytes", "validity", "texture", "numbers", "unique")
 
 
 def assess(df: DataFrame, dataset_id: str = "dataset", **options) -> Assessment:
@@ -78,7 +78,6 @@ class Assessment:
         """One row per column holding at least the facts asked for."""
         self._scan([n for n in needs if n in SCANS])
         for need, run in (
-            ("unique", self._cardinality),
             ("unique_identifiers", self._identifier_cardinality),
             ("quartiles", self._quartiles),
             ("outliers", self._outliers),
@@ -205,8 +204,7 @@ class Assessment:
         self._done.add("long")
 
     def _shown(self) -> None:
-        self._scan()
-        self._cardinality()
+        self._scan(["unique"])
         wanted = [
             i
             for i, f in self._known.items()
@@ -259,8 +257,8 @@ class Assessment:
     @cached_property
     def _issues(self) -> list:
         """At most one row per column and rule, so it is kept like the facts."""
-        self._scan(("validity", "texture", "lengths", "numbers"))
-        facts = self.facts("unique", "shown", "outliers", "long")
+        self._scan(("validity", "texture", "lengths", "numbers", "unique"))
+        facts = self.facts("shown", "outliers", "long")
         by_column = (
             missing.RULES
             + uniqueness.IDENTIFIER_RULES

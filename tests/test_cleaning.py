@@ -64,7 +64,7 @@ def test_keep_first_broadcast_and_grouped_agree(spark):
     df = copies(spark)
     wanted = expected_firsts(df)
     for limit in (0, 200_000):
-        out = keep_first(df, ["a", "b"], ["k"], broadcast_digests=limit)
+        out = keep_first(df, ["a", "b"], ["k"], broadcast_keys=limit)
         assert sorted(tuple(r) for r in out.collect()) == wanted
 
 

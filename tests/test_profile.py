@@ -69,7 +69,7 @@ def test_bracketed_quantiles_match_numpy(spark):
     values = np.concatenate([rng.lognormal(3, 2, 6000), np.full(4000, 12.5), -rng.random(3001)])
     df = spark.createDataFrame([(float(v), float(i % 3)) for i, v in enumerate(values)], "a double, b double")
     found = qt.quantiles(
-        df.repartition(5), {0: len(set(values)), 1: 3}, {0: len(values), 1: len(values)}, buffer_values=50
+        df.repartition(5), {0: len(set(values)), 1: 3}, {0: len(values), 1: len(values)}, ranked_values=50
     )
     assert found[0] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])), rel=1e-12)
     assert found[1] == [0.0, 1.0, 2.0]

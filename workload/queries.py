@@ -125,7 +125,7 @@ def quartiles_bracketed(spark, sf):
     _, found = fx.scan(df, [])
     counts = {i: f["non_null"] for i, f in found.items()}
     distinct = {i: f["unique"] for i, f in fx.cardinality(df).items()}
-    rows = qt.quantiles(df, distinct, counts, buffer_values=100)
+    rows = qt.quantiles(df, distinct, counts, ranked_values=100)
     return spark.createDataFrame(
         [(df.columns[i], *q) for i, q in rows.items()],
         "column string, q25 double, q50 double, q75 double",
