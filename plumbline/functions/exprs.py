@@ -96,11 +96,20 @@ def date_family(s: Column) -> Column:
     )
 
 
-def parse_date(s: Column, family: Column | None = None) -> Column:
+def date_shape(s: Column) -> Column:
+    """The written form of a date: 9 for numbers, a for words, separators as they are."""
+    words = F.regexp_replace(s, "[A-Za-z]{3,}", "a")
+    return F.when(date_family(s).isNotNull(), F.regexp_replace(words, r"\d+", "9"))
+
+
+def parse_date(
+    s: Column, family: Column | None = None, day_first: Column | None = None
+) -> Column:
     """A stripped value as a timestamp, null when it is no calendar date.
 
     Each value is read on its own: year first, then month first, then day first,
-    then named months. Parsing is by rearranging the text into ISO order and
+    then named months. With day_first, a boolean, delimited dates are read in
+    that one order only. Parsing is by rearranging the text into ISO order and
     try_cast, which returns null on failure instead of raising inside the JVM.
     """
     family = date_family(s) if family is None else family
@@ -114,7 +123,11 @@ def parse_date(s: Column, family: Column | None = None) -> Column:
     one, two, rest = (F.split_part(numbers, F.lit("/"), F.lit(i)) for i in (1, 2, 3))
     year, time = F.substring(rest, 1, 4), F.substring(rest, F.lit(5), F.char_length(rest))
     month_first = as_ts(year, dash, one, dash, two, time)
-    day_first = as_ts(year, dash, two, dash, one, time)
+    day_month = as_ts(year, dash, two, dash, one, time)
+    if day_first is None:
+        delimited = F.coalesce(month_first, day_month)
+    else:
+        delimited = F.when(day_first, day_month).otherwise(month_first)
 
     words = F.split(F.regexp_replace(s, r",?\s+", " "), " ")
     word = lambda i: F.get(words, F.lit(i))
@@ -130,7 +143,7 @@ def parse_date(s: Column, family: Column | None = None) -> Column:
     )
     return (
         F.when(family == ISO, iso)
-        .when(family == DELIMITED, F.coalesce(month_first, day_first))
+        .when(family == DELIMITED, delimited)
         .when(family == NAMED, named)
     )
 

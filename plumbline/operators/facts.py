@@ -371,6 +371,41 @@ def date_facts(long: DataFrame) -> dict[int, dict]:
     return found
 
 
+def first_format_facts(df: DataFrame, order_by: Sequence[str], order: DataFrame) -> dict[int, dict]:
+    """Date facts when a column's first value fixes the format of all its values.
+
+    order is the table with its order_by columns. Columns whose first value is
+    no date are left out; they keep the value-by-value reading.
+    """
+    fields = df.schema.fields
+    keys = [X.ref(c) for c in order_by]
+    s = X.strip(F.col("value"))
+    out = {}
+    for i in by_kind(df, STRING):
+        c = X.ref(fields[i].name)
+        first = order.where(c.isNotNull()).orderBy(*keys).limit(1).select(c.alias("value"))
+        number = F.regexp_extract(s, r"^(\d{1,2})[-/]", 1)
+        seen = first.select(
+            X.date_shape(s).alias("shape"), (number.try_cast("int") > 12).alias("day_first")
+        ).first()
+        if seen is None or seen["shape"] is None:
+            continue
+        shape, day_first = F.lit(seen["shape"]), F.lit(bool(seen["day_first"]))
+        cells = melt(df, [i], "string").select(
+            F.when(X.date_shape(s) == shape, X.parse_date(s, day_first=day_first)).alias("ts")
+        )
+        facts = cells.agg(
+            F.count("ts").alias("dates"),
+            F.count("ts").alias("stamps"),
+            F.count_if(X.year_between(F.col("ts"), 1800, 2100)).alias("dates_in_range"),
+            F.count_if(X.year_between(F.col("ts"), 1800, 2150)).alias("stamps_ok"),
+            F.min("ts").alias("first_ts"),
+            F.max("ts").alias("last_ts"),
+        )
+        out[i] = _dates_as_text(facts).first().asDict()
+    return out
+
+
 def _aggregate(long: DataFrame, measures: dict[str, Column]) -> DataFrame:
     return long.groupBy("ordinal").agg(*[c.alias(n) for n, c in measures.items()])
 

@@ -44,7 +44,8 @@ class Assessment:
     order_by names the columns that define row order; columns the ones to
     assess (all but order_by when omitted and order_by is not data). date_sample
     limits date detection to the first n values of a column by order_by; the
-    default reads them all.
+    default reads them all. strict_first_format lets the first value of a column
+    fix the date format of all its values; the default reads each on its own.
     """
 
     def __init__(
@@ -57,6 +58,7 @@ class Assessment:
         date_sample: int | None = None,
         file_format: str = "parquet",
         min_values: int = outliers.MIN_VALUES,
+        strict_first_format: bool = False,
     ):
         self.spark = df.sparkSession
         self.dataset_id = dataset_id
@@ -64,6 +66,7 @@ class Assessment:
         self.order_by = list(order_by)
         self.date_sample = date_sample
         self.min_values = min_values
+        self.strict_first_format = strict_first_format
         self.source = df
         self.columns = list(columns or df.columns)
         self.cells = fx.scalar_cells(df.select(*[X.ref(c) for c in self.columns]))
@@ -121,6 +124,8 @@ class Assessment:
         self._merge(found)
         if sampled:
             self._merge(self._sampled_types())
+        if self.strict_first_format and not sampled and {"types", "validity"} & set(groups):
+            self._merge(fx.first_format_facts(self.cells, self.order_by, self.source))
         self._done |= set(groups)
 
     def _sampled_types(self) -> dict[int, dict]:

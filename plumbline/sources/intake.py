@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,9 +99,11 @@ def check_folder(
     )
     listed = files.select("path", "length", by_listing.alias("verdict"))
     # Spark lists empty files but does not scan them
+    location = F.regexp_replace("path", r"^(\w+):/+", "$1:/").alias("path")
+    found = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string")
     empty = (
-        spark.createDataFrame([(f,) for f in files.inputFiles()], "path string")
-        .join(files.select("path"), "path", "left_anti")
+        found.select(location)
+        .join(files.select(location), "path", "left_anti")
         .select("path", F.lit(0).cast("bigint").alias("length"))
     )
     unread = empty.withColumn("verdict", F.coalesce(by_listing, F.lit("empty file")))

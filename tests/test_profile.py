@@ -36,6 +36,39 @@ def test_date_sample_reads_only_the_first_values(check):
     assert whole["when"] == "text"
 
 
+def test_first_format_decides_when_asked(check):
+    text = "order_date\n2023-01-01\n01/02/2023\n2023-02-30\n2023-03-01\n"
+    strict = check(text, strict_first_format=True).issues().where("type = 'invalid_date'")
+    each = check(text).issues().where("type = 'invalid_date'")
+    assert strict.first()["affected_rows"] == 2 and each.first()["affected_rows"] == 1
+    day_first = "order_date\n13/02/2023\n01/02/2023\n12/31/2023\n"
+    found = check(day_first, strict_first_format=True).issues().where("type = 'invalid_date'")
+    assert found.first()["affected_rows"] == 1
+
+
+@pytest.mark.parametrize(
+    ("text", "day"),
+    [
+        ("2023-1-5", "2023-01-05"), ("2023/01/05", "2023-01-05"), ("2023-13-45", None),
+        ("2023-01-05T10:30:00Z", "2023-01-05"), ("2023-01-05 23:30:00-05:00", "2023-01-06"),
+        ("1/31/2023", "2023-01-31"), ("31-1-2023", "2023-01-31"), ("31/31/2023", None),
+        ("5 Mar 2023", "2023-03-05"), ("March 5, 2023", "2023-03-05"), ("Mar 5 2023", "2023-03-05"),
+        ("5 Mai 2023", None), ("12 March 2020 we went home", None), ("10:30", None), ("2023", None),
+    ],
+)
+def test_written_dates(spark, text, day):
+    from plumbline.functions import exprs as X
+
+    ts = X.parse_date(F.col("s"))
+    row = spark.createDataFrame([(text,)], "s string").select(F.date_format(ts, "yyyy-MM-dd"))
+    assert row.first()[0] == day
+
+
+def test_approximate_cardinality_is_close(spark):
+    df = spark.range(5000).select((F.col("id") % 1000).alias("a"))
+    assert fx.approximate_cardinality(df).first()["unique"] == pytest.approx(1000, rel=0.1)
+
+
 @pytest.mark.parametrize("partitions", [1, 8])
 def test_result_does_not_depend_on_partitioning(load, partitions):
     df = load(tables.MESSY)

@@ -117,9 +117,12 @@ def test_folder_verdicts(spark, write, tmp_path):
     write("lines.json", '{"a": 1}\n{"a": 2}\n')
     write("broken.json", "{ not valid")
     write("notes.txt", "x")
+    write("with space.csv", "a\n1\n")
     write("large.csv", "a\n" + "1\n" * 100)
     found = intake.check_folder(spark, str(tmp_path), max_bytes=100).collect()
+    assert len(found) == 10
     assert {r["filename"]: r["verdict"] for r in found} == {
+        "with_space.csv": "accepted",
         "good.csv": "accepted", "bad.csv": "not UTF-8 text", "blank.csv": "blank CSV",
         "empty.json": "empty file", "good.json": "accepted", "lines.json": "accepted",
         "broken.json": "invalid JSON", "notes.txt": "unsupported extension",
