@@ -134,7 +134,7 @@ def test_folder_verdicts(spark, write, tmp_path):
     ("name", "safe"),
     [
         ("../../etc/passwd.csv", "passwd.csv"),
-        ("my data (1).CSV", "my_data__1_.csv"),
+        ("my data (1).CSV", "my_data__1.csv"),
         ("a\x00b.json", "ab.json"),
         (".csv", "csv"),
         ("...", "dataset"),
