@@ -13,7 +13,7 @@ with the calm cell before it. The state is at most `limit` timestamps.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,15 +61,24 @@ def window_counts(
 # ---- decisions ----------------------------------------------------------------------
 
 
-def accept(times: Iterable[int], accepted: deque, limit: int, width: int) -> Iterator[bool]:
-    """Decide events in time order; accepted holds the trailing accepted times."""
-    for t in times:
-        while accepted and t - accepted[0] > width:
-            accepted.popleft()
-        ok = len(accepted) < limit
-        if ok:
-            accepted.append(t)
-        yield ok
+def _decider(limit: int, width: int) -> Callable[[Iterable[int], deque], list[bool]]:
+    """Decides events in time order, given the trailing accepted times of their key.
+
+    The function is made here so that it travels to the workers by value; they
+    need not have this package installed.
+    """
+
+    def decide(times: Iterable[int], accepted: deque) -> list[bool]:
+        flags = []
+        for t in times:
+            while accepted and t - accepted[0] > width:
+                accepted.popleft()
+            flags.append(len(accepted) < limit)
+            if flags[-1]:
+                accepted.append(t)
+        return flags
+
+    return decide
 
 
 def rate_limit(
@@ -103,6 +112,7 @@ def rate_limit(
     )
     busy = tagged.where("__run is not null").withColumn("__primer", F.lit(False))
     kept = [*df.columns, "accepted"]
+    decide_in_order = _decider(limit, width)
     columns = [*df.columns, "__key", "__t", "__run", "__primer"]
     order = [F.col("__key"), F.col("__run"), F.col("__t"), *[F.col(c) for c in tie_break]]
     ordered = (
@@ -123,7 +133,7 @@ def rate_limit(
                     continue
                 if changes[start] != current:
                     current, accepted = changes[start], deque()
-                flags += accept(batch["__t"].iloc[start:i], accepted, limit, width)
+                flags += decide_in_order(batch["__t"].iloc[start:i], accepted)
                 start = i
             batch["accepted"] = flags
             yield batch.loc[~batch["__primer"], kept]
@@ -178,6 +188,7 @@ def rate_limit_stream(
     """
     width = int(seconds * 1_000_000)
     key_type = events.schema[key].dataType.simpleString()
+    decide_in_order = _decider(limit, width)
 
     def decide(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -188,7 +199,7 @@ def rate_limit_stream(
         ready = [t for t in pending if t <= watermark]
         pending = pending[len(ready) :]
         window = deque(accepted)
-        flags = list(accept(ready, window, limit, width))
+        flags = decide_in_order(ready, window)
         while window and watermark - window[0] > width:
             window.popleft()
         if pending or window:
