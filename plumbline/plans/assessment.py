@@ -311,16 +311,23 @@ class Assessment:
         self, audit: DataFrame | None = None, cleaning_summary: DataFrame | None = None
     ) -> DataFrame:
         """The twelve report sections as rows."""
+        self._scan(SCANS)  # all that the sections need, in one scan
+        issues_, dims = self.issues(), self._one_row(self.dimensions())
+        scores = self._one_row(score.score(issues_, dims))
         return report.report(
-            dimensions=self.dimensions(),
-            footprint=self.footprint(),
-            scores=self.score(),
+            dimensions=dims,
+            footprint=self._one_row(self.footprint()),
+            scores=scores,
             profile=self.profile(),
-            issues=self.issues(),
-            summary=self.executive_summary(),
-            priorities=self.priorities(),
-            plan=self.cleaning_plan(),
-            observations=self.text_observations(),
+            issues=issues_,
+            summary=insights.executive_summary(scores, dims),
+            priorities=insights.priorities(issues_, dims),
+            plan=insights.cleaning_plan(issues_, dims),
+            observations=insights.text_observations(issues_),
             audit=audit,
             cleaning_summary=cleaning_summary,
         )
+
+    def _one_row(self, df: DataFrame) -> DataFrame:
+        """A one-row result that several sections use, computed once."""
+        return self.spark.createDataFrame([df.first()], df.schema)
