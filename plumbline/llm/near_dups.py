@@ -380,14 +380,15 @@ def near_duplicates(
     long_k: int = LONG_SKETCH,
     width: int = SHINGLE_WORDS,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, text_key.
 
     Documents are linked if their sets of word shingles have a Jaccard similarity of at
     least ``percent`` / 100; component_id is the least id that links reach. Null and
     empty texts have no shingles and are linked with nothing, each row a component of
-    its own. A null id takes part in links but is never a component_id, unless all ids
-    of the component are null; such rows are not kept. Repeated rows come out as often
-    as they went in, with the same answer. Other columns are not looked at.
+    its own. A null id takes part in links but is never a component_id; such a row is
+    kept if no row of its component has an id. Repeated rows come out as often as they
+    went in, with the same answer. Other columns are not looked at. text_key is a hash
+    of the text, to tell rows with equal or no ids apart.
     """
     rows = keep(sketches(docs, id_col, text_col, k, width))
     classes = keep(
@@ -421,5 +422,29 @@ def near_duplicates(
         "doc_id",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_key",
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int
+) -> DataFrame:
+    """The rows of docs of which one per component stays, all columns as they were.
+
+    Of each component the row with the least id stays, of equal ids one with the least
+    hash of its text, of repeated rows one. Documents without an id stay where no row of
+    their component has one, repeated ones once.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options).filter("kept")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    alone = F.when(F.col("doc_id").isNull(), F.col("text_key"))
+    picks = found.groupBy(name.alias("__name"), alone.alias("__alone")).agg(
+        F.min("text_key").alias("__text")
+    )
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    named = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = docs.withColumns({"__name": named, "__text": text})
+    keys = ["__name", "__text"]
+    rows = rows.join(picks.select(keys), keys).dropDuplicates(keys)
+    return rows.drop(*keys)

@@ -29,7 +29,7 @@ def op1_url_filter(spark, sf):
 
 @query
 def op2_near_dups(spark, sf):
-    return near_dups.near_duplicates(table(spark, sf, "documents"))
+    return near_dups.near_duplicates(table(spark, sf, "documents")).drop("text_key")
 
 
 @query
@@ -125,9 +125,9 @@ sets as materialized (
   from words),
 shingles as materialized (select k, len(s) as n, unnest(s) as x from sets),
 pairs as (
-  select a.k as u, b.k as v, count(*) as both, any_value(a.n) as na, any_value(b.n) as nb
+  select a.k as u, b.k as v, count(*) as n_both, any_value(a.n) as na, any_value(b.n) as nb
   from shingles a join shingles b on a.x = b.x and a.k < b.k group by a.k, b.k),
-links as materialized (select u, v from pairs where 100 * both >= 75 * (na + nb - both)),
+links as materialized (select u, v from pairs where 100 * n_both >= 75 * (na + nb - n_both)),
 ways as materialized (select u, v from links union select v, u from links),
 reach as (
   select k as u, k as v from sets
