@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dups, mixing, near_dups, url_filter
+from plumbline.llm import exact_dups, mixing, near_dups, token_store, url_filter
+from plumbline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +38,19 @@ def op5_exact_dups(spark, sf):
     return exact_dups.exact_duplicates(table(spark, sf, "documents"), digest_all=True)
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op7_token_store(spark, sf):
+    path = shared_folder(spark)
+    token_store.write_store(table(spark, sf, "documents"), path, word_tokenizer())
+    return token_store.read_documents(spark, path)
+
+
 @query
 def op8_mixing(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
