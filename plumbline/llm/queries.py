@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dups, mixing, near_dups, pii, token_store, url_filter
+from plumbline.llm import exact_dups, html_text, mixing, near_dups, pii, token_store, url_filter
 from plumbline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,11 @@ def op8_mixing(spark, sf):
     )
 
 
+@query
+def op9_html_text(spark, sf):
+    return html_text.extracted(table(spark, sf, "pages"))
+
+
 @query
 def op10_pii(spark, sf):
     return pii.digest(pii.personal_data(table(spark, sf, "documents")))
