@@ -49,7 +49,8 @@ _INVERSES[0] = U64(1)
 _INVERSES = np.multiply.accumulate(_INVERSES)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the polynomial's step for n bytes, and their inverses."""
     if n <= BLOCK_BYTES:
         return _POWERS, _INVERSES
     inv = np.full(n + 1, inverse(int(STEP)), U64)
@@ -78,7 +79,7 @@ def word_bounds(buf: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte runs: a polynomial over random byte values, then mixed."""
-    up, down = _tables(len(buf))
+    up, down = powers_of(len(buf))
     total = np.zeros(len(buf) + 1, U64)
     np.cumsum(BYTE_VALUES[buf] * up[: len(buf)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))

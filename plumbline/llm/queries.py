@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dups, html_text, mixing, near_dups, pii, quality, token_store, url_filter
+from plumbline.llm import exact_dups, html_text, mixing, near_dups, pii, quality, token_store, toxicity, url_filter
 from plumbline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op3_quality(spark, sf):
     return quality.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op4_toxicity(spark, sf):
+    return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op5_exact_dups(spark, sf):
     return exact_dups.exact_duplicates(table(spark, sf, "documents"), digest_all=True)
