@@ -189,11 +189,19 @@ def _shared(classes: DataFrame) -> DataFrame:
 
 
 def hopeful(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(set_key): classes whose shared values suffice for a partner."""
-    shared = _shared(classes).groupBy("set_key").agg(
-        F.first("n").alias("n"), F.count("*").alias("shared")
+    """(set_key): classes whose shared values suffice for a partner.
+
+    Values travel with eight bytes of their class's key; should two keys agree in them,
+    both classes count for more and stay.
+    """
+    short = F.xxhash64("set_key").alias("short")
+    entries = classes.select(short, F.explode("sketch").alias("value"))
+    counts = entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = entries.join(counts.select("value"), "value").groupBy("short").agg(
+        F.count("*").alias("shared")
     )
-    return shared.filter(F.col("shared") >= needed("n", k, percent)).select("set_key")
+    found = classes.select("set_key", "n", short).join(shared, "short")
+    return found.filter(F.col("shared") >= needed("n", k, percent)).select("set_key")
 
 
 def inverted_index(classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -401,6 +409,9 @@ def near_duplicates(
         )
         .select("set_key", "row.doc_id", "row.text_key", "n", "sketch")
     )
+    members = keep(rows.drop("sketch"))
+    remove(rows)
+
     wanted = hopeful(classes, k, percent).join(
         classes.select("set_key", F.col("doc_id").alias("d"), F.col("text_key").alias("t")), "set_key"
     )
@@ -416,7 +427,7 @@ def near_duplicates(
         named = named.withColumn("root", F.coalesce("root", "set_key"))
         lowest = named.groupBy("root").agg(F.min("least").alias("least"))
         named = named.drop("least").join(lowest, "root").select("set_key", "least")
-    out = rows.join(named, "set_key", "left")
+    out = members.join(named, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
