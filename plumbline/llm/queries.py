@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dups, html_text, mixing, near_dups, pii, quality, token_store, toxicity, url_filter
+from plumbline.llm import decontaminate, exact_dups, html_text, mixing, near_dups, pii, quality, token_store, toxicity, url_filter
 from plumbline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,12 @@ def op5_exact_dups(spark, sf):
     return exact_dups.exact_duplicates(table(spark, sf, "documents"), digest_all=True)
 
 
+@query
+def op6_decontaminate(spark, sf):
+    found = decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.drop("text_key")
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
