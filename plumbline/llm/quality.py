@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,8 +201,9 @@ def labelled_sample(
     ids = docs.select(F.col(id_col).alias("doc_id"))
     drawn = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # at most `most` rows of two numbers
-    return texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+    # at most `most` rows of two numbers are sent to every task
+    found = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label")
+    return found.agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fitted(sample: DataFrame) -> Model:
@@ -259,14 +261,25 @@ def scored(
     )
 
 
-def good_enough(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text scores at least the threshold, all columns as they were."""
-    model = fitted(labelled_sample(docs, labels, id_col, text_col, label_col, sample))
+def good_enough(
+    docs: DataFrame,
+    labelled: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    sample: int = SAMPLE,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows of docs whose text scores at least the threshold, all columns as they were.
 
-    @F.pandas_udf("boolean")
-    def passes(texts):
-        import pandas as pd
+    The model is fitted to the texts of ``labelled`` that ``labels`` knows, as in scored.
+    """
+    model = fitted(labelled_sample(labelled, labels, id_col, text_col, label_col, sample))
 
-        return pd.Series([model.score(x) >= threshold for x in feature_rows(pa.Array.from_pandas(texts, pa.large_string()))])
+    @F.pandas_udf("boolean")
+    def passes(texts: pd.Series) -> pd.Series:
+        column = pa.array(texts, type=pa.large_string())
+        return pd.Series([model.score(x) >= threshold for x in feature_rows(column)], dtype=bool)
 
     return docs.filter(passes(F.coalesce(F.col(text_col), F.lit(""))))

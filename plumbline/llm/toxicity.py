@@ -121,8 +121,9 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
         known.filter("label <> 1").orderBy(*order).limit(most)
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # at most 2 * most rows of two numbers
-    return texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    # at most 2 * most rows of two numbers are sent to every task
+    found = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label")
+    return found.agg(F.min("text").alias("text"))
 
 
 def found_terms(sample: DataFrame) -> list[Row]:
