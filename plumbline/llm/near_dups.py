@@ -403,7 +403,7 @@ def near_duplicates(
         rows.filter("n > 0")
         .groupBy("set_key")
         .agg(
-            F.min(F.struct("doc_id", "text_key")).alias("row"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")).alias("row"),
             F.first("n").alias("n"),
             F.first("sketch").alias("sketch"),
         )
