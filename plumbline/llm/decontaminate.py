@@ -11,8 +11,8 @@ all its edits to be met with the target recall, which is measured on edited item
 that agree in a table are verified by exact edit distance.
 
 Windows are taken everywhere in whole texts, but those that can't be close are left out
-before the walk by an exact bound: a window within d edits of an item shares at least
-w - 1 - 2d of its pairs of neighbouring words.
+before the walk by exact bounds: a window within d edits of an item shares at least w - 1 - 2d
+of its pairs of neighbouring words, and has at most d distinct words less.
 
 Items are a stated query set: they are read in blocks of ``BLOCK_ITEMS``, each block is
 one pass over the documents, and only a block is on the driver and in a task.
@@ -81,22 +81,23 @@ def sampled_places(w: np.ndarray, table: int) -> np.ndarray:
 def table_keys(windows: np.ndarray, w: np.ndarray, table: int) -> np.ndarray:
     """A key for each row of windows: its CGK walk at the sampled places.
 
-    Steps are bits of the word hash salted by the table; a window that is used up goes
-    on as zeros.
+    Steps are the high bits of the word hash times a number of the table's, a new one
+    every 32 steps; a window that is used up goes on as zeros.
     """
     n = len(windows)
     places = sampled_places(w, table)
-    salted = mix(windows ^ mix(np.array([table + 1], U64) * U64(0x9E3779B97F4A7C15)))
     rows, at, key = np.arange(n), np.zeros(n, np.int64), w.astype(U64)
-    for step in range(int(places.max(initial=-1)) + 1):
-        if step and step % 64 == 0:
-            salted = mix(salted + U64(step))
-        inside = at < w
-        current = np.where(inside, salted[rows, np.minimum(at, w - 1)], U64(0))
+    last = int(places.max(initial=-1))
+    salts = mix(np.arange(1, last // 32 + 2, dtype=U64) + U64(table << 16)) | U64(1)
+    for step in range(last + 1):
+        if step % 32 == 0:
+            salted = windows * salts[step // 32]
+        current = salted[rows, np.minimum(at, w - 1)]
+        current[at >= w] = 0
         for k in range(SAMPLED):
             here = np.flatnonzero(places[:, k] == step)
             key[here] = mix(key[here] * U64(0x9E3779B97F4A7C15) + current[here])
-        at += (current >> U64(step % 64) & U64(1)).astype(np.int64)
+        at += (current >> U64(63 - step % 32) & U64(1)).astype(np.int64)
     return key
 
 
@@ -142,6 +143,16 @@ def tables_needed(items: list[np.ndarray], share: float, recall: float) -> int:
     return MOST_TABLES
 
 
+def distinct_words(windows: np.ndarray) -> np.ndarray:
+    rows = np.sort(windows, axis=1)
+    return 1 + (rows[:, 1:] != rows[:, :-1]).sum(1)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each entry, size numbers each, one after the other."""
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
 class Searcher:
     """A block of items, ready to be looked for in texts."""
 
@@ -149,7 +160,6 @@ class Searcher:
         self.share = share
         self.ids = [i for i, _ in items]
         self.words, self.w = padded([x for _, x in items])
-        self.sizes = sorted(set(self.w.tolist()))
         self.most = np.array([edits_allowed(w, share) for w in self.w.tolist()])
         self.tables = []
         for table in range(tables_needed([x for _, x in items], share, recall)):
@@ -157,51 +167,67 @@ class Searcher:
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], order))
         pairs: dict[int, set[int]] = {}
-        for _, x in items:
+        for m, (_, x) in enumerate(items):
             for p in combine(x, 2).tolist():
-                pairs.setdefault(p, set()).add(self.sizes.index(len(x)))
+                pairs.setdefault(p, set()).add(m)
         self.pairs = np.array(sorted(pairs), U64)
-        self.of_size = np.zeros((len(self.pairs), len(self.sizes)), bool)
-        for i, p in enumerate(self.pairs.tolist()):
-            self.of_size[i, list(pairs[p])] = True
+        self.owners = np.array([m for p in self.pairs.tolist() for m in sorted(pairs[p])], np.int64)
+        self.first_owner = np.append(0, np.cumsum([len(pairs[p]) for p in self.pairs.tolist()]))
+        self.least = np.maximum(1, self.w - 1 - 2 * self.most)
+        # an edit takes away at most one of the distinct words
+        self.varied: dict[int, int] = {}
+        for (_, x), most in zip(items, self.most.tolist(), strict=True):
+            own = len(set(x.tolist())) - most
+            self.varied[len(x)] = min(own, self.varied.get(len(x), own))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.pairs >> U64(44)).astype(np.int64)] = True
 
     def windows(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(w, starts): windows of w words that share enough neighbours with items of w words."""
+        """(w, starts): windows of w words that share enough neighbours with some item."""
         found = combine(words, 2)
         at = np.flatnonzero(self.maybe[(found >> U64(44)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.pairs, found[at]), len(self.pairs) - 1)
         same = self.pairs[place] == found[at]
         at, place = at[same], place[same]
-        for i, w in enumerate(self.sizes):
-            own = at[self.of_size[place, i]]
-            least = max(1, w - 1 - 2 * edits_allowed(w, self.share))
-            if len(own) < least:
-                continue
-            first, last = own[: len(own) - least + 1], own[least - 1 :]
-            near = last - first <= w - 2
-            if not near.any():
-                continue
-            # a window from s holds pairs s .. s + w - 2
-            change = np.zeros(len(words) + 2, np.int32)
-            np.add.at(change, np.maximum(last[near] - (w - 2), 0), 1)
-            np.add.at(change, first[near] + 1, -1)
-            starts = np.flatnonzero(np.cumsum(change) > 0)
-            text = np.searchsorted(bounds, starts, "right") - 1
-            yield w, starts[starts + w <= bounds[np.minimum(text + 1, len(bounds) - 1)]]
+        times = self.first_owner[place + 1] - self.first_owner[place]
+        item = self.owners[_ranges(self.first_owner[place], times)]
+        at = np.repeat(at, times)
+        order = np.argsort(item, kind="stable")
+        item, at = item[order], at[order]
+        # from the i-th hit of an item to the one that makes enough of them
+        i = np.arange(len(item))
+        j = np.minimum(i + self.least[item] - 1, len(item) - 1)
+        enough = (j - i == self.least[item] - 1) & (item[j] == item)
+        near = np.flatnonzero(enough & (at[j] - at <= self.w[item] - 2))
+        # a window from s holds pairs s .. s + w - 2
+        w = self.w[item[near]]
+        low = np.maximum(at[j[near]] - (w - 2), 0)
+        size = at[near] - low + 1
+        named = np.unique(np.repeat(w, size) * (len(words) + 1) + _ranges(low, size))
+        sizes, starts = named // (len(words) + 1), named % (len(words) + 1)
+        text = np.searchsorted(bounds, starts, "right") - 1
+        inside = starts + sizes <= bounds[np.minimum(text + 1, len(bounds) - 1)]
+        sizes, starts = sizes[inside], starts[inside]
+        for size in np.unique(sizes).tolist():
+            yield size, starts[sizes == size]
 
     def met(self, windows: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (window, item) that agree in a table."""
+        """Distinct (window, item) that agree in a table; w ascends."""
         out = [np.zeros(0, np.int64)]
         n = len(self.ids)
-        for table, (keys, order) in enumerate(self.tables):
-            own = table_keys(windows, w, table)
-            low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
-            hit = np.flatnonzero(high > low)
-            times = high[hit] - low[hit]
-            offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            out.append(np.repeat(hit, times) * n + order[np.repeat(low[hit], times) + offset])
+        # windows of like size walk together
+        cuts = [0]
+        while cuts[-1] < len(w):
+            cuts.append(int(np.searchsorted(w, w[cuts[-1]] * 5 // 4, "right")))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part, sizes = windows[a:b, : w[b - 1]], w[a:b]
+            for table, (keys, order) in enumerate(self.tables):
+                own = table_keys(part, sizes, table)
+                low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+                hit = np.flatnonzero(high > low)
+                times = high[hit] - low[hit]
+                offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                out.append(np.repeat(a + hit, times) * n + order[np.repeat(low[hit], times) + offset])
         pairs = np.unique(np.concatenate(out))
         return pairs // n, pairs % n
 
@@ -216,8 +242,11 @@ class Searcher:
                 continue
             for w, starts in self.windows(words, bounds):
                 for part in np.array_split(starts, -(-len(starts) // AT_ONCE) or 1):
+                    windows = words[part[:, None] + np.arange(w)]
+                    varied = distinct_words(windows) >= self.varied[w]
+                    windows, part = windows[varied], part[varied]
                     text = np.searchsorted(bounds, part, "right") - 1
-                    waiting.append((words[part[:, None] + np.arange(w)], first + text, part - bounds[text]))
+                    waiting.append((windows, first + text, part - bounds[text]))
                     size += len(part)
                     if size >= AT_ONCE:
                         self._verify(waiting, best)
@@ -226,8 +255,10 @@ class Searcher:
         return best
 
     def _verify(self, waiting: list, best: dict[tuple[int, int], tuple[int, int]]) -> None:
+        waiting = [x for x in waiting if len(x[0])]
         if not waiting:
             return
+        waiting = sorted(waiting, key=lambda x: x[0].shape[1])
         w = np.concatenate([np.full(len(x), x.shape[1]) for x, _, _ in waiting])
         windows = np.zeros((len(w), int(self.w.max())), U64)
         at = 0
