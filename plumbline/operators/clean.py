@@ -19,7 +19,7 @@ from plumbline.functions import exprs as X
 from plumbline.functions import names
 from plumbline.functions import sqltext as Q
 from plumbline.operators import facts as fx
-from plumbline.operators.duplicates import keep_first
+from plumbline.operators.duplicates import data_columns, keep_first
 
 TEXT_STEPS = (
     "trim_whitespace",
@@ -96,7 +96,7 @@ class Cleaning:
         self.dataset_id = dataset_id
         self.order_by = list(order_by)
         self.source = nested_to_json(df)
-        self.columns = list(columns or [c for c in df.columns if c not in order_by])
+        self.columns = data_columns(self.source, columns, order_by)
         self.texts = text_columns(self.source, self.columns)
 
     # ---- rows -----------------------------------------------------------------------
@@ -111,10 +111,10 @@ class Cleaning:
 
     @cached_property
     def _staged(self) -> DataFrame:
-        """Every text column after each step, as columns s{step}_{column no}."""
+        """Every text column after each step, as columns __s{step}_{column no}."""
         out = self.deduplicated
         for i, c in enumerate(self.texts):
-            out = out.withColumnRenamed(c, f"s0_{i}")
+            out = out.withColumnRenamed(c, f"__s0_{i}")
         steps = (
             lambda c, name: trim(c),
             lambda c, name: collapse(c),
@@ -124,7 +124,7 @@ class Cleaning:
         for n, step in enumerate(steps, start=1):
             out = out.select(
                 "*",
-                *[step(F.col(f"s{n - 1}_{i}"), c).alias(f"s{n}_{i}") for i, c in enumerate(self.texts)],
+                *[step(F.col(f"__s{n - 1}_{i}"), c).alias(f"__s{n}_{i}") for i, c in enumerate(self.texts)],
             )
         return out
 
@@ -132,7 +132,7 @@ class Cleaning:
     def cleaned(self) -> DataFrame:
         """The cleaned rows, in the source's columns."""
         last = len(TEXT_STEPS)
-        final = {c: F.col(f"s{last}_{i}").alias(c) for i, c in enumerate(self.texts)}
+        final = {c: F.col(f"__s{last}_{i}").alias(c) for i, c in enumerate(self.texts)}
         return self._staged.select(*[final.get(c, X.ref(c)) for c in self.source.columns])
 
     # ---- audit ----------------------------------------------------------------------
@@ -145,20 +145,21 @@ class Cleaning:
     def _counts(self) -> dict:
         """One aggregate over the staged rows."""
         staged = self._staged
-        order = self.order_by or [c for c in staged.columns if not c[:2] in ("s1", "s2", "s3", "s4")]
-        first = F.struct(*[X.ref(c) for c in order])
+        before = {c: f"__s0_{i}" for i, c in enumerate(self.texts)}
+        order = self.order_by or self.source.columns
+        first = F.struct(*[X.ref(before.get(c, c)) for c in order])
         aggregates = {"rows": F.count("*")}
         for n in range(1, len(TEXT_STEPS) + 1):
             touched = F.lit(False)
             for i in range(len(self.texts)):
-                changed = ~F.col(f"s{n - 1}_{i}").eqNullSafe(F.col(f"s{n}_{i}"))
+                changed = ~F.col(f"__s{n - 1}_{i}").eqNullSafe(F.col(f"__s{n}_{i}"))
                 aggregates[f"cells_{n}_{i}"] = F.count_if(changed)
                 touched = touched | changed
             aggregates[f"rows_{n}"] = F.count_if(touched)
         last = len(TEXT_STEPS)
         position = {c: i for i, c in enumerate(self.texts)}
         for j, c in enumerate(self.columns):
-            value = F.col(f"s{last}_{position[c]}") if c in position else X.ref(c)
+            value = F.col(f"__s{last}_{position[c]}") if c in position else X.ref(c)
             aggregates[f"filled_{j}"] = F.count(value)
             if names.is_email(c):
                 bad = value.isNotNull() & ~X.is_loose_email(X.text(value))

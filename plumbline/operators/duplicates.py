@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
 from plumbline.operators.facts import STRING, kind_of
-from plumbline.session import materialize
+from plumbline.session import keep
 
-# Keys of duplicated rows that may be broadcast (at most 16 numbers and 32 bytes each).
-BROADCAST_KEYS = 200_000
+
+def data_columns(
+    df: DataFrame, columns: Sequence[str] | None, order_by: Sequence[str]
+) -> list[str]:
+    """The columns asked for, or all but those that only define the order."""
+    return list(columns or [c for c in df.columns if c not in order_by] or df.columns)
 
 
 def _cells(df: DataFrame, columns: Sequence[str] | None = None, normalize: bool = False) -> list:
@@ -70,42 +74,39 @@ def duplicate_counts(df: DataFrame, with_normalized: bool = True) -> DataFrame:
 
 
 def keep_first(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    order_by: Sequence[str] = (),
-    broadcast_keys: int = BROADCAST_KEYS,
+    df: DataFrame, columns: Sequence[str] | None = None, order_by: Sequence[str] = ()
 ) -> DataFrame:
     """One row of each group of identical rows, the first by order_by.
 
-    Columns outside the comparison (such as order_by) keep the first row's
-    values. Only rows whose key occurs twice are shuffled whole; a table without
-    duplicates comes back as it is. When the duplicated keys are too many to
-    broadcast, all rows are grouped once instead.
+    Columns outside the comparison (such as order_by) decide in their order and keep the
+    first row's values. Row keys are grouped, with map-side combine; only keys that occur
+    twice are kept, each with its first place. An anti-join drops the rows behind them,
+    and rows that are equal throughout collapse last. A table without duplicates comes
+    back as it is.
     """
-    columns = list(columns or [c for c in df.columns if c not in order_by])
+    columns = data_columns(df, columns, order_by)
+    rest = [c for c in order_by if c not in columns]
+    rest += [c for c in df.columns if c not in columns and c not in rest]
     keys = {f"__k{i}": c for i, c in enumerate(X.row_keys(_cells(df, columns)))}
-    marked = df.withColumns(keys)
-    repeated = materialize(marked.groupBy(*keys).count().where("count > 1"))
-    size = repeated.count()
-    if size == 0:
+    place = F.struct(F.lit(0).alias("p"), *[X.ref(c).alias(f"p{n}") for n, c in enumerate(rest)])
+    marked = df.withColumns(keys).withColumn("__place", place)
+    places = marked.groupBy(*keys, "__place").agg(F.count("*").alias("copies"))
+    groups = places.groupBy(*keys).agg(
+        F.sum("copies").alias("n"), F.min(F.struct("__place", "copies")).alias("m")
+    )
+    repeated = keep(
+        groups.where("n > 1").select(
+            *[F.col(n).alias(n + "r") for n in keys],
+            F.col("m.__place").alias("__first"),
+            (F.col("m.copies") > 1).alias("__tied"),
+        )
+    )
+    if repeated.isEmpty():
         return df
-    if size > broadcast_keys:
-        return _first_of_each(df, columns, order_by)
-    wanted = F.broadcast(repeated.select(*[F.col(n).alias(n + "r") for n in keys]))
     same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(n + "r")) for n in keys])
-    single = marked.join(wanted, same, "left_anti").drop(*keys)
-    copies = marked.join(wanted, same, "left_semi").drop(*keys)
-    return single.unionByName(_first_of_each(copies, columns, order_by))
-
-
-def _first_of_each(df: DataFrame, columns: list[str], order_by: Sequence[str]) -> DataFrame:
-    """Group on the whole row; min() combines map-side, so a hot row is no problem."""
-    rest = [c for c in df.columns if c not in columns]
-    if not rest:
-        return df.dropDuplicates(columns)
-    ordered = list(order_by) + [c for c in rest if c not in order_by]
-    first = F.min(F.struct(*[X.ref(c).alias(f"k{n}") for n, c in enumerate(ordered)]))
-    grouped = df.groupBy(*[X.ref(c) for c in columns]).agg(first.alias("__first"))
-    out = {c: X.ref(c) for c in columns}
-    out |= {c: F.col(f"__first.k{n}").alias(c) for n, c in enumerate(ordered)}
-    return grouped.select(*[out[c] for c in df.columns])
+    is_first = F.col("__place").eqNullSafe(F.col("__first"))
+    behind = same & (~is_first | F.col("__tied"))
+    tied = same & is_first & F.col("__tied")
+    single = marked.join(repeated, behind, "left_anti").drop(*keys, "__place")
+    equal = marked.join(repeated, tied, "left_semi").drop(*keys, "__place")
+    return single.unionByName(equal.dropDuplicates())

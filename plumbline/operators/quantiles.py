@@ -1,70 +1,45 @@
 """Exact quantiles without holding a column in one place.
 
-A quantile needs the values at one or two ranks. Columns with a bounded number
-of distinct values are ranked directly: values are counted first, map-side, so
-a ranking task sorts at most that many rows and can spill. For the others each
-quantile is bracketed with a bounded sketch and ranked inside its bracket; a
-bracket that still holds too many values is narrowed again.
+A quantile needs the values at one or two ranks. Every column's values are counted,
+map-side first, and the distinct values with their counts are dealt out by ranges of
+(column, value) and written once. The sums of the parts locate each rank in one part, and
+only the parts that hold a rank are read again and ranked. A part is as large as the
+number of shuffle partitions makes it, whatever the column.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.operators.facts import melt
-
-# Distinct values that one task may rank.
-RANKED_VALUES = 1_000_000
-# The sketch's rank error is 1 / accuracy, well inside the two grid steps of slack.
-SKETCH_ACCURACY = 10_000
-GRID = 2_000
-SLACK = 2
-
-
-@dataclass
-class _Bracket:
-    """A range of one column that holds the given ranks (0-based, of all its values)."""
-
-    column: int
-    ranks: list[int]
-    low: float = -math.inf
-    high: float = math.inf
-    below: int = 0
-    inside: int = 0
+from plumbline.session import keep, remove
 
 
 def quantiles(
-    df: DataFrame,
-    distinct: dict[int, int],
-    counts: dict[int, int],
-    probabilities: Sequence[float] = (0.25, 0.5, 0.75),
-    ranked_values: int = RANKED_VALUES,
+    df: DataFrame, counts: dict[int, int], probabilities: Sequence[float] = (0.25, 0.5, 0.75)
 ) -> dict[int, list[float]]:
     """Linearly interpolated quantiles per numeric column ordinal.
 
-    distinct and counts are the exact distinct and non-null counts per column;
-    they decide which of the two ways is safe for a column.
+    counts are the non-null counts per column; columns without values are left out.
     """
-    positions = {i: [(counts[i] - 1) * p for p in probabilities] for i, u in distinct.items() if u}
-    sides = lambda h: sorted({math.floor(h), math.ceil(h)})
-    ready, wide = [], []
-    for i, hs in positions.items():
-        if distinct[i] <= ranked_values:
-            ready.append(_Bracket(i, sorted({r for h in hs for r in sides(h)}), inside=counts[i]))
-        else:
-            wide += [_Bracket(i, sides(h), inside=counts[i]) for h in hs]
-    found = _ranked(df, ready)
-    while wide:
-        _narrow(df, wide)
-        sizes = _measure(df, wide)
-        found |= _ranked(df, [b for b, u in zip(wide, sizes, strict=True) if u <= ranked_values])
-        wide = [b for b, u in zip(wide, sizes, strict=True) if u > ranked_values]
+    positions = {i: [(n - 1) * p for p in probabilities] for i, n in counts.items() if n}
+    if not positions:
+        return {}
+    ranks = {i: sorted({r for h in hs for r in (math.floor(h), math.ceil(h))}) for i, hs in positions.items()}
+    dealt = keep(
+        melt(df, sorted(positions), "double")
+        .groupBy("ordinal", "value")
+        .agg(F.count("*").alias("n"))
+        .repartitionByRange("ordinal", "value")
+        .withColumn("part", F.spark_partition_id())
+    )
+    found = _ranked(dealt, ranks)
+    remove(dealt)
     return {
         i: [
             found[i, math.floor(h)] + (found[i, math.ceil(h)] - found[i, math.floor(h)]) * (h % 1)
@@ -74,84 +49,26 @@ def quantiles(
     }
 
 
-def _bracketed(df: DataFrame, brackets: list[_Bracket]) -> DataFrame:
-    """Cells with the brackets of their column; a few small rows per column are broadcast."""
-    table = df.sparkSession.createDataFrame(
-        [(str(b.column), n, b.low, b.high) for n, b in enumerate(brackets)],
-        "ordinal string, bracket int, low double, high double",
-    )
-    cells = melt(df, sorted({b.column for b in brackets}), "double")
-    return cells.join(F.broadcast(table), "ordinal").where("value <= high")
-
-
-def _counted(df: DataFrame, brackets: list[_Bracket]) -> DataFrame:
-    """Distinct values inside each bracket with counts; all smaller ones as one null row."""
-    return (
-        _bracketed(df, brackets)
-        .select("bracket", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
-        .groupBy("bracket", "value")
-        .agg(F.count("*").alias("n"))
-    )
-
-
-def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
-    grid = [g / GRID for g in range(GRID + 1)]
-    rows = (
-        _bracketed(df, brackets)
-        .where("value >= low")
-        .groupBy("bracket")
-        .agg(F.percentile_approx("value", grid, SKETCH_ACCURACY).alias("grid"))
-        .collect()
-    )
-    for r in rows:
-        b, values = brackets[r["bracket"]], r["grid"]
-        span = max(b.inside - 1, 1)
-        left = math.floor((b.ranks[0] - b.below) / span * GRID) - SLACK
-        right = math.ceil((b.ranks[-1] - b.below) / span * GRID) + SLACK
-        if left > 0:
-            b.low = values[left]
-        if right < GRID:
-            b.high = values[right]
-
-
-def _measure(df: DataFrame, brackets: list[_Bracket]) -> list[int]:
-    """Sets the counts below and inside each bracket; returns its distinct values."""
-    is_below = F.col("value").isNull()
-    rows = (
-        _counted(df, brackets)
-        .groupBy("bracket")
-        .agg(
-            F.sum(F.when(is_below, F.col("n")).otherwise(0)).alias("below"),
-            F.sum(F.when(is_below, 0).otherwise(F.col("n"))).alias("inside"),
-            F.count("value").alias("distinct"),
-        )
-        .collect()
-    )
-    distinct = [0] * len(brackets)
-    for r in rows:
-        b = brackets[r["bracket"]]
-        b.below, b.inside = r["below"], r["inside"]
-        distinct[r["bracket"]] = r["distinct"]
-        if not b.below <= b.ranks[0] <= b.ranks[-1] < b.below + b.inside:
-            raise ArithmeticError("a quantile left its bracket")
-    return distinct
-
-
-def _ranked(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
-    """The value at each rank; every window partition has a checked number of rows."""
-    if not brackets:
-        return {}
-    wanted = df.sparkSession.createDataFrame(
-        [(n, r, r - b.below) for n, b in enumerate(brackets) for r in b.ranks],
-        "bracket int, rank bigint, place bigint",
+def _ranked(dealt: DataFrame, ranks: dict[int, list[int]]) -> dict[tuple[int, int], float]:
+    """The value at each rank, from the parts that hold one."""
+    # columns times parts small numbers reach the driver
+    parts = dealt.groupBy("ordinal", "part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    wanted, below = [], dict.fromkeys(ranks, 0)
+    for r in parts:
+        i = int(r["ordinal"])
+        inside = [x for x in ranks[i] if below[i] <= x < below[i] + r["n"]]
+        wanted += [(str(i), r["part"], x, x - below[i]) for x in inside]
+        below[i] += r["n"]
+    table = dealt.sparkSession.createDataFrame(
+        wanted, "ordinal string, part int, rank bigint, place bigint"
     )
-    running = Window.partitionBy("bracket").orderBy("value")
+    places = F.broadcast(table)  # two rows a quantile
+    running = Window.partitionBy("ordinal", "part").orderBy("value")
     hits = (
-        _counted(df, brackets)
-        .where("value is not null")
+        dealt.join(F.broadcast(table.select("ordinal", "part").distinct()), ["ordinal", "part"], "left_semi")
         .withColumn("upto", F.sum("n").over(running))
-        .join(F.broadcast(wanted), "bracket")
+        .join(places, ["ordinal", "part"])
         .where("place < upto and place >= upto - n")
         .collect()
     )
-    return {(brackets[r["bracket"]].column, r["rank"]): r["value"] for r in hits}
+    return {(int(r["ordinal"]), r["rank"]): r["value"] for r in hits}

@@ -4,7 +4,7 @@ The passes and what they cost:
 
 1. scan        every column once; with distinct counts one shuffle of distinct
                (column, value) pairs, long text as digests, else none
-2. quartiles   numeric columns only; bounded ranking (see operators.quantiles)
+2. quartiles   numeric columns only; ranked in parts (see operators.quantiles)
 3. limits      only columns whose extremes pass a fence or a length limit
 4. row copies  one shuffle of row keys: numbers as they are, text as a digest
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +41,10 @@ def assess(df: DataFrame, dataset_id: str = "dataset", **options) -> Assessment:
 class Assessment:
     """Lazily computed quality results of one DataFrame.
 
-    order_by names the columns that define row order; columns the ones to
-    assess (all but order_by when omitted and order_by is not data). date_sample
-    limits date detection to the first n values of a column by order_by; the
-    default reads them all. strict_first_format lets the first value of a column
-    fix the date format of all its values; the default reads each on its own.
+    order_by names the columns that define row order, columns the ones to assess: all
+    but order_by when omitted, as in cleaning. strict_first_format lets the first value
+    of a column fix the date format of all its values; the default reads each on its
+    own. Without order_by, all columns define the order.
     """
 
     def __init__(
@@ -55,7 +54,6 @@ class Assessment:
         *,
         columns: Sequence[str] | None = None,
         order_by: Sequence[str] = (),
-        date_sample: int | None = None,
         file_format: str = "parquet",
         min_values: int = outliers.MIN_VALUES,
         strict_first_format: bool = False,
@@ -64,11 +62,10 @@ class Assessment:
         self.dataset_id = dataset_id
         self.file_format = file_format
         self.order_by = list(order_by)
-        self.date_sample = date_sample
         self.min_values = min_values
         self.strict_first_format = strict_first_format
         self.source = df
-        self.columns = list(columns or df.columns)
+        self.columns = duplicates.data_columns(df, columns, order_by)
         self.cells = fx.scalar_cells(df.select(*[X.ref(c) for c in self.columns]))
         self._rows: int | None = None
         self._known: dict[int, dict] = {i: {} for i in range(len(self.columns))}
@@ -119,33 +116,13 @@ class Assessment:
         groups = [g for g in groups if g not in self._done]
         if self._rows is not None and not groups:
             return
-        sampled = self.date_sample is not None and "types" in groups
-        self._rows, found = fx.scan(self.cells, [g for g in groups if g != "types" or not sampled])
+        self._rows, found = fx.scan(self.cells, groups)
         self._merge(found)
-        if sampled:
-            self._merge(self._sampled_types())
-        if self.strict_first_format and not sampled and {"types", "validity"} & set(groups):
-            self._merge(fx.first_format_facts(self.cells, self.order_by, self.source))
+        if self.strict_first_format and {"types", "validity"} & set(groups):
+            order = self.order_by or self.source.columns
+            self._merge(fx.first_format_facts(self.cells, order, self.source))
         self._done |= set(groups)
 
-    def _sampled_types(self) -> dict[int, dict]:
-        """Date and truth-word facts, the dates from the first values by order_by."""
-        strings = fx.by_kind(self.cells, fx.STRING)
-        _, whole = fx.scan(self.cells, ["types"])
-        if not strings:
-            return whole
-        order = [X.ref(c) for c in self.order_by]
-        firsts = []
-        for i in strings:
-            c = X.ref(self.columns[i])
-            first = self.source.where(c.isNotNull()).orderBy(*order).limit(self.date_sample)
-            cells = fx.scalar_cells(first.select(c)).toDF("value")
-            firsts.append(cells.select(F.lit(str(i)).alias("ordinal"), "value"))
-        sample = fx.date_facts(reduce(DataFrame.unionByName, firsts))
-        for i, found in sample.items():
-            whole[i] |= found
-        return whole
-
     def _cardinality(self, ordinals: Sequence[int] | None = None) -> None:
         ordinals = range(len(self.columns)) if ordinals is None else ordinals
         missing_ones = [i for i in ordinals if "unique" not in self._known[i]]
@@ -161,12 +138,8 @@ class Assessment:
         if "quartiles" in self._done:
             return
         self._scan()
-        self._cardinality(self._numeric())
-        found = qt.quantiles(
-            self.cells,
-            {i: self._known[i]["unique"] for i in self._numeric()},
-            {i: self._known[i]["non_null"] for i in self._numeric()},
-        )
+        counts = {i: self._known[i]["non_null"] for i in self._numeric()}
+        found = qt.quantiles(self.cells, counts)
         self._merge({i: dict(zip(("q25", "q50", "q75"), q, strict=True)) for i, q in found.items()})
         self._done.add("quartiles")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,8 +31,8 @@ def local_session(cpus: int | str = "*", name: str = "plumbline") -> SparkSessio
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only a local master falls back to a temporary folder: on a cluster a
-    machine-local folder would be lost together with its executor.
+    Only a local master without that setting gets a temporary folder, which goes when
+    Python ends: on a cluster it would be lost together with its executor.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
@@ -42,6 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
 
 

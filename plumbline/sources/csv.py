@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,41 +19,71 @@ FLOAT = (
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
-def read_csv(
-    spark: SparkSession,
-    path: str,
-    *,
-    quoted_newlines: bool = True,
-    extra_fields: str = "fail",
-) -> DataFrame:
-    """A CSV file or folder with a header row, typed from its values.
+def read_csv(spark: SparkSession, path: str, *, quoted_newlines: bool = True) -> DataFrame:
+    """A CSV file or folder with header rows, typed from its values.
 
     quoted_newlines allows line breaks inside quotes, which makes a file one
     task; switch it off for large files without them, so they are split.
-    Rows with more fields than the header raise an error, or lose the surplus
-    with extra_fields="drop".
+    Files of a folder may order their columns differently or lack some; a
+    missing column is null. A row with more fields than its header is an error.
     """
-    text = scan_text(spark, path, quoted_newlines=quoted_newlines, extra_fields=extra_fields)
+    text = scan_text(spark, path, quoted_newlines=quoted_newlines)
     return cast_inferred(text, infer_physical(text))
 
 
-def scan_text(
-    spark: SparkSession, path: str, *, quoted_newlines: bool = True, extra_fields: str = "fail"
-) -> DataFrame:
-    """The file as text columns with null tokens nulled."""
+def scan_text(spark: SparkSession, path: str, *, quoted_newlines: bool = True) -> DataFrame:
+    """The files as text columns with null tokens nulled.
+
+    Files with the same first line are read together; as many headers reach the
+    driver as there are different ones. Line breaks inside a header are only
+    understood where all files have the same.
+    """
     reader = spark.read.options(
         escape='"', multiLine=str(quoted_newlines).lower(), encoding="UTF-8"
     )
-    head = reader.option("header", "false").csv(path).first()
-    names = column_names([] if head is None else list(head))
-    surplus = "__surplus"
-    schema = ", ".join(f"c{i} string" for i in range(len(names))) + f", {surplus} string"
-    raw = reader.option("header", "true").option("enforceSchema", "true").schema(schema).csv(path)
-    cells = [null_tokens(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)]
-    if extra_fields == "fail":
-        too_many = F.raise_error(F.lit("a row has more fields than the header"))
-        raw = raw.where(F.when(F.col(surplus).isNull(), F.lit(True)).otherwise(too_many.cast("boolean")))
-    return raw.select(*cells)
+    first_lines = _first_lines(spark, path)
+    found = first_lines.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()
+    if len(found) < 2:
+        head = reader.option("header", "false").csv(path).first()
+        return _rows(reader, path, column_names([] if head is None else list(head)), None)
+    parts = []
+    for r in found:
+        names = column_names(_cells_of(spark, r["header"]))
+        files = first_lines.where(F.col("header") == r["header"]).select("file")
+        parts.append(_rows(reader, path, names, files))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header): the first line with content of each file."""
+    begins = spark.read.text(path).where("_metadata.file_block_start = 0 and value <> ''")
+    lines = begins.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.monotonically_increasing_id().alias("i"), "value").alias("line"),
+    )
+    firsts = lines.groupBy("file").agg(F.min("line").alias("m"))
+    return firsts.select("file", F.col("m.value").alias("header"))
+
+
+def _cells_of(spark: SparkSession, header: str) -> list[str | None]:
+    """The cells of one CSV line."""
+    line = spark.createDataFrame([(header,)], "value string")
+    schema = ", ".join(f"c{i} string" for i in range(header.count(",") + 1))
+    cells = list(line.select(F.from_csv("value", F.lit(schema), {"escape": '"'}).alias("c")).select("c.*").first())
+    commas = F.regexp_replace("value", r'"(?:[^"]|"")*"', "")
+    n = line.select(F.length(F.regexp_replace(commas, "[^,]", ""))).first()[0] + 1
+    return cells[:n]
+
+
+def _rows(reader, path: str, names: list[str], files: DataFrame | None) -> DataFrame:
+    """The rows under a header, of all files or of some."""
+    schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", __surplus string"
+    raw = reader.options(header="true", enforceSchema="true").schema(schema).csv(path)
+    if files is not None:
+        raw = raw.withColumn("file", F.col("_metadata.file_path")).join(files, "file", "left_semi")
+    too_many = F.raise_error(F.lit("a row has more fields than the header")).cast("boolean")
+    raw = raw.where(F.when(F.col("__surplus").isNull(), F.lit(True)).otherwise(too_many))
+    return raw.select(*[null_tokens(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def column_names(header: list[str | None]) -> list[str]:

@@ -14,7 +14,6 @@ from plumbline.functions import constants as k
 from plumbline.functions import exprs as X
 
 PREVIEW_ROWS = 5
-JSON_LINES_CHECKED = 10
 
 
 # ---- names --------------------------------------------------------------------------
@@ -60,78 +59,99 @@ def mime_verdict(path: Column, content_type: Column) -> Column:
     )
 
 
-def check_manifest(manifest: DataFrame) -> DataFrame:
-    """Verdict rows for (filename, content_type, size)."""
+def check_manifest(manifest: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Verdict rows for (filename, content_type, size); no size limit unless one is given."""
     size = F.col("size")
     verdict = mime_verdict(F.col("filename"), F.col("content_type"))
+    too_large = F.lit(False) if max_bytes is None else size > max_bytes
     return manifest.select(
         "*",
         F.when(verdict != "accepted", verdict)
         .when(size == 0, "empty file")
-        .when(size > k.MAX_FILE_BYTES, "file too large")
+        .when(too_large, "file too large")
         .otherwise("accepted")
         .alias("verdict"),
     )
 
 
-def _json_content_ok(text: Column) -> Column:
+def _is_json(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull()
+
+
+def content_verdict(path: Column, text: Column) -> Column:
+    """accepted, or what is wrong with a whole text under a file name.
+
+    A JSON text is one document, or every line with content is one.
+    """
     body = F.regexp_replace(text, "^﻿", "")
-    lines = F.split(X.strip(body), r"\r\n|\n|\r")
-    first_lines = F.slice(lines, 1, JSON_LINES_CHECKED)
-    lines_ok = F.forall(first_lines, lambda line: F.try_parse_json(line).isNotNull())
-    return F.try_parse_json(body).isNotNull() | ((X.strip(body) != "") & lines_ok)
+    lines = F.filter(F.split(body, r"\r\n|\n|\r"), lambda line: X.strip(line) != "")
+    lines_ok = (F.size(lines) > 0) & F.forall(lines, _is_json)
+    json_ok = F.is_valid_utf8(text) & (_is_json(body) | lines_ok)
+    return (
+        F.when(~extension(path).isin(*k.EXTENSIONS), "unsupported extension")
+        .when(F.octet_length(text) == 0, "empty file")
+        .when((extension(path) == ".csv") & ~F.is_valid_utf8(text), "not UTF-8 text")
+        .when((extension(path) == ".csv") & (X.strip(text) == ""), "blank CSV")
+        .when((extension(path) == ".json") & ~F.coalesce(json_ok, F.lit(False)), "invalid JSON")
+        .otherwise("accepted")
+    )
 
 
-def check_folder(
-    spark: SparkSession, folder: str, max_bytes: int = k.MAX_FILE_BYTES
-) -> DataFrame:
-    """One verdict row per file of a folder.
+def check_folder(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
+    """One verdict row per file of a folder, with the lines that are no JSON by themselves.
 
-    Sizes come from the listing; only files within the size limit are opened.
-    CSV text is checked whole, a JSON document whole or by its first ten lines.
+    There is no size limit unless one is given. Contents are checked line by line, all
+    lines of every file, so a file need not fit one row. Only a JSON file that isn't
+    JSON by lines is read whole: a document over many lines is one value by nature.
+    The names of the files are on the driver, as in any read of a folder.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     path = F.col("path")
-    by_listing = (
-        F.when(~extension(path).isin(*k.EXTENSIONS), "unsupported extension")
-        .when(F.col("length") == 0, "empty file")
-        .when(F.col("length") > max_bytes, "file too large")
-    )
-    listed = files.select("path", "length", by_listing.alias("verdict"))
+    known = extension(path).isin(*k.EXTENSIONS)
     # Spark lists empty files but does not scan them
     location = F.regexp_replace("path", r"^(\w+):/+", "$1:/").alias("path")
     found = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string")
-    empty = (
-        found.select(location)
-        .join(files.select(location), "path", "left_anti")
-        .select("path", F.lit(0).cast("bigint").alias("length"))
+    empty = found.select(location).join(files.select(location), "path", "left_anti")
+    listed = files.select(location, "length").unionByName(
+        empty.select("path", F.lit(0).cast("bigint").alias("length"))
     )
-    unread = empty.withColumn("verdict", F.coalesce(by_listing, F.lit("empty file")))
-    text = F.col("content").cast("string")
-    valid = F.is_valid_utf8(text)
-    by_content = (
-        F.when(~valid & (extension(path) == ".csv"), "not UTF-8 text")
-        .when((extension(path) == ".csv") & (X.strip(text) == ""), "blank CSV")
-        .when(
-            (extension(path) == ".json")
-            & ~F.coalesce(valid & _json_content_ok(text), F.lit(False)),
-            "invalid JSON",
-        )
-        .otherwise("accepted")
+    too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    text = spark.read.option("recursiveFileLookup", "true")
+    where = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^(\w+):/+", "$1:/")
+    bare = F.regexp_replace("value", "^﻿", "")  # repairs what is no text, so that is asked first
+    lines = text.text(folder).select(
+        where.alias("path"), bare.alias("value"), F.is_valid_utf8("value").alias("valid")
+    ).where(known)
+    is_json_file = extension(path) == ".json"
+    filled = X.strip(F.col("value")) != ""
+    by_lines = lines.groupBy("path").agg(
+        F.count_if(filled).alias("filled"),
+        F.count_if(filled & is_json_file & ~_is_json(F.col("value"))).alias("bad_lines"),
+        F.count_if(~F.col("valid")).alias("not_text"),
     )
-    opened = files.where((F.col("length") > 0) & (F.col("length") <= max_bytes)).where(
-        extension(path).isin(*k.EXTENSIONS)
+    doubtful = by_lines.where(is_json_file & (F.col("bad_lines") > 0)).select("path")
+    whole = text.text(folder, wholetext=True).select(where.alias("path"), bare.alias("value"))
+    documents = whole.join(doubtful, "path", "left_semi").where(_is_json(F.col("value")))
+    documents = documents.select("path", F.lit(True).alias("document"))
+    checked = listed.join(by_lines, "path", "left").join(documents, "path", "left")
+    no_lines = F.coalesce(F.col("filled"), F.lit(0)) == 0
+    bad = (F.col("bad_lines") > 0) & F.col("document").isNull()
+    not_text = F.coalesce(F.col("not_text"), F.lit(0)) > 0
+    verdict = (
+        F.when(~known, "unsupported extension")
+        .when(F.col("length") == 0, "empty file")
+        .when(too_large, "file too large")
+        .when((extension(path) == ".csv") & not_text, "not UTF-8 text")
+        .when((extension(path) == ".csv") & no_lines, "blank CSV")
+        .when(is_json_file & (not_text | no_lines | F.coalesce(bad, F.lit(False))), "invalid JSON")
+        .otherwise("accepted")
     )
-    return (
-        listed.where("verdict is not null")
-        .unionByName(unread)
-        .unionByName(opened.select("path", "length", by_content.alias("verdict")))
-        .select(
-            sanitize_filename(path).alias("filename"),
-            F.regexp_replace(extension(path), r"^\.", "").alias("format"),
-            F.col("length").alias("size_bytes"),
-            "verdict",
-        )
+    return checked.select(
+        sanitize_filename(path).alias("filename"),
+        F.regexp_replace(extension(path), r"^\.", "").alias("format"),
+        F.col("length").alias("size_bytes"),
+        verdict.alias("verdict"),
+        F.when(F.col("document").isNull(), F.coalesce("bad_lines", F.lit(0))).otherwise(0).alias("bad_lines"),
     )
 
 

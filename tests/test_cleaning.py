@@ -60,12 +60,35 @@ def expected_firsts(df):
     return sorted((k, *ab) for ab, k in first.items())
 
 
-def test_keep_first_broadcast_and_grouped_agree(spark):
+def test_keep_first_is_the_first_by_order(spark):
     df = copies(spark)
-    wanted = expected_firsts(df)
-    for limit in (0, 200_000):
-        out = keep_first(df, ["a", "b"], ["k"], broadcast_keys=limit)
-        assert sorted(tuple(r) for r in out.collect()) == wanted
+    out = keep_first(df, ["a", "b"], ["k"])
+    assert sorted(tuple(r) for r in out.collect()) == expected_firsts(df)
+
+
+def test_keep_first_of_rows_equal_throughout(spark):
+    rows = [(1, "x"), (1, "x"), (2, "x"), (None, None), (None, None), (None, None), (3, None)]
+    df = spark.createDataFrame(rows, "k int, b string")
+    assert sorted(map(str, keep_first(df).collect())) == sorted(map(str, set(df.collect())))
+    assert sorted(map(str, keep_first(df, ["b"], ["k"]).collect())) == sorted(
+        map(str, spark.createDataFrame([(1, "x"), (None, None)], df.schema).collect())
+    )
+
+
+def test_order_by_a_cleaned_text_column(spark):
+    rows = [("b ", "A@B.de", 1), ("b ", "A@B.de", 1), ("a", "nope", -2)]
+    df = spark.createDataFrame(rows, "name string, email string, s1_age int")
+    c = Cleaning(df, columns=["name", "email", "s1_age"], order_by=["name"])
+    assert c.summary().first()["cleaned_rows"] == 2
+    assert Cleaning(df).summary().first()["rows_removed"] == 1
+
+
+def test_assess_and_clean_take_the_same_columns(spark):
+    from plumbline import assess
+
+    df = spark.createDataFrame([(1, "a", 5), (2, "a", 5), (3, "b", 6)], "row_id int, t string, n int")
+    assert assess(df, order_by=["row_id"]).row_copies().first()["exact_extra"] == 1
+    assert Cleaning(df, order_by=["row_id"]).summary().first()["rows_removed"] == 1
 
 
 def test_keep_first_leaves_a_table_without_copies_alone(spark):

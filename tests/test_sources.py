@@ -43,7 +43,15 @@ def test_csv_with_too_many_fields(spark, write):
     path = write("b.csv", "a,b\n1,2\n3,4,5\n6\n")
     with pytest.raises(Exception, match="more fields"):
         read_csv(spark, path).collect()
-    assert sorted(r["a"] for r in read_csv(spark, path, extra_fields="drop").collect()) == [1, 3, 6]
+
+
+def test_csv_folder_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,x\n')
+    (tmp_path / "b.csv").write_text('b,a\nz,3\n')
+    (tmp_path / "c.csv").write_text('a,"c, d"\n5,"l\nm"\n')
+    df = read_csv(spark, str(tmp_path))
+    assert df.columns == ["a", "b", "c, d"] and dict(df.dtypes)["a"] == "bigint"
+    assert sorted(map(tuple, df.collect())) == [(1, "x", None), (3, "z", None), (5, None, "l\nm")]
 
 
 SHAPES = {

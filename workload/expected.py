@@ -857,6 +857,23 @@ select page_id, size::bigint size, case
   when size = 0 then 'empty file' when size > {k.MAX_FILE_BYTES} then 'file too large'
   else 'accepted' end verdict from e
 """
+INTAKE_AUDIT = """
+select * from (values ('csv', 'accepted', 1::bigint, 0::bigint), ('json', 'accepted', 1, 0),
+  ('txt', 'unsupported extension', 1, 0)) t(format, verdict, files, bad_lines)
+"""
+INTAKE_CONTENT = """
+with t as (
+  select 'd' || doc_id || case doc_id % 2 when 0 then '.csv' else '.JSON' end filename,
+    case doc_id % 5 when 0 then '' when 1 then ' ' || chr(10) || ' ' else text end as body from documents
+  union all
+  select 'e' || event_id || '.json', case event_id % 3 when 0 then left(props, length(props) - 1)
+    when 1 then props || chr(10) || props else props end from events),
+ l as (select *, list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '') as parts from t)
+select filename, case when body = '' then 'empty file'
+  when lower(filename) like '%.csv' then case when len(parts) = 0 then 'blank CSV' else 'accepted' end
+  when json_valid(body) or (len(parts) > 0 and len(list_filter(parts, lambda x: not json_valid(x))) = 0) then 'accepted'
+  else 'invalid JSON' end as verdict from l
+"""
 CUTOFF = f"timestamp '{AS_OF}' - interval 24 hour"
 
 # ---- registry -----------------------------------------------------------------------
@@ -1079,6 +1096,8 @@ EXPECTED: dict[str, str] = {
     "6::bigint column_count, count(*) row_count from orders",
     "sanitize_filename": f"select page_id, {sanitized('url')} as filename from pages",
     "mime_rules": MIME,
+    "intake_audit": INTAKE_AUDIT,
+    "intake_content": INTAKE_CONTENT,
     "retention": f"select event_id, user_id from events where ts >= {CUTOFF}",
     "retention_purged": f"select count(*) filter (where ts < {CUTOFF}) purged, count(*) filter (where ts >= {CUTOFF}) retained from events",
     "delete_dataset": "select event_id, 'dataset_' || event_type dataset_id from events where event_type <> 'click'",

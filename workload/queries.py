@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import Assessment
+from plumbline.functions import constants
 from plumbline.functions import exprs as X
 from plumbline.operators import (
     clean,
@@ -120,12 +121,11 @@ def profile_numeric_dirty(spark, sf):
 
 @query
 def quartiles_bracketed(spark, sf):
-    """The exact quantile path for columns too wide for one buffer."""
+    """Quantiles of columns with many and with few distinct values."""
     df = views.table(spark, sf, "lineitem").select("l_extendedprice", "l_partkey", "l_tax")
     _, found = fx.scan(df, [])
     counts = {i: f["non_null"] for i, f in found.items()}
-    distinct = {i: f["unique"] for i, f in fx.cardinality(df).items()}
-    rows = qt.quantiles(df, distinct, counts, ranked_values=100)
+    rows = qt.quantiles(df, counts)
     return spark.createDataFrame(
         [(df.columns[i], *q) for i, q in rows.items()],
         "column string, q25 double, q50 double, q75 double",
@@ -780,16 +780,41 @@ def manifest(spark, sf) -> DataFrame:
 
 @query
 def mime_rules(spark, sf):
-    return intake.check_manifest(manifest(spark, sf)).select("page_id", "size", "verdict")
+    checked = intake.check_manifest(manifest(spark, sf), constants.MAX_FILE_BYTES)
+    return checked.select("page_id", "size", "verdict")
 
 
 @query
 def intake_audit(spark, sf):
+    """Files written from the given tables, one each so that counts are known, and their verdicts."""
     path = scratch(spark)
-    sinks.write_csv(views.table(spark, sf, "orders"), f"{path}/orders")
-    sinks.write_json(views.table(spark, sf, "customer"), f"{path}/customer")
+    sinks.write_csv(views.table(spark, sf, "orders").coalesce(1), f"{path}/orders")
+    sinks.write_json(views.table(spark, sf, "customer").coalesce(1), f"{path}/customer")
+    names = views.table(spark, sf, "part").select(F.col("p_name").cast("string"))
+    names.coalesce(1).write.text(f"{path}/part")
     checked = intake.check_folder(spark, path)
-    return checked.groupBy("format", "verdict").agg((F.count("*") > 0).alias("found"))
+    return checked.groupBy("format", "verdict").agg(
+        F.count("*").alias("files"), F.sum("bad_lines").alias("bad_lines")
+    )
+
+
+@query
+def intake_content(spark, sf):
+    """Contents under file names, accepted and rejected."""
+    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    events = views.table(spark, sf, "events").select("event_id", "props")
+    kind = F.col("event_id") % 3
+    cut = F.when(kind == 0, F.expr("left(props, length(props) - 1)")).when(kind == 1, F.concat("props", F.lit("\n"), "props"))
+    texts = docs.select(
+        F.concat(F.lit("d"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".csv").otherwise(".JSON")).alias("filename"),
+        F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 5 == 1, F.lit(" \n ")).otherwise(F.col("text")).alias("content"),
+    ).unionByName(
+        events.select(
+            F.concat(F.lit("e"), "event_id", F.lit(".json")).alias("filename"),
+            F.coalesce(cut, F.col("props")).alias("content"),
+        )
+    )
+    return texts.select("filename", intake.content_verdict(F.col("filename"), F.col("content")).alias("verdict"))
 
 
 AS_OF = "2024-01-20 12:00:00"
