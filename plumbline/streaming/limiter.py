@@ -24,6 +24,10 @@ from pyspark.sql.window import Window
 from plumbline.functions import constants as k
 
 
+#: Parts of a window-long cell that are summed apart.
+CELL_PARTS = 1024
+
+
 def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
@@ -39,23 +43,49 @@ def window_counts(
 ) -> DataFrame:
     """Events of the same key in the trailing window, both ends included.
 
-    Counted per cell of one window length: an event sees its own cell and the
-    one before, so each event is copied once into the next cell and a hot key is
-    spread over its cells instead of sorted in one task.
+    Events are counted by key and time first. A window reaches from its own cell into
+    the one before, so its count is what the earlier cell holds from t - width on, plus
+    what its own cell holds up to t. Both come from running sums within cells: over the
+    sums of a cell's parts, of which there are at most CELL_PARTS, and inside a part. A
+    hot key is spread over its parts, and the work grows with the events. Events without
+    a time are counted among themselves.
     """
     width = int(seconds * 1_000_000)
-    base = df.withColumn("__t", _micros(ts)).withColumn("__cell", _cell(F.col("__t"), width))
-    copies = base.select(
-        "*", F.explode(F.array(F.lit(0), F.lit(1))).alias("__shift")
-    ).withColumn("__cell", F.col("__cell") + F.col("__shift"))
-    trailing = (
-        Window.partitionBy(key, "__cell").orderBy("__t").rangeBetween(-width, Window.currentRow)
+    part_width = max(1, width // CELL_PARTS)
+    base = df.withColumns({"__t": _micros(ts), "__key": F.col(key)})
+    points = base.groupBy("__key", "__t").agg(F.count("*").alias("n"))
+    timed = points.where("__t is not null")
+    own = timed.select("__key", "__t", F.col("__t").alias("at"), F.lit(1).alias("event"), "n")
+    far = timed.select(
+        "__key", "__t", (F.col("__t") - width).alias("at"), F.lit(0).alias("event"),
+        F.lit(0).cast("bigint").alias("n"),
     )
-    return (
-        copies.withColumn("window_count", F.count("*").over(trailing))
-        .where("__shift = 0")
-        .drop("__t", "__cell", "__shift")
+    rows = own.union(far).withColumns(
+        {"cell": _cell(F.col("at"), width), "part": _cell(F.col("at"), part_width)}
+    )
+    in_cell = Window.partitionBy("__key", "cell").orderBy("part")
+    parts = rows.groupBy("__key", "cell", "part").agg(F.sum("n").alias("here"))
+    parts = parts.withColumns(
+        {
+            "earlier": F.sum("here").over(in_cell) - F.col("here"),
+            "whole": F.sum("here").over(Window.partitionBy("__key", "cell")),
+        }
+    ).select(F.col("__key").alias("k"), F.col("part").alias("p"), F.col("cell").alias("c"), "earlier", "whole")
+    # at one time, what looks back comes before what happens
+    in_part = Window.partitionBy("__key", "cell", "part").orderBy("at", "event").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    same = F.col("__key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")) & (F.col("cell") == F.col("c"))
+    upto = rows.withColumn("inside", F.sum("n").over(in_part)).join(parts, same)
+    reached = F.col("earlier") + F.col("inside")
+    counts = upto.groupBy("__key", "__t").agg(
+        F.sum(F.when(F.col("event") == 1, reached).otherwise(F.col("whole") - reached)).alias("window_count")
+    )
+    counts = counts.union(points.where("__t is null")).select(
+        F.col("__key").alias("__k"), F.col("__t").alias("__at"), "window_count"
     )
+    at_once = F.col("__key").eqNullSafe(F.col("__k")) & F.col("__t").eqNullSafe(F.col("__at"))
+    return base.join(counts, at_once).select(*[F.col(f"`{c}`") for c in df.columns], "window_count")
 
 
 # ---- decisions ----------------------------------------------------------------------

@@ -107,3 +107,27 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_cells_cover_negative_times(spark):
     df = spark.createDataFrame([(-1,), (0,), (59,), (60,)], "t bigint")
     assert [r[0] for r in df.select(limiter._cell(F.col("t"), 60)).collect()] == [-1, 0, 0, 1]
+
+
+def test_window_counts_of_one_hot_key(spark):
+    """A million events of one key inside one window, among them some at one time."""
+    n = 1_000_000
+    events = spark.range(n).select(
+        F.lit("hot").alias("k"), "id", F.timestamp_micros(F.expr("1700000000000000 + (id div 2) * 20")).alias("at")
+    )
+    found = limiter.window_counts(events, "k", "at", 10.0)
+    row = found.agg(F.max("window_count"), F.min("window_count"), F.count("*"), F.sum("window_count")).first()
+    # 500 000 times 20 microseconds apart: a window of 10 s holds all before it
+    assert row[0] == n and row[1] == 2 and row[2] == n
+    assert row[3] == sum(2 * 2 * (i + 1) for i in range(n // 2))
+
+
+def test_window_counts_equal_counting(spark):
+    rng = __import__("random").Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)])) for _ in range(300)]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "id int, k string, s int")
+    df = df.withColumn("at", F.timestamp_seconds("s"))
+    got = {r["id"]: r["window_count"] for r in limiter.window_counts(df, "k", "at", 7).collect()}
+    for i, (k, t) in enumerate(rows):
+        near = [1 for k2, t2 in rows if k2 == k and ((t is None and t2 is None) or (t is not None and t2 is not None and t - 7 <= t2 <= t))]
+        assert got[i] == len(near)

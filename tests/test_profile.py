@@ -13,18 +13,18 @@ from plumbline.operators import quantiles as qt
 
 def test_profile_of_six_rows(check):
     p = {r["name"]: r for r in check(tables.SIX_ROWS).profile().collect()}
-    score = p["score"]["numeric_stats"]
-    assert p["score"]["inferred_type"] == "numeric"
-    assert (score["min"], score["max"], score["mean"]) == (10.0, 50.0, 30.0)
-    assert (score["q25"], score["q50"], score["q75"]) == (20.0, 30.0, 40.0)
-    assert p["score"]["null_percentage"] == 16.67
-    top = p["department"]["top_values"][0]
-    assert (top["value"], top["count"], top["percentage"]) == ("Engineering", 3, 50.0)
-    assert p["created_at"]["inferred_type"] == "datetime"
-    assert p["created_at"]["date_stats"]["earliest"] == "2023-01-01 00:00:00"
-    assert p["ambiguous_year"]["inferred_type"] == "numeric"
-    assert p["ambiguous_year"]["date_stats"] is None
-    assert p["comments"]["null_count"] == 2  # an empty cell and N/A
+    rating = p["rating"]["numeric_stats"]
+    assert p["rating"]["inferred_type"] == "numeric"
+    assert (rating["min"], rating["max"], rating["mean"]) == (4.0, 20.0, 12.0)
+    assert (rating["q25"], rating["q50"], rating["q75"]) == (8.0, 12.0, 16.0)
+    assert p["rating"]["null_percentage"] == 16.67
+    top = p["team"]["top_values"][0]
+    assert (top["value"], top["count"], top["percentage"]) == ("Kiln", 3, 50.0)
+    assert p["opened_at"]["inferred_type"] == "datetime"
+    assert p["opened_at"]["date_stats"]["earliest"] == "2020-03-01 00:00:00"
+    assert p["model_year"]["inferred_type"] == "numeric"
+    assert p["model_year"]["date_stats"] is None
+    assert p["remark"]["null_count"] == 2  # an empty cell and N/A
 
 
 def test_first_format_decides_when_asked(check):
@@ -72,7 +72,7 @@ def test_result_does_not_depend_on_partitioning(load, partitions):
     columns = [c for c in df.columns if c != "__row"]
     df = df.orderBy(F.desc("age")).repartition(partitions)
     a = Assessment(df, "test", columns=columns, order_by=["__row"])
-    assert a.score().first()["overall"] == 50
+    assert a.score().first()["overall"] == 37
 
 
 def test_edge_frames(spark):

@@ -857,6 +857,18 @@ select page_id, size::bigint size, case
   when size = 0 then 'empty file' when size > {k.MAX_FILE_BYTES} then 'file too large'
   else 'accepted' end verdict from e
 """
+# one event of each key after the other, with the accepted times still in its window
+RATE_LIMIT = """
+with recursive e as materialized (
+  select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+r as (
+  select event_id, user_id, rn, [ts] as kept, true as accepted from e where rn = 1
+  union all
+  select event_id, user_id, rn, case when len(near) < 3 then list_append(near, ts) else near end, len(near) < 3
+  from (select e.*, list_filter(r.kept, lambda x: e.ts - x <= interval 1 day) as near
+    from r join e on e.user_id is not distinct from r.user_id and e.rn = r.rn + 1))
+select event_id, user_id, accepted from r
+"""
 INTAKE_AUDIT = """
 select * from (values ('csv', 'accepted', 1::bigint, 0::bigint), ('json', 'accepted', 1, 0),
   ('txt', 'unsupported extension', 1, 0)) t(format, verdict, files, bad_lines)
@@ -1096,6 +1108,7 @@ EXPECTED: dict[str, str] = {
     "6::bigint column_count, count(*) row_count from orders",
     "sanitize_filename": f"select page_id, {sanitized('url')} as filename from pages",
     "mime_rules": MIME,
+    "rate_limit": RATE_LIMIT,
     "intake_audit": INTAKE_AUDIT,
     "intake_content": INTAKE_CONTENT,
     "retention": f"select event_id, user_id from events where ts >= {CUTOFF}",
