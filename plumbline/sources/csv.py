@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,23 +35,23 @@ def read_csv(spark: SparkSession, path: str, *, quoted_newlines: bool = True) ->
 def scan_text(spark: SparkSession, path: str, *, quoted_newlines: bool = True) -> DataFrame:
     """The files as text columns with null tokens nulled.
 
-    Files with the same first line are read together; as many headers reach the
-    driver as there are different ones. Line breaks inside a header are only
-    understood where all files have the same.
+    Files with the same first line are read together; names and first lines of the
+    files reach the driver. Line breaks inside a header are only understood where all
+    files have the same.
     """
     reader = spark.read.options(
         escape='"', multiLine=str(quoted_newlines).lower(), encoding="UTF-8"
     )
-    first_lines = _first_lines(spark, path)
-    found = first_lines.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()
-    if len(found) < 2:
+    by_header: dict[str, list[str]] = {}
+    for r in _first_lines(spark, path).orderBy("file").collect():
+        by_header.setdefault(r["header"], []).append(unquote(r["file"]))
+    if len(by_header) < 2:
         head = reader.option("header", "false").csv(path).first()
-        return _rows(reader, path, column_names([] if head is None else list(head)), None)
-    parts = []
-    for r in found:
-        names = column_names(_cells_of(spark, r["header"]))
-        files = first_lines.where(F.col("header") == r["header"]).select("file")
-        parts.append(_rows(reader, path, names, files))
+        return _rows(reader, path, column_names([] if head is None else list(head)))
+    parts = [
+        _rows(reader, files, column_names(_cells_of(spark, header)))
+        for header, files in by_header.items()
+    ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -75,12 +76,10 @@ def _cells_of(spark: SparkSession, header: str) -> list[str | None]:
     return cells[:n]
 
 
-def _rows(reader, path: str, names: list[str], files: DataFrame | None) -> DataFrame:
-    """The rows under a header, of all files or of some."""
+def _rows(reader, path: str | list[str], names: list[str]) -> DataFrame:
+    """The rows under a header."""
     schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", __surplus string"
     raw = reader.options(header="true", enforceSchema="true").schema(schema).csv(path)
-    if files is not None:
-        raw = raw.withColumn("file", F.col("_metadata.file_path")).join(files, "file", "left_semi")
     too_many = F.raise_error(F.lit("a row has more fields than the header")).cast("boolean")
     raw = raw.where(F.when(F.col("__surplus").isNull(), F.lit(True)).otherwise(too_many))
     return raw.select(*[null_tokens(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])

@@ -7,8 +7,9 @@ of the format; large data belongs in JSON Lines.
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,10 +27,18 @@ class JsonError(ValueError):
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Any of the shapes as a table; nested cells that stay are JSON text."""
-    shape, key = detect_shape(spark, path)
-    if shape == "empty":
+    """Any of the shapes as a table; nested cells that stay are JSON text.
+
+    Each file of a folder has its own shape. Files of one shape are read together, the
+    tables are united by column names, and a column that a file lacks is null.
+    """
+    parts = [_read_shape(spark, files, shape, key) for shape, key, files in file_shapes(spark, path)]
+    if not parts:
         return spark.createDataFrame([], T.StructType([]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _read_shape(spark: SparkSession, path: list[str], shape: str, key: str | None) -> DataFrame:
     if shape == "lines":
         return nested_to_json(read_json_lines(spark, path))
     if shape == "scalars":
@@ -44,51 +53,95 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     if shape == "record_map":
         return nested_to_json(_record_map(spark, path, doc, names))
     if shape == "columns":
-        zipped = F.arrays_zip(*[X.ref(c) for c in _ordered(doc, names).columns])
-        return nested_to_json(doc.select(F.inline(zipped)).toDF(*_ordered(doc, names).columns))
+        ordered = _ordered(doc, names).columns
+        zipped = F.arrays_zip(*[X.ref(c) for c in ordered])
+        return nested_to_json(doc.select(F.inline(zipped)).toDF(*ordered))
     return nested_to_json(_ordered(doc, names))
 
 
 def detect_shape(spark: SparkSession, path: str) -> tuple[str, str | None]:
-    """The shape of a file, with the wrapping key where there is one."""
-    lines = _lines(spark, path)
-    first = lines.first()
-    if first is None:
-        return "empty", None
-    several = lines.limit(2).count() > 1
-    if several and _parses(lines.limit(1)):
-        return "lines", None
-    kind = _document_kind(spark, path)
-    if kind is None:
-        if lines.where(F.try_parse_json("value").isNotNull()).limit(1).count():
-            return "lines", None
-        raise JsonError(f"{path} is neither JSON nor JSON Lines")
-    if kind == "ARRAY<VOID>":
-        return "empty", None
-    if kind.startswith("ARRAY"):
-        return ("records" if _kind_at(spark, path, "$[0]").startswith("OBJECT") else "scalars"), None
-    if not kind.startswith("OBJECT"):
-        return "empty", None
-    doc = _document(spark, path)
-    fields = {f.name: f.dataType for f in doc.schema.fields}
-    for key in k.JSON_WRAPPER_KEYS:
-        t = fields.get(key)
-        if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType):
-            if doc.where(F.size(X.ref(key)) > 0).count():
-                return "wrapper", key
-    if fields and all(isinstance(t, T.StructType) for t in fields.values()):
-        return "record_map", None
-    if fields and all(isinstance(t, T.ArrayType) for t in fields.values()):
-        sizes = doc.select(F.array_distinct(F.array(*[F.size(X.ref(c)) for c in fields])).alias("s"))
-        if sizes.where(F.size("s") == 1).count():
-            return "columns", None
-    return "object", None
+    """The shape of one file, with the wrapping key where there is one."""
+    found = file_shapes(spark, path)
+    shape, key, _ = found[0] if found else ("empty", None, [])
+    return shape, key if shape == "wrapper" else None
+
+
+def file_shapes(spark: SparkSession, path: str) -> list[tuple[str, str | None, list[str]]]:
+    """(shape, key, files) for the files with content, by the name of the first file.
+
+    A file is JSON Lines if it has several lines and the first is JSON; that is seen line
+    by line. Only other files are looked at whole. Names of files reach the driver.
+    """
+    value = X.strip(F.regexp_replace("value", "^\ufeff", ""))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"),
+        value.alias("value"),
+    )
+    lines = lines.where("value <> ''").withColumn("ok", F.try_parse_json("value").isNotNull())
+    by_file = {
+        unquote(r["file"]): r
+        for r in lines.groupBy("file")
+        .agg(F.count("*").alias("n"), F.min_by("ok", "at").alias("first_ok"), F.max("ok").alias("any_ok"))
+        .collect()
+    }
+    shapes = {f: ("lines", None) for f, r in by_file.items() if r["n"] > 1 and r["first_ok"]}
+    others = sorted(set(by_file) - set(shapes))
+    if others:
+        whole = _whole(spark, others)
+        for r in whole.select("file", *_shape()).collect():
+            file = unquote(r["file"])
+            if r["shape"] is None and not by_file[file]["any_ok"]:
+                raise JsonError(f"{file} is neither JSON nor JSON Lines")
+            shapes[file] = ("lines", None) if r["shape"] is None else (r["shape"], r["key"])
+    groups: dict[tuple, list[str]] = {}
+    for file in sorted(shapes):
+        if shapes[file][0] != "empty":
+            groups.setdefault(shapes[file], []).append(file)
+    return [(shape, key, files) for (shape, key), files in groups.items()]
+
+
+def _shape() -> tuple[Column, Column]:
+    """shape and key of a whole text; key sets files of one shape apart that differ in it."""
+    v = F.try_parse_json("value")
+
+    def kind(x: Column) -> Column:
+        return F.schema_of_variant(x)
+
+    top = kind(v)
+    first = kind(F.try_variant_get(v, "$[0]", "variant"))
+    wrapper = F.coalesce(
+        *[
+            F.when(kind(F.try_variant_get(v, f"$.{name}[0]", "variant")).startswith("OBJECT"), name)
+            for name in k.JSON_WRAPPER_KEYS
+        ]
+    )
+    fields = F.try_variant_get(v, "$", "map<string, variant>")
+    kinds = F.transform(F.map_values(fields), kind)
+    several = F.size(kinds) > 0
+    lists = F.try_variant_get(v, "$", "map<string, array<variant>>")
+    sizes = F.array_distinct(F.transform(F.map_values(lists), F.size))
+    columns = several & F.forall(kinds, lambda x: x.startswith("ARRAY")) & (F.size(sizes) == 1)
+    shape = (
+        F.when(top.isNull(), None)
+        .when(top == "ARRAY<VOID>", "empty")
+        .when(top.startswith("ARRAY") & first.startswith("OBJECT"), "records")
+        .when(top.startswith("ARRAY"), "scalars")
+        .when(~top.startswith("OBJECT"), "empty")
+        .when(wrapper.isNotNull(), "wrapper")
+        .when(several & F.forall(kinds, lambda x: x.startswith("OBJECT")), "record_map")
+        .when(columns, "columns")
+        .otherwise("object")
+    )
+    names = F.to_json(F.array_sort(F.map_keys(fields)))
+    key = F.when(shape == "wrapper", wrapper).when(shape == "columns", names)
+    return shape.alias("shape"), key.alias("key")
 
 
 # ---- JSON Lines ---------------------------------------------------------------------
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
     """Flattened records; lines that do not parse are dropped (see dropped_lines)."""
     reader = spark.read.option("mode", "DROPMALFORMED")
     df = (reader.schema(schema) if schema else reader).json(path)
@@ -101,50 +154,39 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | None
     return flatten(_ordered(df, list(first["names"] or []) if first else []))
 
 
-def dropped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One row: lines with content and lines that do not parse."""
+def dropped_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row: lines with content, and lines the reader drops since they are no record."""
     parsed = F.try_parse_json("value")
+    record = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
     return _lines(spark, path).agg(
-        F.count("*").alias("lines"), F.count_if(parsed.isNull()).alias("dropped")
+        F.count("*").alias("lines"), F.count_if(~record).alias("dropped")
     )
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    value = X.strip(F.regexp_replace("value", "^﻿", ""))
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    value = X.strip(F.regexp_replace("value", "^\ufeff", ""))
     return spark.read.text(path).select(value.alias("value")).where("value <> ''")
 
 
-def _parses(lines: DataFrame) -> bool:
-    return lines.where(F.try_parse_json("value").isNotNull()).count() > 0
-
-
 # ---- one document -------------------------------------------------------------------
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
+def _whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, value): each file as one text."""
+    value = X.strip(F.regexp_replace("value", "^\ufeff", ""))
     text = spark.read.text(path, wholetext=True)
-    return text.select(X.strip(F.regexp_replace("value", "^﻿", "")).alias("value"))
+    return text.select(F.col("_metadata.file_path").alias("file"), value.alias("value"))
 
 
-def _document(spark: SparkSession, path: str) -> DataFrame:
+def _document(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path)
 
 
-def _document_kind(spark: SparkSession, path: str) -> str | None:
-    return _whole(spark, path).select(
-        F.schema_of_variant(F.try_parse_json("value")).alias("kind")
-    ).first()["kind"]
-
-
-def _kind_at(spark: SparkSession, path: str, where: str) -> str:
-    part = F.try_variant_get(F.try_parse_json("value"), where, "variant")
-    return _whole(spark, path).select(F.schema_of_variant(part).alias("kind")).first()["kind"] or ""
-
-
-def _first_keys(spark: SparkSession, path: str, where: str) -> list[str]:
+def _first_keys(spark: SparkSession, path: str | list[str], where: str) -> list[str]:
     """Key order of an object in the file; Spark infers columns alphabetically."""
     names = F.json_object_keys(F.get_json_object("value", where))
-    return list(_whole(spark, path).select(names.alias("names")).first()["names"] or [])
+    first = _whole(spark, path).orderBy("file").select(names.alias("names")).first()
+    return list(first["names"] or [])
 
 
 def _ordered(df: DataFrame, names: list[str]) -> DataFrame:
@@ -153,7 +195,7 @@ def _ordered(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _record_map(
-    spark: SparkSession, path: str, doc: DataFrame, names: list[str]
+    spark: SparkSession, path: str | list[str], doc: DataFrame, names: list[str]
 ) -> DataFrame:
     """{"r1": {...}, "r2": {...}} as rows; the keys are not kept."""
     record = reduce(_merged, (f.dataType for f in doc.schema.fields))
@@ -177,7 +219,7 @@ def _merged(a: T.StructType, b: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in types.items()])
 
 
-def _scalars(spark: SparkSession, path: str) -> DataFrame:
+def _scalars(spark: SparkSession, path: str | list[str]) -> DataFrame:
     elements = _whole(spark, path).select(
         F.explode(F.try_variant_get(F.parse_json("value"), "$", "array<variant>")).alias("e")
     )

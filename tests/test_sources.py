@@ -166,3 +166,18 @@ def test_retention_is_strict_and_ids_are_checked(spark):
     named = spark.createDataFrame([("abcdefgh",), ("other_id",)], "dataset_id string")
     assert intake.delete_dataset(named, "abcdefgh").count() == 1
     assert intake.delete_summary(named, "missing-one").first()["deleted"] is False
+
+
+def test_json_folder_of_several_shapes(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"data": [{"a": 1}, {"a": 2}]}')
+    (tmp_path / "b.json").write_text('[{"a": 3}]')
+    (tmp_path / "c.json").write_text('{"r1": {"a": 4}, "r2": {"a": 5}}')
+    (tmp_path / "d.json").write_text('{"r9": {"a": 6, "b": "x"}}')
+    (tmp_path / "e.json").write_text('{"a": 7}\n{"a": 8}\n5\n{broken\n')
+    (tmp_path / "f.json").write_text('{"b": ["y", "z"], "a": [9, 10]}')
+    (tmp_path / "g g.json").write_text("[]")
+    df = read_json(spark, str(tmp_path))
+    assert sorted((r["a"], r["b"]) for r in df.collect()) == [
+        (1, None), (2, None), (3, None), (4, None), (5, None), (6, "x"), (7, None), (8, None), (9, "y"), (10, "z"),
+    ]
+    assert tuple(dropped_lines(spark, str(tmp_path / "e.json")).first()) == (4, 2)

@@ -857,6 +857,9 @@ select page_id, size::bigint size, case
   when size = 0 then 'empty file' when size > {k.MAX_FILE_BYTES} then 'file too large'
   else 'accepted' end verdict from e
 """
+SUPPLIER_FOLDER = """
+select * replace (case when s_suppkey % 2 = 1 then s_acctbal end as s_acctbal) from supplier
+"""
 # one event of each key after the other, with the accepted times still in its window
 RATE_LIMIT = """
 with recursive e as materialized (
@@ -1107,6 +1110,10 @@ EXPECTED: dict[str, str] = {
     "preview_shape": "select 'o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority' as columns, "
     "6::bigint column_count, count(*) row_count from orders",
     "sanitize_filename": f"select page_id, {sanitized('url')} as filename from pages",
+    **{f"scan_json_{shape}": "select * from supplier" for shape in ("records", "wrapper", "record_map", "columns", "bom")},
+    "scan_json_object": "select * from nation",
+    "scan_json_scalars": "select s_acctbal as value from supplier",
+    "scan_csv_folder": SUPPLIER_FOLDER,
     "mime_rules": MIME,
     "rate_limit": RATE_LIMIT,
     "intake_audit": INTAKE_AUDIT,

@@ -744,6 +744,85 @@ def json_nested_text(spark, sf):
     return flatten.nested_to_json(events.select("event_id", cell.alias("cell")))
 
 
+# ---- JSON documents over several files ------------------------------------------------
+
+
+def _documents(spark, sf, one_text) -> DataFrame:
+    """Suppliers as one JSON document per nation, each in a file of its own, read back."""
+    suppliers = views.table(spark, sf, "supplier")
+    rows = suppliers.groupBy("s_nationkey").agg(
+        F.array_sort(F.collect_list(F.struct(*suppliers.columns))).alias("rows")
+    )
+    path = scratch(spark)
+    texts = rows.select(one_text(F.col("rows"), suppliers.columns).alias("value"))
+    texts.write.option("maxRecordsPerFile", 1).text(path)
+    return json.read_json(spark, path)
+
+
+@query
+def scan_json_records(spark, sf):
+    return _documents(spark, sf, lambda rows, names: F.to_json(rows))
+
+
+@query
+def scan_json_wrapper(spark, sf):
+    return _documents(
+        spark, sf, lambda rows, names: F.to_json(F.struct(F.lit(1).alias("meta"), rows.alias("data")))
+    )
+
+
+@query
+def scan_json_record_map(spark, sf):
+    def record_map(rows, names):
+        keys = F.transform(rows, lambda r: F.concat(F.lit("r"), r["s_suppkey"]))
+        return F.to_json(F.map_from_arrays(keys, rows))
+
+    return _documents(spark, sf, record_map)
+
+
+@query
+def scan_json_columns(spark, sf):
+    def columns(rows, names):
+        return F.to_json(F.struct(*[F.transform(rows, _field(n)).alias(n) for n in names]))
+
+    return _documents(spark, sf, columns)
+
+
+def _field(name):
+    return lambda r: r[name]
+
+
+@query
+def scan_json_object(spark, sf):
+    nations = views.table(spark, sf, "nation")
+    path = scratch(spark)
+    texts = nations.select(F.to_json(F.struct(*nations.columns)).alias("value"))
+    texts.write.option("maxRecordsPerFile", 1).text(path)
+    return json.read_json(spark, path)
+
+
+@query
+def scan_json_scalars(spark, sf):
+    return _documents(spark, sf, lambda rows, names: F.to_json(F.transform(rows, _field("s_acctbal"))))
+
+
+@query
+def scan_json_bom(spark, sf):
+    return _documents(spark, sf, lambda rows, names: F.concat(F.lit("\ufeff"), F.to_json(rows)))
+
+
+@query
+def scan_csv_folder(spark, sf):
+    """Two files whose headers differ in order and in one column."""
+    path = scratch(spark)
+    suppliers = views.table(spark, sf, "supplier")
+    odd = F.col("s_suppkey") % 2 == 1
+    sinks.write_csv(suppliers.where(odd).coalesce(1), f"{path}/a")
+    rest = suppliers.where(~odd).select(*reversed(suppliers.columns[:-1]))
+    sinks.write_csv(rest.coalesce(1), f"{path}/b")
+    return csv.read_csv(spark, f"{path}/*", quoted_newlines=False)
+
+
 # ---- intake -------------------------------------------------------------------------
 
 
