@@ -122,8 +122,8 @@ def rate_limit(
 ) -> DataFrame:
     """Every event with an accepted flag; tie_break orders events of equal time."""
     width = int(seconds * 1_000_000)
-    # events without a key share one, as they would at a limiter
-    name = F.coalesce(F.col(key).cast("string"), F.lit("unknown"))
+    # events without a key share one of their own
+    name = F.when(F.col(key).isNull(), "").otherwise(F.concat(F.lit("="), F.col(key).cast("string")))
     marked = df.withColumns({"__t": _micros(ts), "__key": name}).withColumn(
         "__cell", _cell(F.col("__t"), width)
     )
@@ -212,46 +212,53 @@ def rate_limit_stream(
     """The limiter over a stream, in event-time order.
 
     Events wait in state until the watermark passes them and are then decided
-    in time order. Spark drops events behind the watermark and counts them in
-    the query progress (numRowsDroppedByWatermark). State per key is the
-    accepted times of one window and the events of one lateness interval.
+    in time order. Every column of an event comes out, with accepted. Spark drops
+    events behind the watermark and counts them in the query progress
+    (numRowsDroppedByWatermark). State per key is the accepted times of one window and
+    the events of one lateness interval, as JSON. Null keys share one state.
     """
     width = int(seconds * 1_000_000)
-    key_type = events.schema[key].dataType.simpleString()
     decide_in_order = _decider(limit, width)
 
     def decide(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        accepted, pending = state.get if state.exists else ([], [])
+        accepted, times, texts = state.get if state.exists else ([], [], [])
         watermark = state.getCurrentWatermarkMs() * 1000
-        pending = sorted([*pending, *(int(t) for batch in batches for t in batch["t"])])
-        ready = [t for t in pending if t <= watermark]
+        arrived = [pair for batch in batches for pair in zip(batch["t"], batch["event"], strict=True)]
+        pending = sorted([*zip(times, texts, strict=True), *((int(t), e) for t, e in arrived)])
+        ready = [pair for pair in pending if pair[0] <= watermark]
         pending = pending[len(ready) :]
         window = deque(accepted)
-        flags = decide_in_order(ready, window)
+        flags = decide_in_order([t for t, _ in ready], window)
         while window and watermark - window[0] > width:
             window.popleft()
         if pending or window:
-            state.update((list(window), pending))
-            due = pending[0] if pending else window[0] + width
+            state.update((list(window), [t for t, _ in pending], [e for _, e in pending]))
+            due = pending[0][0] if pending else window[0] + width
             state.setTimeoutTimestamp(max(due, watermark) // 1000 + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"key": [group[0]] * len(ready), "t": ready, "accepted": flags})
+        yield pd.DataFrame({"event": [e for _, e in ready], "accepted": flags}).astype(
+            {"event": "object", "accepted": "bool"}
+        )
 
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    every = F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]), exact)
     return (
         events.select(
-            F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), _micros(ts).alias("t")
+            F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"),
+            _micros(ts).alias("t"), every.alias("event"),
         )
         .withWatermark("ts", f"{int(lateness_seconds * 1000)} milliseconds")
         .groupBy("key")
         .applyInPandasWithState(
             decide,
-            f"key {key_type}, t bigint, accepted boolean",
-            "accepted array<bigint>, pending array<bigint>",
+            "event string, accepted boolean",
+            "accepted array<bigint>, times array<bigint>, events array<string>",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )
-        .select(F.col("key").alias(key), F.timestamp_micros("t").alias(ts), "accepted")
+        .select(F.from_json("event", events.schema, exact).alias("e"), "accepted")
+        .select("e.*", "accepted")
     )

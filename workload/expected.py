@@ -1100,8 +1100,8 @@ EXPECTED: dict[str, str] = {
     "from (values ('high', 'High (Critical)'), ('medium', 'Medium (Warning)'), ('low', 'Low (Notice)')) v(s, label)",
     "scan_table": "select o_orderstatus, count(*) orders, min(o_totalprice) lowest from orders group by o_orderstatus",
     "scan_csv": f"{C} {csv_back(CUSTOMER, 't')}",
-    "sink_csv": f"{CC} select row_id::varchar row_id, {csv_cells(('customer_name', 'email', 'comment'))} from cl",
-    "sink_json": f"{CC} select row_id, email, age, total_spend, mixed from cl",
+    "sink_csv": f"{CC} select * from cl",
+    "sink_json": f"{CC} select * from cl",
     "scan_json_lines": "select event_id, event_type, value, (props->>'$.k')::bigint as \"props.k\" from events",
     "sink_audit": f"{AUDIT} select dataset_id, step, type, affected_rows, cells_modified from au",
     "json_flatten": "select event_id, (props->>'$.k')::bigint as \"props.k\" from events",

@@ -698,18 +698,21 @@ def scan_csv(spark, sf):
 
 @query
 def sink_csv(spark, sf):
+    """Every cleaned column, read back in its type."""
     path = scratch(spark)
-    sinks.write_csv(cleaned_customers(spark, sf).cleaned, path)
-    back = csv.scan_text(spark, path, quoted_newlines=False)
-    return back.select("row_id", "customer_name", "email", "comment")
+    cleaned = cleaned_customers(spark, sf).cleaned
+    sinks.write_csv(cleaned, path)
+    reader = spark.read.schema(cleaned.schema)
+    return reader.options(header="true", escape='"', multiLine="true").csv(path)
 
 
 @query
 def sink_json(spark, sf):
+    """Every cleaned column, read back in its type."""
     path = scratch(spark)
-    sinks.write_json(cleaned_customers(spark, sf).cleaned, path)
-    schema = "row_id bigint, email string, age bigint, total_spend double, mixed string"
-    return spark.read.schema(schema).json(path)
+    cleaned = cleaned_customers(spark, sf).cleaned
+    sinks.write_json(cleaned, path)
+    return spark.read.schema(cleaned.schema).json(path)
 
 
 @query
