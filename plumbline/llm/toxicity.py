@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.llm.hashing import (
-    BYTE_VALUES, MARKS, U64, fold_case, mix, powers_of, text_blocks,
+    BLOCK_BYTES, BYTE_VALUES, MARKS, U64, fold_case, mix, powers_of, text_blocks,
 )
 from plumbline.llm.quality import held_out
 from plumbline.session import keep
@@ -84,12 +84,32 @@ def _bounds(folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(begins), np.flatnonzero(stops)
 
 
+def _pieces(buf: np.ndarray) -> list[tuple[int, int]]:
+    """A block as it is, or one long text cut where marks stand."""
+    out, at = [], 0
+    while len(buf) - at > BLOCK_BYTES:
+        gaps = np.flatnonzero(MARKS[buf[at : at + BLOCK_BYTES]])
+        end = at + (int(gaps[-1]) + 1 if len(gaps) else BLOCK_BYTES)
+        out.append((at, end))
+        at = end
+    return [*out, (at, len(buf))]
+
+
 def term_levels(buf: np.ndarray, offsets: np.ndarray, wanted=None) -> tuple[np.ndarray, ...]:
-    """Distinct (text, length index, hash) of a block, with the first of SHARES each reaches."""
-    text, length, found = terms(buf, offsets)
-    words = np.bincount(text[length == 0], minlength=len(offsets) - 1)
-    if wanted is not None:
-        text, length, found = (x[wanted(found)] for x in (text, length, found))
+    """Distinct (text, length index, hash) of a block, with the first of SHARES each reaches.
+
+    A text longer than a block is cut between words; of it, only wanted terms are held.
+    """
+    words = np.zeros(len(offsets) - 1, np.int64)
+    parts = []
+    for a, b in _pieces(buf):
+        text, length, found = terms(buf[a:b], offsets if (a, b) == (0, len(buf)) else np.array([0, b - a]))
+        words += np.bincount(text[length == 0], minlength=len(words))
+        if wanted is not None:
+            known = wanted(found)
+            text, length, found = text[known], length[known], found[known]
+        parts.append((text, length, found))
+    text, length, found = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((found, length, text))
     text, length, found = text[order], length[order], found[order]
     new = np.ones(len(text), bool)
@@ -174,6 +194,14 @@ def found_terms(sample: DataFrame) -> list[Row]:
     return found.select("length", "term", "level").orderBy("length", "term", "level").collect()
 
 
+def _count(on: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are on."""
+    if len(offsets) == 2:
+        return np.array([np.count_nonzero(on)])
+    total = np.append(0, np.cumsum(on, dtype=np.int64))
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
 class Vocabulary:
     """Features, each a term that reaches a share, and the voters they belong to."""
 
@@ -219,11 +247,9 @@ class Vocabulary:
         n = len(offsets) - 1
         out = np.zeros(n, np.int64)
         np.bitwise_or.at(out, text, self.bits[feature])
-        counts = np.zeros((len(buf) + 1, 3), np.int64)
-        np.cumsum((buf >= 65) & (buf <= 90), out=counts[1:, 0])
-        np.cumsum((buf >= 97) & (buf <= 122), out=counts[1:, 1])
-        np.cumsum(buf == 33, out=counts[1:, 2])
-        upper, lower, marks = (counts[offsets[1:]] - counts[offsets[:-1]]).T
+        upper = _count((buf >= 65) & (buf <= 90), offsets)
+        lower = _count((buf >= 97) & (buf <= 122), offsets)
+        marks = _count(buf == 33, offsets)
         out |= ((upper >= 20) & (upper * 3 >= lower * 2)).astype(np.int64) << 7
         return out | (marks >= 3).astype(np.int64) << 8
 
