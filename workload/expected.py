@@ -857,6 +857,13 @@ select page_id, size::bigint size, case
   when size = 0 then 'empty file' when size > {k.MAX_FILE_BYTES} then 'file too large'
   else 'accepted' end verdict from e
 """
+SORTED_BY = {
+    "severity": "case severity when 'high' then 3 when 'medium' then 2 else 1 end",
+    "affected_rows": "affected_rows",
+    "percentage": "percentage",
+    "column": "coalesce(\"column\", '')",
+    "issue": "type",
+}
 SUPPLIER_FOLDER = """
 select * replace (case when s_suppkey % 2 = 1 then s_acctbal end as s_acctbal) from supplier
 """
@@ -1010,6 +1017,15 @@ EXPECTED: dict[str, str] = {
     "(select count(*) from i where severity = s) issues from (values ('high'), ('medium'), ('low')) v(s)",
     "issues_filter": f"{CI} select {ISSUE_COLUMNS} from i where severity = 'high' and contains("
     "lower(concat_ws(chr(1), \"column\", type, description, method)), 'email')",
+    "issues_filter_search": f"{CI} select {ISSUE_COLUMNS} from i where contains("
+    "lower(concat_ws(chr(1), \"column\", type, description, method)), 'email')",
+    "issues_filter_severity": f"{CI} select {ISSUE_COLUMNS} from i where severity = 'medium'",
+    **{
+        f"issues_sorted_{key}_{name}": f"{CI} select row_number() over (order by {by} {way}, ordinal)::int "
+        'as position, type, severity, "column", affected_rows from i'
+        for key, by in SORTED_BY.items()
+        for name, way in (("down", "desc"), ("up", "asc"))
+    },
     "issues_sorted": f"{CI} select row_number() over (order by case severity when 'high' then 3 "
     "when 'medium' then 2 else 1 end desc, ordinal)::int as position, type, severity, \"column\", "
     "affected_rows from i",

@@ -348,6 +348,33 @@ def issues_sorted(spark, sf):
     return found.select("position", "type", "severity", "column", "affected_rows")
 
 
+@query
+def issues_filter_search(spark, sf):
+    return issues.filter_issues(customers(spark, sf).issues(), search="Email")
+
+
+@query
+def issues_filter_severity(spark, sf):
+    return issues.filter_issues(customers(spark, sf).issues(), "medium")
+
+
+SORT_KEYS = ("severity", "affected_rows", "percentage", "column", "issue")
+
+
+def _sorted_by(key: str, descending: bool) -> Query:
+    def run(spark, sf):
+        found = issues.sort_issues(customers(spark, sf).issues(), key, descending)
+        return found.select("position", "type", "severity", "column", "affected_rows")
+
+    run.__name__ = f"issues_sorted_{key}_{'down' if descending else 'up'}"
+    return run
+
+
+for _key in SORT_KEYS:
+    for _descending in (True, False):
+        query(_sorted_by(_key, _descending))
+
+
 # ---- score --------------------------------------------------------------------------
 
 
