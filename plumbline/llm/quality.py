@@ -27,7 +27,7 @@ from plumbline.llm.hashing import LOWER, SPACES, U64, combine, hash_spans, mix,
 
 BITS = 18
 #: Most labelled texts that a model is fitted to, drawn by a hash of their ids.
-SAMPLE = 6000
+SAMPLE = 3000
 COST, EPOCHS, FOLDS = 1.0, 12, 3
 SMOOTHING = 1.0
 LEVELS = 7
@@ -114,7 +114,7 @@ def dual_descent(
     for x in rows:
         v = scale[x]
         norm = np.sqrt(v @ v) or 1.0
-        values.append(v / norm)
+        values.append((v / norm).astype(np.float32))
     weights, bias = np.zeros(1 << BITS), 0.0
     share = np.array([max(1, (y < 0).sum()), max(1, (y > 0).sum())]) / max(1, len(y))
     cost = COST / (2 * share[(y > 0).astype(int)])
@@ -218,9 +218,9 @@ def fitted(sample: DataFrame) -> Model:
             )
 
     rows = sample.withColumn("label", F.col("label").cast("int")).select(F.col("doc_id").cast("string"), "text", "label")
-    got = rows.mapInArrow(indicate, "doc_id string, label int, found binary").collect()
-    got.sort(key=lambda r: r["doc_id"])
-    return Model([np.frombuffer(r["found"], np.int32) for r in got], [r["label"] for r in got])
+    got = rows.mapInArrow(indicate, "doc_id string, label int, found binary").orderBy("doc_id").toArrow()
+    found = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("found")]
+    return Model(found, got.column("label").to_pylist())
 
 
 def scored(
