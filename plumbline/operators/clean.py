@@ -20,6 +20,7 @@ from plumbline.functions import names
 from plumbline.functions import sqltext as Q
 from plumbline.operators import facts as fx
 from plumbline.operators.duplicates import data_columns, keep_first
+from plumbline.session import keep
 
 TEXT_STEPS = (
     "trim_whitespace",
@@ -103,7 +104,9 @@ class Cleaning:
 
     @cached_property
     def deduplicated(self) -> DataFrame:
-        return keep_first(self.source, self.columns, self.order_by)
+        """Written once where rows went, as audit, warnings and result all read it."""
+        first = keep_first(self.source, self.columns, self.order_by)
+        return first if first is self.source else keep(first)
 
     @cached_property
     def emails(self) -> list[str]:

@@ -7,7 +7,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cpus: int | str = "*", name: str = "plumbline") -> SparkSession:
@@ -63,11 +65,21 @@ def shared_folder(spark: SparkSession) -> str:
 def keep(df: DataFrame) -> DataFrame:
     """Compute once into a table in the shared folder and read it back.
 
-    Costs one run, where an eager checkpoint runs its plan twice.
+    Costs one run, where an eager checkpoint runs its plan twice. Columns without a
+    type hold nothing and come back as they were.
     """
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    typed = [f for f in df.schema.fields if not isinstance(f.dataType, T.NullType)]
+    df.select(*[_named(f.name) for f in typed]).write.parquet(path)
+    back = df.sparkSession.read.schema(T.StructType(typed)).parquet(path)
+    if len(typed) == len(df.columns):
+        return back
+    names = {f.name for f in typed}
+    return back.select(*[_named(c) if c in names else F.lit(None).alias(c) for c in df.columns])
+
+
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def remove(df: DataFrame) -> None:

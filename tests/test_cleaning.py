@@ -83,6 +83,13 @@ def test_order_by_a_cleaned_text_column(spark):
     assert Cleaning(df).summary().first()["rows_removed"] == 1
 
 
+def test_cleaning_keeps_columns_without_a_type(spark):
+    df = spark.sql("select * from values (1, null, 'a '), (1, null, 'a '), (2, null, 'b') t(`x.y`, nothing, t)")
+    c = Cleaning(df)
+    assert c.cleaned.dtypes == df.dtypes and c.cleaned.count() == 2
+    assert c.summary().first()["rows_removed"] == 1
+
+
 def test_assess_and_clean_take_the_same_columns(spark):
     from plumbline import assess
 
