@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +50,7 @@ def redacted_samples(
 ) -> DataFrame:
     """The first values of each column with a text issue, with personal data masked.
 
-    Each column is a top-k by order key, which keeps k rows per task.
+    One scan serves all columns; a task passes on the first rows of each by order key.
     """
     wanted = [
         r["column"]
@@ -61,22 +60,21 @@ def redacted_samples(
         .orderBy("column")
         .collect()
     ]
-    order = [X.ref(c) for c in (order_by or df.columns)]
-    parts = [
-        df.where(X.ref(c).isNotNull())
-        .orderBy(*order)
-        .limit(samples)
-        .select(
-            F.lit(c).alias("column"),
-            F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("sample_no"),
-            redact_text(X.text(X.ref(c))).alias("sample"),
-        )
-        for c in wanted
-        if c in df.columns and fx.kind_of(df.schema[c].dataType) == fx.STRING
-    ]
-    if not parts:
+    texts = [c for c in wanted if c in df.columns and fx.kind_of(df.schema[c].dataType) == fx.STRING]
+    if not texts:
         return df.sparkSession.createDataFrame([], "column string, sample_no int, sample string")
-    return reduce(DataFrame.unionByName, parts)
+    place = F.struct(*[X.ref(c).alias(f"p{i}") for i, c in enumerate(order_by or df.columns)])
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("column"), X.text(X.ref(c)).alias("value")) for c in texts]
+    )
+    rows = df.select(place.alias("place"), F.explode(cells).alias("cell")).select("place", "cell.*")
+    first = F.row_number().over(Window.partitionBy("column").orderBy("place"))
+    return (
+        rows.where("value is not null")
+        .withColumn("sample_no", first)
+        .where(F.col("sample_no") <= samples)
+        .select("column", "sample_no", redact_text(F.col("value")).alias("sample"))
+    )
 
 
 def executive_summary(scores: DataFrame, dimensions: DataFrame) -> DataFrame:
