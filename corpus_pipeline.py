@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.without_matches(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.without_matches(docs, table(spark, sf_dir, "benchmark"), spread=decontaminate.MAX_EDITS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

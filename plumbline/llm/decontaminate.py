@@ -1,8 +1,10 @@
 """Benchmark passages in documents by CGK embeddings and bit-sampling LSH.
 
 Texts are words: runs of letters and digits, lower case. A document is contaminated by
-an item of w words if one of its windows of w words is within ``max_edits`` of w word
-edits of the item (insertions, deletions, substitutions).
+an item of w words if one of its windows is within ``max_edits`` of w word edits of the
+item (insertions, deletions, substitutions). Windows have w words, or up to ``spread`` of
+w more or less; with ``spread`` equal to ``max_edits`` that is every run of words that can
+be close, so that the edits are those of the best substring.
 
 The CGK random walk copies a window's words to 3w places, and advances or not by a random
 bit of the word; few edits then mean few differing places. A table of the LSH samples some
@@ -10,9 +12,12 @@ places of one walk as its key; there are as many tables as it takes for an item
 all its edits to be met with the target recall, which is measured on edited items. Pairs
 that agree in a table are verified by exact edit distance.
 
+The walk takes w words from a window's first one, however long the window; beyond the
+text's end they are zeros. A pair that meets is verified against all lengths at once.
+
 Windows are taken everywhere in whole texts, but those that can't be close are left out
 before the walk by exact bounds: a window within d edits of an item shares at least w - 1 - 2d
-of its pairs of neighbouring words, and has at most d distinct words less.
+of its pairs of neighbouring words, and its first w words have at most d distinct words less.
 
 Items are a stated query set: they are read in blocks of ``BLOCK_ITEMS``, each block is
 one pass over the documents, and only a block is on the driver and in a task.
@@ -52,10 +57,13 @@ def edits_allowed(w: int, share: float) -> int:
     return int(w * share + 1e-9)
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Word edits between rows of a and b, of which the first w words count."""
+def edit_distances(a: np.ndarray, b: np.ndarray, w: np.ndarray, spread: float = 0.0) -> np.ndarray:
+    """Word edits between the first w words of rows of a and of b.
+
+    With spread the least over that share of w words more or less of b.
+    """
     n, width = a.shape
-    steps = np.arange(width + 1)
+    steps = np.arange(b.shape[1] + 1)
     row = np.repeat(steps[None, :], n, axis=0)
     out = np.zeros(n, np.int64)
     new = np.empty_like(row)
@@ -65,7 +73,8 @@ def edit_distances(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
         np.minimum(row[:, :-1] + (b != a[:, i : i + 1]), row[:, 1:] + 1, out=new[:, 1:])
         row = np.minimum.accumulate(new - steps, axis=1) + steps
         done = np.flatnonzero(w == i + 1)
-        out[done] = row[done, i + 1]
+        some = edits_allowed(i + 1, spread)
+        out[done] = row[done, i + 1 - some : i + 2 + some].min(axis=1)
     return out
 
 
@@ -156,11 +165,12 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Searcher:
     """A block of items, ready to be looked for in texts."""
 
-    def __init__(self, items: list[tuple[object, np.ndarray]], share: float, recall: float) -> None:
-        self.share = share
+    def __init__(self, items: list[tuple[object, np.ndarray]], share: float, recall: float, spread: float = 0.0) -> None:
+        self.share, self.spread = share, spread
         self.ids = [i for i, _ in items]
         self.words, self.w = padded([x for _, x in items])
         self.most = np.array([edits_allowed(w, share) for w in self.w.tolist()])
+        self.longest = self.w + np.array([edits_allowed(w, spread) for w in self.w.tolist()])
         self.tables = []
         for table in range(tables_needed([x for _, x in items], share, recall)):
             keys = table_keys(self.words, self.w, table)
@@ -183,7 +193,7 @@ class Searcher:
         self.maybe[(self.pairs >> U64(44)).astype(np.int64)] = True
 
     def windows(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(w, starts): windows of w words that share enough neighbours with some item."""
+        """(w, starts): windows for items of w words that share enough neighbours with one."""
         found = combine(words, 2)
         at = np.flatnonzero(self.maybe[(found >> U64(44)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.pairs, found[at]), len(self.pairs) - 1)
@@ -198,18 +208,17 @@ class Searcher:
         i = np.arange(len(item))
         j = np.minimum(i + self.least[item] - 1, len(item) - 1)
         enough = (j - i == self.least[item] - 1) & (item[j] == item)
-        near = np.flatnonzero(enough & (at[j] - at <= self.w[item] - 2))
-        # a window from s holds pairs s .. s + w - 2
+        near = np.flatnonzero(enough & (at[j] - at <= self.longest[item] - 2))
+        # a window of n words from s holds pairs s .. s + n - 2
         w = self.w[item[near]]
-        low = np.maximum(at[j[near]] - (w - 2), 0)
+        low = np.maximum(at[j[near]] - (self.longest[item[near]] - 2), 0)
         size = at[near] - low + 1
         named = np.unique(np.repeat(w, size) * (len(words) + 1) + _ranges(low, size))
         sizes, starts = named // (len(words) + 1), named % (len(words) + 1)
         text = np.searchsorted(bounds, starts, "right") - 1
-        inside = starts + sizes <= bounds[np.minimum(text + 1, len(bounds) - 1)]
-        sizes, starts = sizes[inside], starts[inside]
+        left = bounds[np.minimum(text + 1, len(bounds) - 1)] - starts
         for size in np.unique(sizes).tolist():
-            yield size, starts[sizes == size]
+            yield size, starts[(sizes == size) & (left >= size - edits_allowed(size, self.spread))]
 
     def met(self, windows: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (window, item) that agree in a table; w ascends."""
@@ -234,7 +243,7 @@ class Searcher:
     def search(self, column: pa.Array) -> dict[tuple[int, int], tuple[int, int]]:
         """(row, item) -> (edits, first word of the window), the least of them."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for first, _, buf, offsets in text_blocks(column):
             words, bounds = block_words(buf, offsets, MARKS, fold_case)
@@ -242,11 +251,13 @@ class Searcher:
                 continue
             for w, starts in self.windows(words, bounds):
                 for part in np.array_split(starts, -(-len(starts) // AT_ONCE) or 1):
-                    windows = words[part[:, None] + np.arange(w)]
-                    varied = distinct_words(windows) >= self.varied[w]
-                    windows, part = windows[varied], part[varied]
                     text = np.searchsorted(bounds, part, "right") - 1
-                    waiting.append((windows, first + text, part - bounds[text]))
+                    places = part[:, None] + np.arange(w + edits_allowed(w, self.spread))
+                    windows = words[np.minimum(places, len(words) - 1)]
+                    windows[places >= bounds[text + 1][:, None]] = 0
+                    varied = distinct_words(windows[:, :w]) >= self.varied[w]
+                    windows, part, text = windows[varied], part[varied], text[varied]
+                    waiting.append((w, windows, first + text, part - bounds[text]))
                     size += len(part)
                     if size >= AT_ONCE:
                         self._verify(waiting, best)
@@ -255,24 +266,24 @@ class Searcher:
         return best
 
     def _verify(self, waiting: list, best: dict[tuple[int, int], tuple[int, int]]) -> None:
-        waiting = [x for x in waiting if len(x[0])]
+        waiting = [x for x in waiting if len(x[1])]
         if not waiting:
             return
-        waiting = sorted(waiting, key=lambda x: x[0].shape[1])
-        w = np.concatenate([np.full(len(x), x.shape[1]) for x, _, _ in waiting])
-        windows = np.zeros((len(w), int(self.w.max())), U64)
+        waiting = sorted(waiting, key=lambda x: x[0])
+        w = np.concatenate([np.full(len(x), size) for size, x, _, _ in waiting])
+        windows = np.zeros((len(w), int(self.longest.max())), U64)
         at = 0
-        for x, _, _ in waiting:
+        for _, x, _, _ in waiting:
             windows[at : at + len(x), : x.shape[1]] = x
             at += len(x)
-        rows = np.concatenate([r for _, r, _ in waiting])
-        starts = np.concatenate([s for _, _, s in waiting])
+        rows = np.concatenate([r for _, _, r, _ in waiting])
+        starts = np.concatenate([s for _, _, _, s in waiting])
         window, item = self.met(windows, w)
         same = w[window] == self.w[item]
         window, item = window[same], item[same]
         for low in range(0, len(window), AT_ONCE):
             x, m = window[low : low + AT_ONCE], item[low : low + AT_ONCE]
-            edits = edit_distances(windows[x], self.words[m], self.w[m])
+            edits = edit_distances(self.words[m], windows[x], self.w[m], self.spread)
             for k in np.flatnonzero(edits <= self.most[m]).tolist():
                 name, found = (int(rows[x[k]]), int(m[k])), (int(edits[k]), int(starts[x[k]]))
                 best[name] = min(best.get(name, found), found)
@@ -298,11 +309,12 @@ def matches(
     recall: float = RECALL,
     min_words: int = MIN_WORDS,
     block: int = BLOCK_ITEMS,
+    spread: float = 0.0,
 ) -> DataFrame:
     """One row per document and item found in it: doc_id, text_key, item_id, n_words, edits, first_word.
 
     edits is the least over the windows that were met, first_word where the first such
-    window begins. Null texts are empty and hold nothing; null items, and items of fewer
+    window begins. Windows may be ``spread`` of an item's words longer or shorter than it. Null texts are empty and hold nothing; null items, and items of fewer
     than ``min_words`` words, aren't looked for; of repeated items one is. Repeated rows
     of docs come out as often as they went in. text_key is a hash of the text. Other
     columns are not looked at.
@@ -325,7 +337,7 @@ def matches(
     for part in item_blocks(items, item_col, item_text_col, block):
         known = [(i, w) for i, w in ((i, words_of(t)) for i, t in part) if len(w) >= min_words]
         if known:
-            out = out.union(rows.mapInArrow(_finder(Searcher(known, max_edits, recall), arrow_schema), schema))
+            out = out.union(rows.mapInArrow(_finder(Searcher(known, max_edits, recall, spread), arrow_schema), schema))
     return out
 
 

@@ -50,7 +50,7 @@ def op5_exact_dups(spark, sf):
 
 @query
 def op6_decontaminate(spark, sf):
-    found = decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    found = decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"), spread=decontaminate.MAX_EDITS)
     return found.drop("text_key")
 
 

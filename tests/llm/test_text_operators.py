@@ -164,6 +164,50 @@ def test_passages_equal_all_windows(spark, odd, empty):
     assert decontaminate.without_matches(empty, bench).count() == 0
 
 
+def substring_edits(item, text):
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_passages_of_other_lengths_are_found(spark):
+    draw = random.Random(9)
+    pool = [f"v{i}" for i in range(80)]
+    items = [(i, [draw.choice(pool) for _ in range(draw.randrange(10, 45))]) for i in range(10)]
+    docs = []
+    for d in range(120):
+        copy = list(items[d % 10][1])
+        for _ in range(draw.randrange(decontaminate.edits_allowed(len(copy), decontaminate.MAX_EDITS) + 1)):
+            at = draw.randrange(len(copy))
+            copy.insert(at, f"new{d}") if d % 3 == 0 else copy.pop(at)
+        before, after = ([draw.choice(pool) for _ in range(n)] for n in ((30, 30), (0, 0), (30, 0), (0, 30))[d % 4])
+        docs.append((d, before + copy + after))
+    expected = {}
+    for d, words in docs:
+        for i, item in items:
+            best = substring_edits(item, words)
+            if best <= decontaminate.edits_allowed(len(item), decontaminate.MAX_EDITS):
+                expected[d, i] = best
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = decontaminate.matches(df, bench, spread=decontaminate.MAX_EDITS)
+    got = {(r.doc_id, r.item_id): r.edits for r in found.collect()}
+    assert len(expected) >= 120 and set(got) <= set(expected) and len(got) >= 0.97 * len(expected)
+    assert all(got[k] >= expected[k] for k in got)
+    # 5 of 40 words dropped, in the middle of a text; and a text that is an item less one word
+    item = [f"w{i}" for i in range(40)]
+    texts = [item[:7] + item[12:], item[1:], item[:-1]]
+    texts = [pool[:20] + texts[0] + pool[20:40], *texts[1:]]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontaminate.matches(df, bench, spread=decontaminate.MAX_EDITS)
+    assert sorted((r.doc_id, r.edits) for r in found.collect()) == [(0, 5), (1, 1), (2, 1)]
+
+
 def test_batched_edit_distances():
     draw = random.Random(2)
     pairs = [([draw.randrange(5) for _ in range(w)], [draw.randrange(5) for _ in range(w)]) for w in range(1, 30)]
