@@ -20,12 +20,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|textarea|select|iframe|object|canvas|button|head|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title|template)(?![\w:-])[^>]*+>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<more>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
-    r"|</?[a-zA-Z][^>]*+(?:>|\Z)"
+    r"|<(?P<loose_end>/?)(?P<loose>[a-zA-Z][a-zA-Z0-9:-]*+)[^>]*+(?:>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+RAW_STARTS = {x: re.compile(rf"<{x}(?![\w:-])", re.I) for x in ("script", "style", "textarea", "title", "template")}
+RAW_ENDS = {x: re.compile(rf"</{x}\s*+>", re.I) for x in RAW_STARTS}
+HEAD_END = re.compile(r"</head\s*+>", re.I)
+BODY = re.compile(r"<body(?![\w:-])", re.I)
+#: Left out with what they hold if they are closed, else the tag alone.
+SKIPPED = frozenset("noscript svg select iframe object canvas button".split())
 CLASSES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -224,13 +230,57 @@ class _Page:
                 return  # a stray end tag doesn't leave the article
 
 
+def raw_end(page: str, name: str, at: int, ends: dict[str, int]) -> int:
+    """Where a raw element ends whose content begins at ``at``; ends remembers the next end tags.
+
+    Without an end tag of its own it ends with the head or before the body, else with the page.
+    """
+    if ends.get(name, -1) < at:
+        m = RAW_ENDS[name].search(page, at)
+        ends[name] = m.end() if m else len(page) + 1
+    end = ends[name]
+    head = HEAD_END.search(page, at, min(end, len(page)))
+    if head and (end > len(page) or RAW_STARTS[name].search(page, head.end(), end)):
+        return head.start()
+    if end <= len(page):
+        return end
+    body = BODY.search(page, at)
+    return body.start() if body else len(page)
+
+
+def tokens_of(page: str) -> list[tuple[int, int, re.Match]]:
+    """(first, end, match) of a page's markup; a raw or skipped element is one with its content."""
+    found: list[tuple[int, int, re.Match]] = []
+    opened: dict[str, list[int]] = {name: [] for name in SKIPPED}
+    ends: dict[str, int] = {}
+    at = 0
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        name = (m["name"] or m["loose"] or "").lower()
+        if m["raw"]:
+            # inside a drawing a raw element may close itself
+            if not (opened["svg"] and m[0].endswith("/>")):
+                at = raw_end(page, m["raw"].lower(), at, ends)
+        elif name in SKIPPED:
+            if m["end"] or m["loose_end"]:
+                if opened[name]:
+                    k = opened[name].pop()
+                    found[k] = (found[k][0], at, found[k][2])
+            elif not (name == "svg" and m[0].endswith("/>")):
+                opened[name].append(len(found))
+        found.append((m.start(), at, m))
+    return found
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out = _Page()
     at = 0
-    for m in TOKEN.finditer(page):
-        out.text(page[at : m.start()])
-        at = m.end()
+    for first, end, m in tokens_of(page):
+        if first < at:
+            continue
+        out.text(page[at:first])
+        at = end
         if m["name"] is None:
             continue
         name = m["name"].lower()

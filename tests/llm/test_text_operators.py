@@ -275,6 +275,37 @@ def test_main_text(spark):
     assert html_text.extracted(df.limit(0)).count() == 0
 
 
+ARTICLE = "<article><h1>Title</h1><p>One <b>two</b> three.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta charset=utf-8><body>{ARTICLE}</body></html>",
+        f"<html><head><title>T</title>{ARTICLE}",
+        f"<head><title>T</head><body>{ARTICLE}<svg><title>x</title></svg>",
+        f"<head><style>p {{}}</head><body>{ARTICLE}",
+        f"<head><script>x()</head><body>{ARTICLE}<script>y()</script>",
+        f"<head><title>T<body>{ARTICLE}",
+        f"<svg class='a' />{ARTICLE}<svg><title/><path/></svg>",
+        f"<svg><style/><text>no</text></svg>{ARTICLE}",
+        f"{ARTICLE}<script>x()",
+        f"<script>'</head><svg>'</script>{ARTICLE}<svg></svg>",
+        f"<title-bar></title-bar>{ARTICLE}",
+        *(f"<{x} id=a>{ARTICLE}" for x in sorted(html_text.SKIPPED)),
+        *(f"<{x} id=a>{ARTICLE}<{x}>no</{x}>" for x in sorted(html_text.SKIPPED)),
+        *(f"<{x}>no <{x}>no</{x}> no</{x}>{ARTICLE}" for x in sorted(html_text.SKIPPED)),
+    ],
+)
+def test_unclosed_elements_leave_the_article(page):
+    assert html_text.main_text(page) == "Title\nOne two three."
+
+
+def test_raw_elements_take_the_rest():
+    for name in html_text.RAW_ENDS:
+        assert html_text.main_text(f"{ARTICLE}<{name}><p>not text of the page</p>") == "Title\nOne two three."
+
+
 def test_tree_learns_its_table():
     rows = html_text.labelled()
     assert all(html_text.is_main(r[:-1]) == bool(r[-1]) for r in rows)
