@@ -45,6 +45,8 @@ HOLDERS = frozenset(
     "header html main menu nav ol section table td th ul li".split()
 )
 FURNITURE = frozenset("aside fieldset footer form menu nav".split())
+#: What a page with it is called, not what the element holds: has-sidebar, with-comments.
+LAYOUT = re.compile(r"(?<![^\s_-])(?:has|with|without|no)[_-]\S*", re.I)
 #: Words of class, id and role that name what isn't main text.
 FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement adverts alert aside banner breadcrumb breadcrumbs comment "
@@ -177,17 +179,25 @@ class Block:
     furniture: bool
 
 
-@dataclass
+@dataclass(eq=False)
 class _Holder:
     name: str
     article: bool
-    furniture: bool
+    above: _Holder | None = None
+    #: Furniture by its own or an outer tag; by its own class; outer holders that are by class.
+    tagged: bool = False
+    classed: bool = False
+    n_classed: int = 0
+    spared: bool = False
+    furniture: bool = False
 
 
 @dataclass
 class _Page:
-    blocks: list[Block] = field(default_factory=list)
+    found: list[tuple[str, int, int, _Holder]] = field(default_factory=list)
     stack: list[_Holder] = field(default_factory=list)
+    holders: list[_Holder] = field(default_factory=list)
+    outermost: list[_Holder] = field(default_factory=list)
     parts: list[tuple[str, bool]] = field(default_factory=list)
     links: int = 0
 
@@ -201,25 +211,48 @@ class _Page:
         text = " ".join(html.unescape("".join(x for x, _ in self.parts)).split())
         if text:
             linked = sum(len(html.unescape(x).split()) for x, in_link in self.parts if in_link)
-            top = self.stack[-1] if self.stack else _Holder("", False, False)
+            top = self.stack[-1] if self.stack else _Holder("", False)
             words = text.count(" ") + 1
-            self.blocks.append(Block(text, words, min(linked, words), top.article, top.furniture))
+            self.found.append((text, words, min(linked, words), top))
         self.parts = []
 
     def open(self, name: str, more: str) -> None:
-        above = self.stack[-1] if self.stack else _Holder("", False, False)
+        above = self.stack[-1] if self.stack else _Holder("", False)
         article = above.article or name in ("article", "main")
-        named = {w for m in CLASSES.finditer(more) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
+        classes = [LAYOUT.sub("", m[1] or m[2] or m[3] or "").lower() for m in CLASSES.finditer(more)]
+        named = {w for x in classes for w in re.split(r"[^a-z]+", x)}
         if above.article:  # an article has its own header
             named -= HEADER_WORDS
         elif "header" in named and name not in ("body", "html"):
             named.add("masthead")
         own = name in FURNITURE or (name == "header" and not above.article)
         outermost = name == "article" and not any(h.name == "article" for h in self.stack)
-        if name not in ("body", "html", "main") and not outermost:
-            own = own or bool(named & FURNITURE_WORDS)
-        furniture = above.furniture or own or bool(HIDDEN.search(more))
-        self.stack.append(_Holder(name, article, furniture))
+        classed = name not in ("body", "html", "main") and not outermost and bool(named & FURNITURE_WORDS)
+        holder = _Holder(name, article, above, above.tagged or own or bool(HIDDEN.search(more)), classed)
+        holder.n_classed = above.n_classed + above.classed
+        if article and not above.article:
+            self.outermost.append(holder)
+        self.stack.append(holder)
+        self.holders.append(holder)
+
+    def blocks(self) -> list[Block]:
+        """The blocks, when all holders are known.
+
+        A class doesn't make furniture of what holds the page's article: if every outermost
+        article stands in holders with such classes, those around the least enclosed ones
+        are layout.
+        """
+        articles = [h for h in self.outermost if not h.tagged]
+        least = min((h.n_classed for h in articles), default=0)
+        for h in articles:
+            if least and h.n_classed == least:
+                above = h.above
+                while above is not None and not above.spared:
+                    above.spared, above.classed = True, False
+                    above = above.above
+        for h in self.holders:
+            h.furniture = h.tagged or h.classed or (h.above is not None and h.above.furniture)
+        return [Block(text, words, linked, h.article, h.furniture) for text, words, linked, h in self.found]
 
     def close(self, name: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -296,7 +329,7 @@ def blocks_of(page: str) -> list[Block]:
                     out.open(name, m["more"])
     out.text(page[at:])
     out.end_block()
-    return out.blocks
+    return out.blocks()
 
 
 def main_text(page: str) -> str:

@@ -301,6 +301,33 @@ def test_unclosed_elements_leave_the_article(page):
     assert html_text.main_text(page) == "Title\nOne two three."
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        '<div class="page has-sidebar">',
+        '<div id="content-with-comments">',
+        '<div class="page sidebar-right">',
+        '<div class="social"><section id=search-page>',
+        '<article class=teaser-1><p>Other</p></article><div class="no_sidebar">',
+    ],
+)
+@pytest.mark.parametrize("name", ["article", "main"])
+def test_class_words_of_wrappers_leave_the_article(wrapper, name):
+    related = "<div class=related><article><p>Read this as well.</p></article></div><div class=sidebar>Side</div>"
+    page = f"<body>{wrapper}{ARTICLE.replace('article', name)}{related}</div><div class=comments>Said</div></body>"
+    text = html_text.main_text(page)
+    assert "Title\nOne two three." in text
+    assert not any(x in text for x in ("Read this", "Side", "Said"))
+
+
+def test_furniture_stays_furniture():
+    for outer in ("aside", "nav", "footer", "div hidden"):
+        page = f"<body><{outer}>{ARTICLE}</{outer.split()[0]}><main><p>Main text.</p></main></body>"
+        assert html_text.main_text(page) == "Main text."
+    page = f"<body>{ARTICLE}<section class=comments><article><p>A comment.</p></article></section></body>"
+    assert html_text.main_text(page) == "Title\nOne two three."
+
+
 def test_raw_elements_take_the_rest():
     for name in html_text.RAW_ENDS:
         assert html_text.main_text(f"{ARTICLE}<{name}><p>not text of the page</p>") == "Title\nOne two three."
