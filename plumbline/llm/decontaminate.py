@@ -1,10 +1,12 @@
 """Benchmark passages in documents by CGK embeddings and bit-sampling LSH.
 
-Texts are words: runs of letters and digits, lower case. A document is contaminated by
+Texts are words: runs of letters and digits, lower case; in scripts that don't put spaces
+between words every character is one. A document is contaminated by
 an item of w words if one of its windows is within ``max_edits`` of w word edits of the
 item (insertions, deletions, substitutions). Windows have w words, or up to ``spread`` of
 w more or less; with ``spread`` equal to ``max_edits`` that is every run of words that can
-be close, so that the edits are those of the best substring.
+be close, so that the edits are those of the best substring. Items of fewer than
+``min_words`` words are met by chance if edits are allowed, and are looked for word by word.
 
 The CGK random walk copies a window's words to 3w places, and advances or not by a random
 bit of the word; few edits then mean few differing places. A table of the LSH samples some
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +41,10 @@ from plumbline.llm.hashing import MARKS, U64, block_words, combine, fold_case, m
 
 #: Edits as a share of the item's words.
 MAX_EDITS = 0.2
-#: Items of fewer words are met by chance and aren't looked for.
+#: Items of fewer words are looked for without edits.
 MIN_WORDS = 8
+#: A character of a script that is written without spaces between words.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
 BLOCK_ITEMS = 5000
 #: Places sampled for a key, most tables, and the share of edited items to be met.
 SAMPLED, MOST_TABLES, RECALL = 3, 64, 0.99
@@ -48,8 +53,17 @@ TRIALS = 300
 AT_ONCE = 20_000
 
 
+def spaced(column: pa.Array) -> pa.Array:
+    """The texts, with spaces around the characters of unspaced scripts."""
+    column = column.cast(pa.large_string())
+    some = pc.fill_null(pc.match_substring_regex(column, UNSPACED), False)
+    if not pc.any(some).as_py():
+        return column
+    return pc.replace_with_mask(column, some, pc.replace_substring_regex(column.filter(some), UNSPACED, r" \1 "))
+
+
 def words_of(text: str) -> np.ndarray:
-    buf = np.frombuffer(text.encode(), np.uint8)
+    buf = np.frombuffer(spaced(pa.array([text], pa.large_string()))[0].as_py().encode(), np.uint8)
     return block_words(buf, np.array([0, len(buf)]), MARKS, fold_case)[0]
 
 
@@ -163,16 +177,31 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    """A block of items, ready to be looked for in texts."""
-
-    def __init__(self, items: list[tuple[object, np.ndarray]], share: float, recall: float, spread: float = 0.0) -> None:
+    """A block of items, ready to be looked for in texts; short ones are looked for word by word."""
+
+    def __init__(
+        self,
+        items: list[tuple[object, np.ndarray]],
+        share: float,
+        recall: float,
+        spread: float = 0.0,
+        short: list[tuple[object, np.ndarray]] = (),
+    ) -> None:
         self.share, self.spread = share, spread
         self.ids = [i for i, _ in items]
+        self.names = self.ids + [i for i, _ in short]
+        self.sizes = [len(x) for _, x in (*items, *short)]
+        self.short = []
+        for n in sorted({len(x) for _, x in short}):
+            own = np.array([len(items) + m for m, (_, x) in enumerate(short) if len(x) == n], np.int64)
+            keys = np.array([combine(short[m - len(items)][1], n)[0] for m in own.tolist()], U64)
+            order = np.argsort(keys, kind="stable")
+            self.short.append((n, keys[order], own[order]))
         self.words, self.w = padded([x for _, x in items])
         self.most = np.array([edits_allowed(w, share) for w in self.w.tolist()])
         self.longest = self.w + np.array([edits_allowed(w, spread) for w in self.w.tolist()])
         self.tables = []
-        for table in range(tables_needed([x for _, x in items], share, recall)):
+        for table in range(tables_needed([x for _, x in items], share, recall) if items else 0):
             keys = table_keys(self.words, self.w, table)
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], order))
@@ -220,6 +249,20 @@ class Searcher:
         for size in np.unique(sizes).tolist():
             yield size, starts[(sizes == size) & (left >= size - edits_allowed(size, self.spread))]
 
+    def exact(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, first word) of the first place of each short item in a text."""
+        for n, keys, own in self.short:
+            found = combine(words, n)
+            low, high = np.searchsorted(keys, found), np.searchsorted(keys, found, "right")
+            hit = np.flatnonzero(high > low)
+            text = np.searchsorted(bounds, hit, "right") - 1
+            inside = hit + n <= bounds[text + 1]
+            hit, text = hit[inside], text[inside]
+            times = high[hit] - low[hit]
+            item, at, text = own[_ranges(low[hit], times)], np.repeat(hit, times), np.repeat(text, times)
+            _, first = np.unique(text * len(self.names) + item, return_index=True)
+            yield from zip(text[first].tolist(), item[first].tolist(), (at - bounds[text])[first].tolist(), strict=True)
+
     def met(self, windows: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (window, item) that agree in a table; w ascends."""
         out = [np.zeros(0, np.int64)]
@@ -245,9 +288,11 @@ class Searcher:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         waiting: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
-        for first, _, buf, offsets in text_blocks(column):
+        for first, _, buf, offsets in text_blocks(spaced(column)):
             words, bounds = block_words(buf, offsets, MARKS, fold_case)
-            if len(words) < 2:
+            for text, m, start in self.exact(words, bounds):
+                best[first + text, m] = (0, start)
+            if len(words) < 2 or not self.ids:
                 continue
             for w, starts in self.windows(words, bounds):
                 for part in np.array_split(starts, -(-len(starts) // AT_ONCE) or 1):
@@ -314,8 +359,9 @@ def matches(
     """One row per document and item found in it: doc_id, text_key, item_id, n_words, edits, first_word.
 
     edits is the least over the windows that were met, first_word where the first such
-    window begins. Windows may be ``spread`` of an item's words longer or shorter than it. Null texts are empty and hold nothing; null items, and items of fewer
-    than ``min_words`` words, aren't looked for; of repeated items one is. Repeated rows
+    window begins. Windows may be ``spread`` of an item's words longer or shorter than it. Null texts are empty and hold nothing; null items, and items
+    without words, aren't looked for; of repeated items one is. Items of fewer than
+    ``min_words`` words are found without edits only. Repeated rows
     of docs come out as often as they went in. text_key is a hash of the text. Other
     columns are not looked at.
     """
@@ -335,9 +381,11 @@ def matches(
     spark = docs.sparkSession
     out = spark.createDataFrame([], schema)
     for part in item_blocks(items, item_col, item_text_col, block):
-        known = [(i, w) for i, w in ((i, words_of(t)) for i, t in part) if len(w) >= min_words]
+        known = [(i, w) for i, w in ((i, words_of(t)) for i, t in part) if len(w)]
         if known:
-            out = out.union(rows.mapInArrow(_finder(Searcher(known, max_edits, recall, spread), arrow_schema), schema))
+            long, short = ([x for x in known if (len(x[1]) >= min_words) == k] for k in (True, False))
+            searcher = Searcher(long, max_edits, recall, spread, short)
+            out = out.union(rows.mapInArrow(_finder(searcher, arrow_schema), schema))
     return out
 
 
@@ -348,8 +396,8 @@ def _finder(searcher: Searcher, arrow_schema: pa.Schema):
                 {
                     "doc_id": batch.column(0)[row].as_py(),
                     "text_key": batch.column(1)[row].as_py(),
-                    "item_id": searcher.ids[m],
-                    "n_words": int(searcher.w[m]),
+                    "item_id": searcher.names[m],
+                    "n_words": searcher.sizes[m],
                     "edits": edits,
                     "first_word": at,
                 }

@@ -208,6 +208,28 @@ def test_passages_of_other_lengths_are_found(spark):
     assert sorted((r.doc_id, r.edits) for r in found.collect()) == [(0, 5), (1, 1), (2, 1)]
 
 
+def test_short_and_unspaced_items_are_found(spark):
+    chinese = "人工智能正在改变我们的生活方式和工作习惯"
+    japanese = "カタカナとひらがなと漢字を使います"
+    thai = "ภาษาไทยเขียนโดยไม่มีช่องว่างระหว่างคำ"
+    items = ["What is it?", "Paris", chinese, japanese, thai, "犬", "", "...", "what is it"]
+    texts = [
+        "He said: what  is it, then what is it", "what is", "it in paris", "parish what was it", None,
+        f"前文{chinese[:9]}{chinese[10:]}后文", f"x {japanese} y", f"ก{thai}", chinese[::-1], "it was 犬の", "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for block in (5, 5000):
+        found = decontaminate.matches(df, bench, spread=decontaminate.MAX_EDITS, block=block).collect()
+        got = sorted((r.doc_id, r.item_id, r.n_words, r.edits) for r in found)
+        assert got == [
+            (0, 0, 3, 0), (0, 8, 3, 0), (2, 1, 1, 0), (5, 2, 20, 1), (6, 3, 17, 0), (7, 4, len(thai), 0), (9, 5, 1, 0),
+        ]
+    assert {(r.doc_id, r.first_word) for r in found} == {(0, 2), (2, 2), (5, 2), (6, 1), (7, 1), (9, 2)}
+    only = bench.filter("item_id = 1")
+    assert decontaminate.without_matches(df, only).count() == len(texts) - 1
+
+
 def test_batched_edit_distances():
     draw = random.Random(2)
     pairs = [([draw.randrange(5) for _ in range(w)], [draw.randrange(5) for _ in range(w)]) for w in range(1, 30)]
