@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from plumbline.llm.components import components
 from plumbline.llm.hashing import (
-    BLOCK_BYTES, BYTE_VALUES, MARKS, U64, fold_case, mix, powers_of, text_blocks,
+    BLOCK_BYTES, BYTE_VALUES, MARKS, U64, block_words, combine, fold_case, mix, powers_of, text_blocks,
 )
+from plumbline.llm.near_dups import shingle_set
 from plumbline.llm.quality import held_out
 from plumbline.session import keep
 
@@ -45,6 +47,9 @@ SAMPLE = 3000
 #: A found term is in so many toxic texts, in such a share of them, and so many times
 #: likelier there.
 LEAST_TEXTS, LEAST_SHARE, LEAST_LIFT = 3, 0.02, 30.0
+#: Near copies share all least hashes of one of so many bands: 95 % of texts with three
+#: quarters of their word 5-grams in common do, and 3 % of those with a quarter.
+BANDS, BAND_HASHES = 8, 4
 #: Most rows with, and without, any vote that the classifier is fitted to.
 FIT_ROWS = 8000
 THRESHOLD = 0.3
@@ -146,17 +151,53 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return found.agg(F.min("text").alias("text"))
 
 
+def signatures(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row per text of a block: least hashes of its word 5-grams by band; 0 without words."""
+    words, bounds = block_words(buf, offsets, MARKS, fold_case)
+    salts = mix(np.arange(1, BANDS * BAND_HASHES + 1, dtype=U64)) | U64(1)
+    out = np.zeros((len(offsets) - 1, BANDS), U64)
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if a < b:
+            found = shingle_set(words[a:b])
+            least = np.array([mix(found * x).min() for x in salts], U64).reshape(BANDS, BAND_HASHES)
+            out[i] = [combine(x, BAND_HASHES)[0] for x in least + np.arange(BANDS, dtype=U64)[:, None]]
+    return out
+
+
+def text_keys(signature: np.ndarray) -> np.ndarray:
+    return np.array([combine(x, BANDS)[0] for x in signature], U64).view(np.int64)
+
+
+def near_copies(sample: DataFrame) -> DataFrame:
+    """(node, root): keys of texts that have near copies, and the least key of their family."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, offsets in text_blocks(batch.column(0)):
+                signature = signatures(buf, offsets)
+                keys = np.repeat(text_keys(signature), BANDS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(signature.ravel().view(np.int64))], names=["key", "band"]
+                )
+
+    bands = keep(sample.select("text").mapInArrow(each, "key long, band long"))
+    least = bands.groupBy("band").agg(F.min("key").alias("v"), F.max("key").alias("most")).filter("v < most")
+    # a sample's bands are bounded
+    return components(bands.join(F.broadcast(least), "band").select(F.col("key").alias("u"), "v"))
+
+
 def found_terms(sample: DataFrame) -> list[Row]:
-    """(length, term) that set toxic texts apart; near copies of a text count once."""
+    """(length, term) that set toxic texts apart; near copies of a text count once.
+
+    Texts are near copies if a band of their signatures is equal, or a chain of such texts ties them.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
             for first, _, buf, offsets in text_blocks(batch.column(0)):
                 text, length, found, level = term_levels(buf, offsets)
-                # copies share the least hash of a word
-                family = np.full(len(offsets) - 1, 2**63 - 1, np.int64)
-                np.minimum.at(family, text, (found >> U64(1)).astype(np.int64))
+                family = text_keys(signatures(buf, offsets))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(family[text]),
@@ -171,7 +212,11 @@ def found_terms(sample: DataFrame) -> list[Row]:
     rows = sample.select("text", "label").mapInArrow(
         each, "family long, label int, length int, term long, level int"
     )
-    rows = keep(rows.groupBy("family", "label", "length", "term").agg(F.min("level").alias("level")))
+    same = ["label", "length", "term"]
+    rows = rows.groupBy("family", *same).agg(F.min("level").alias("level"))
+    copies = F.broadcast(near_copies(sample).withColumnRenamed("node", "family"))
+    rows = rows.join(copies, "family", "left").withColumn("family", F.coalesce("root", "family"))
+    rows = keep(rows.groupBy("family", *same).agg(F.min("level").alias("level")))
     sizes = rows.select("family", "label").distinct().groupBy("label").count().collect()
     bad = sum(r["count"] for r in sizes if r["label"] == 1)
     good = sum(r["count"] for r in sizes if r["label"] != 1)

@@ -119,6 +119,27 @@ def test_toxicity_on_held_out_rows(spark, odd):
     assert toxicity.scored(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_texts_with_a_common_word_are_no_copies(spark):
+    def least(word):
+        buf = np.frombuffer(word.encode(), np.uint8)
+        return int(toxicity.terms(buf, np.array([0, len(buf)]))[2].min())
+
+    draw = random.Random(4)
+    # the least hashes of all, so that every text with the word has the same least one
+    common, copied = sorted((f"{a}{b}grumvo" for a in "bcdfghjklmnpqrstvwxyz" for b in range(200)), key=least)[:2]
+    pool = [w for w in (f"v{i}" for i in range(400)) if least(w) > least(copied)]
+    rows = [(i, [draw.choice(pool) for _ in range(40)], int(i % 4 == 0)) for i in range(400)]
+    for _, words, label in rows:
+        if label:
+            words[draw.randrange(40)] = common
+    one = [draw.choice(pool) for _ in range(60)]
+    one[30] = copied
+    rows += [(400 + i, [*one[:-1], f"end{i}"], 1) for i in range(20)]
+    sample = spark.createDataFrame([(i, " ".join(w), x) for i, w, x in rows], "doc_id long, text string, label int")
+    found = {r["term"] % 2**64 for r in toxicity.found_terms(sample)}
+    assert toxicity.term_hash(common) in found and toxicity.term_hash(copied) not in found
+
+
 # ---- benchmark passages -------------------------------------------------------------
 
 
