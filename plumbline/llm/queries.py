@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, exact_dups, html_text, mixing, near_dups, pii, quality, token_store, toxicity, url_filter
+from plumbline.llm import decontaminate, exact_dups, html_text, lexical, line_dedup, mixing, near_dups, pii, quality, spelling, token_store, toxicity, url_filter
 from plumbline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,22 @@ def op10_pii(spark, sf):
     return pii.digest(pii.personal_data(table(spark, sf, "documents")))
 
 
+@query
+def op11_spelling(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+@query
+def op12_line_dedup(spark, sf):
+    rows = line_dedup.without_repeated_lines(table(spark, sf, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op13_lexical_search(spark, sf):
+    return lexical.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 # ---- SQL ----------------------------------------------------------------------------
 
 
@@ -242,3 +258,40 @@ select doc_id, source, pass, block, {draw("'mix'", "source", "pass", "block")} a
 
 
 SQL["op8_mixing"] = _mix_sql()
+
+
+SQL["op12_line_dedup"] = f"""
+with rows as (select row_number() over () as k, doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+lines as materialized (select k, doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as place from rows),
+keyed as materialized (
+  select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{line_dedup.UPPER}', '{line_dedup.LOWER}') as key from lines),
+firsts as materialized (select key, min(doc_id) as first from keyed where length(key) >= {line_dedup.LEAST_LETTERS} group by key having count(distinct doc_id) >= 2),
+judged as (select keyed.*, coalesce(doc_id <> first, false) as gone from keyed left join firsts using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by place) filter (not gone), '')) as kept_sha256
+from judged group by k, doc_id"""
+
+
+SQL["op13_lexical_search"] = rf"""
+with docs as (
+  select row_number() over () as k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents),
+items as (
+  select row_number() over () as i, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from benchmark),
+sizes as (select k, doc_id, len(terms) as n from docs where len(terms) > 0),
+whole as (select count(*)::bigint as big_n, sum(n)::bigint as big_l from sizes),
+asked as (select i, item_id, term, count(*) as times from (select i, item_id, unnest(terms) as term from items) group by i, item_id, term),
+counts as materialized (
+  select k, term, count(*)::bigint as tf from (select k, unnest(terms) as term from docs)
+  where term in (select term from asked) group by k, term),
+weights as (select term, floor(1000 * ln((2 * big_n + 2)::double / (2 * count(*) + 1)::double))::bigint as w from counts, whole group by term, big_n),
+lengths as (select k, doc_id, 75 + (25 * n * big_n) // big_l as m from sizes, whole),
+scores as (
+  select i, item_id, doc_id, k, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+  from asked join weights using (term) join counts using (term) join lengths using (k) group by i, item_id, doc_id, k)
+select item_id, rank, doc_id, score from (
+  select *, row_number() over (partition by i order by score desc, doc_id nulls last)::int as rank from scores where score > 0)
+where rank <= {lexical.K}"""
