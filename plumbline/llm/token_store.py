@@ -32,24 +32,17 @@ PLANES = 4
 LEVEL = 3
 END_ID = 1
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
+#: Texts of so many bytes look their new words up together.
+TEXTS_BYTES = 1 << 20
 
-
-#: Letters that normal forms leave alone, then marks.
-PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+#: Letters that normal forms leave alone, then marks; ' and < may begin something else.
+MARKS_AFTER = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+PLAIN_WORD = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS_AFTER)}]*)")
 LETTERS = [c for c in map(chr, range(256)) if PLAIN_WORD.fullmatch(c)]
-
-
-class _Generation(dict):
-    """word bytes -> ids as bytes; what is not there is asked of the maker."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: bytes) -> bytes:
-        found = self[word] = self.make(word)
-        return found
+LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes of texts whose characters are all below U+0100.
+LATIN = bytes(range(0xC4))
 
 
 class WordEncoder:
@@ -58,6 +51,8 @@ class WordEncoder:
     Such a tokenizer gives a text the ids of its white-space separated parts, one after
     the other, and parts repeat: ids are remembered by part. Parts are cut at ASCII white
     space alone; whatever else a tokenizer does inside a part is left to the library.
+    The new words of many texts are encoded as one text, whose ids are cut again where
+    the tokenizer's vocabulary marks the end of a word.
     A tokenizer that isn't of this kind must be used with ``whole_texts``.
     """
 
@@ -69,36 +64,47 @@ class WordEncoder:
         self.normal, self.cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added_low = [a.lower().encode() for a in self.added]
         self.whole_texts = whole_texts
-        self.new, self.old = _Generation(self._recall), {}
-        self.letter = {c: self._pieces(c)[0] for c in LETTERS}
-        every = ["".join(LETTERS), *(c + "a" for c in LETTERS), *("a" + c for c in LETTERS)]
-        self.plain = all(
-            self._pieces(w + ".,;:!?|") == ["".join(map(self.letter.get, w)), *self._pieces(".,;:!?|")]
-            for w in every
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        # what is seen here decides which short cuts hold for this tokenizer
+        letters = "".join(LETTERS)
+        capitals = "".join(map(chr, range(65, 91)))
+        samples = [c.lower() + x for c in LETTERS for x in ("", "a", "zz")] + [letters.lower()]
+        one = {w: self._pieces(w) for w in samples}
+        self.lowers = bool(self.normal) and self.normal.normalize_str(capitals) == capitals.lower()
+        self.plain = (
+            bool(suffix)
+            and all(len(x) == 1 for x in one.values())
+            and all(self._pieces(c) == self._pieces(c.lower()) for c in LETTERS)
+            and all(self._pieces(w + MARKS_AFTER) == [*x, *self._pieces(MARKS_AFTER)] for w, x in one.items())
+            and self._together(samples) == [self._ids(one[w]) for w in samples]
         )
 
     def _pieces(self, text: str) -> list[str]:
-        return [p for p, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(text))]
-
-    def _recall(self, word: bytes) -> bytes:
-        found = self.old.get(word)
-        if found is not None:
-            return found
-        text = word.decode()
-        plain = PLAIN_WORD.fullmatch(text) if self.plain else None
-        if plain is None:
-            return self._word(text)
-        # the tokenizer was seen to part letters from marks and to map them one by one
-        letters, marks = plain.groups()
-        low = letters.lower()
-        if marks or low != letters:
-            return self.new[low.encode()] + (self.new[marks.encode()] if marks else b"")
-        return self._ids(["".join(map(self.letter.__getitem__, letters))])
+        text = self.normal.normalize_str(text) if self.normal else text
+        return [p for p, _ in self.cut.pre_tokenize_str(text)] if self.cut else [text]
 
     def _ids(self, pieces: list[str]) -> bytes:
         return np.array([t.id for p in pieces for t in self.model.tokenize(p)], "<u4").tobytes()
 
+    def _together(self, words: list[str]) -> list[bytes] | None:
+        """Ids of words of letters, from one text; None if the words can't be told apart."""
+        found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = np.array(found, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+            return None
+        data = ids.tobytes()
+        begins = [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(begins, begins[1:])]  # noqa: B905
+
     def _word(self, word: str) -> bytes:
         """What the library does with a text, step by step, without its bookkeeping."""
         if any(a in word for a in self.added):
@@ -108,14 +114,62 @@ class WordEncoder:
     def _text(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
+    def _learn(self, words: set[bytes]) -> None:
+        """Remembers the ids of words that aren't in the new generation."""
+        new, old = self.new, self.old
+        bases: dict[bytes, str] = {}
+        marked = []
+        for word in words:
+            found = old.get(word)
+            if found is not None:
+                new[word] = found
+                continue
+            text = word.decode()
+            plain = PLAIN_WORD.fullmatch(text) if self.plain else None
+            if plain is None:
+                new[word] = self._word(text)
+                continue
+            letters, marks = plain.groups()
+            low = letters.lower()
+            base = word if low == text else low.encode()
+            if base not in new:
+                if base in old:
+                    new[base] = old[base]
+                else:
+                    bases[base] = low
+            if base is not word:
+                marked.append((word, base, marks.encode()))
+        if bases:
+            ids = self._together(list(bases.values()))
+            if ids is None:
+                ids = [self._word(w) for w in bases.values()]
+            new.update(zip(bases, ids, strict=True))
+        for word, base, marks in marked:
+            if marks and marks not in new:
+                new[marks] = self._word(marks.decode())
+            new[word] = new[base] + (new[marks] if marks else b"")
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
         if self.whole_texts:
-            return self._text(text.decode())
+            return [self._text(t.decode()) for t in texts]
         if len(self.new) > REMEMBERED:
-            self.old = dict(self.new)
-            self.new = _Generation(self._recall)
-        return b"".join(map(self.new.__getitem__, text.split()))
+            self.old, self.new = self.new, {}
+        out: list[bytes | None] = [None] * len(texts)
+        parts: dict[int, list[bytes]] = {}
+        for i, text in enumerate(texts):
+            low = text.translate(LOWERED)
+            if any(a in low for a in self.added_low):
+                out[i] = self._text(text.decode())
+            else:
+                # beyond U+00FF some letters compose with marks as small letters only
+                safe = self.lowers and not text.translate(None, LATIN)
+                parts[i] = (low if safe else text).split()
+        new = self.new
+        self._learn(set().union(*parts.values()).difference(new))
+        for i, own in parts.items():
+            out[i] = b"".join(map(new.__getitem__, own))
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
@@ -239,10 +293,16 @@ def write_store(
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc_id, x in zip(ids, batch.column(1), strict=True):
-                data = encode(x.as_buffer().to_pybytes()) + end
-                for row in made.add(doc_id, np.frombuffer(data, "<u4")):
-                    yield pa.RecordBatch.from_pylist([row], arrow_schema)
+            texts, size = [], 0
+            for i, x in enumerate(batch.column(1)):
+                texts.append(x.as_buffer().to_pybytes())
+                size += len(texts[-1])
+                if size < TEXTS_BYTES and i + 1 < len(ids):
+                    continue
+                for doc_id, data in zip(ids[i + 1 - len(texts) : i + 1], encode(texts), strict=True):
+                    for row in made.add(doc_id, np.frombuffer(data + end, "<u4")):
+                        yield pa.RecordBatch.from_pylist([row], arrow_schema)
+                texts, size = [], 0
         if made.docs:
             yield pa.RecordBatch.from_pylist([made.row()], arrow_schema)
 
