@@ -44,13 +44,13 @@ LENGTHS = (0, 4, 5, 6, 7, 8)
 SHARES = (1 / 64, 1 / 128, 1 / 256, 0.0)
 #: Most labelled texts of each class that terms are sought in, drawn by a hash of their ids.
 SAMPLE = 3000
-#: A found term is in so many toxic texts, in such a share of them, and so many times
-#: likelier there.
-LEAST_TEXTS, LEAST_SHARE, LEAST_LIFT = 3, 0.02, 30.0
+#: A found term is in so many toxic texts, and so many times likelier there even if the
+#: count of them were so many standard deviations lower.
+LEAST_TEXTS, LEAST_LIFT, DEVIATIONS = 3, 30.0, 2.0
 #: Near copies share all least hashes of one of so many bands: 95 % of texts with three
 #: quarters of their word 5-grams in common do, and 3 % of those with a quarter.
 BANDS, BAND_HASHES = 8, 4
-#: Most rows with, and without, any vote that the classifier is fitted to.
+#: Most rows with, and without, any vote that the classifier is fitted to, by a hash of ids.
 FIT_ROWS = 8000
 THRESHOLD = 0.3
 VOTERS = ("insults", "abuse", "words", "stem4", "stem5", "stem6", "dense", "shouting", "exclaims")
@@ -223,8 +223,7 @@ def found_terms(sample: DataFrame) -> list[Row]:
     reached = F.explode(F.sequence("level", F.lit(len(SHARES) - 1))).alias("level")
     # a share reached by a rare term says nothing yet: whole terms first
     often = rows.filter("label = 1").groupBy("length", "term").count()
-    least = max(LEAST_TEXTS, bad * LEAST_SHARE)
-    often = often.filter(F.col("count") >= least).select("length", "term")
+    often = often.filter(F.col("count") >= LEAST_TEXTS).select("length", "term")
     counts = (
         rows.join(often, ["length", "term"], "left_semi")
         .select("length", "term", "label", reached)
@@ -234,8 +233,9 @@ def found_terms(sample: DataFrame) -> list[Row]:
             F.count_if(F.col("label") != 1).alias("in_good"),
         )
     )
-    lift = (F.col("in_bad") + 0.5) / (bad + 1) / ((F.col("in_good") + 0.5) / (good + 1))
-    found = counts.filter((F.col("in_bad") >= least) & (lift >= LEAST_LIFT))
+    surely = F.col("in_bad") - DEVIATIONS * F.sqrt("in_bad")
+    lift = (surely + 0.5) / (bad + 1) / ((F.col("in_good") + 0.5) / (good + 1))
+    found = counts.filter((F.col("in_bad") >= LEAST_TEXTS) & (lift >= LEAST_LIFT))
     return found.select("length", "term", "level").orderBy("length", "term", "level").collect()
 
 
@@ -358,8 +358,10 @@ class LabelModel:
 
 
 def logistic(rows: list[np.ndarray], target: np.ndarray, n: int) -> np.ndarray:
-    """Weights over n terms and a bias, by adaptive gradient steps."""
-    lengths = np.array([len(x) for x in rows])
+    """Weights over n terms and a bias, by adaptive gradient steps; without rows all 0."""
+    if not rows:
+        return np.zeros(n + 1)
+    lengths = np.array([len(x) for x in rows], np.int64)
     flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), lengths)
     weights, sums = np.zeros(n + 1), np.full(n + 1, 1e-6)
@@ -381,13 +383,16 @@ def scored(
     label_col: str = "toxic",
     sample: int = SAMPLE,
     threshold: float = THRESHOLD,
+    fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     The score rises with the chance of label 1. Terms are found in at most ``sample``
-    labelled texts of each class, none held out; a row without an id is held out. Null
+    labelled texts of each class, none held out, and the classifier is fitted to at most
+    ``fit_rows`` rows with votes and as many without; a row without an id is held out. Null
     texts are empty, and the empty text gets the score of a text without terms. Equal
-    texts get equal scores. Other columns are not looked at.
+    texts get equal scores, texts of any length are read whole, and an empty table gives
+    no rows. Other columns are not looked at.
     """
     vocabulary = Vocabulary(found_terms(sample_of(docs, labels, id_col, text_col, label_col, sample)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -419,8 +424,8 @@ def scored(
     model = LabelModel(counts.orderBy("votes", "label").collect())
 
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("votes")]
-    fit = voted.filter("votes > 0").orderBy(*order).limit(FIT_ROWS).union(
-        voted.filter("votes = 0").orderBy(*order).limit(FIT_ROWS)
+    fit = voted.filter("votes > 0").orderBy(*order).limit(fit_rows).union(
+        voted.filter("votes = 0").orderBy(*order).limit(fit_rows)
     )
     fit = sorted(fit.select("votes", "terms").collect(), key=lambda r: (r["votes"], r["terms"]))
     target = np.array([model.of(r["votes"]) for r in fit])
