@@ -42,7 +42,8 @@ class Assessment:
     """Lazily computed quality results of one DataFrame.
 
     order_by names the columns that define row order, columns the ones to assess: all
-    but order_by when omitted, as in cleaning. strict_first_format lets the first value
+    when omitted. Rows are then compared without the columns of order_by, as in cleaning.
+    strict_first_format lets the first value
     of a column fix the date format of all its values; the default reads each on its
     own. Without order_by, all columns define the order.
     """
@@ -65,7 +66,8 @@ class Assessment:
         self.min_values = min_values
         self.strict_first_format = strict_first_format
         self.source = df
-        self.columns = duplicates.data_columns(df, columns, order_by)
+        self.columns = list(columns or df.columns)
+        self.row_columns = duplicates.data_columns(df, columns, order_by)
         self.cells = fx.scalar_cells(df.select(*[X.ref(c) for c in self.columns]))
         self._rows: int | None = None
         self._known: dict[int, dict] = {i: {} for i in range(len(self.columns))}
@@ -218,7 +220,7 @@ class Assessment:
 
     @cached_property
     def _row_copies(self) -> tuple:
-        return tuple(duplicates.duplicate_counts(self.cells).first())
+        return tuple(duplicates.duplicate_counts(self.cells.select(*[X.ref(c) for c in self.row_columns])).first())
 
     def row_copies(self) -> DataFrame:
         """One row: exact and normalised duplicate counts."""
