@@ -181,3 +181,43 @@ def test_json_folder_of_several_shapes(spark, tmp_path):
         (1, None), (2, None), (3, None), (4, None), (5, None), (6, "x"), (7, None), (8, None), (9, "y"), (10, "z"),
     ]
     assert tuple(dropped_lines(spark, str(tmp_path / "e.json")).first()) == (4, 2)
+
+
+ODD = ["a,b", '"', '\\\\', '\\', '[{"x": 1}, ', '\\",', "é,한😀", "line\nbreak", "", ",,,,", "}", '{"k": [', " "]
+RECORDS = [{"id": i, "t": ODD[i % 13] * (1 + i % 5), "n": {"a": [i, 2], "b": {"c": "]}"}, "d": None}} for i in range(60)]
+CUT = {
+    "records": RECORDS,
+    "scalars": [*ODD * 4, None, 1, "x, y", 2.5],
+    "wrapper": {"meta": {"d": [{"a": 1}]}, "n": 5, "s": "a,]", "data": RECORDS, "z": []},
+    "record_map": {f'r{i}"{ODD[i % 13]}': r for i, r in enumerate(RECORDS)},
+    "columns": {"c,2": list(range(52)), 'c"1': ODD * 4, "c0": [[i, {"x": "],"}] for i in range(52)]},
+}
+
+
+@pytest.mark.parametrize("shape", list(CUT))
+def test_json_documents_cut_anywhere(spark, tmp_path, shape):
+    for i in range(2):  # one line, and many with other bytes
+        text = json.dumps(CUT[shape], ensure_ascii=i == 1, indent=1 if i and shape != "columns" else None)
+        (tmp_path / f"{i}.json").write_text("\ufeff" * i + text + "\n" * i)
+    whole = read_json(spark, str(tmp_path))
+    kept = {c: spark.conf.get(c, None) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (397,):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+            cut = read_json(spark, str(tmp_path), large=0)
+            assert cut.dtypes == whole.dtypes
+            assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+    finally:
+        for c, v in kept.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
+def test_json_that_is_no_document(spark, write):
+    for text in ("[1, 2", "[1}", "[1,,2]", "[1,]", '{"a" 1}', '["a]'):
+        with pytest.raises(JsonError):
+            read_json(spark, write("bad.json", text), large=0)
+    assert read_json(spark, write("lines.json", '{"a": 1}\n{"a": 2}\n'), large=0).count() == 2
+    assert read_json(spark, write("e.json", " [ ] "), large=0).columns == []
+    assert read_json(spark, write("o.json", '{"a": [1], "b": [1, 2]}'), large=0).first()["b"] == "[1, 2]"

@@ -1129,6 +1129,7 @@ EXPECTED: dict[str, str] = {
     **{f"scan_json_{shape}": "select * from supplier" for shape in ("records", "wrapper", "record_map", "columns", "bom")},
     "scan_json_object": "select * from nation",
     "scan_json_scalars": "select s_acctbal as value from supplier",
+    "scan_json_cut": "select * from customer",
     "scan_csv_folder": SUPPLIER_FOLDER,
     "mime_rules": MIME,
     "rate_limit": RATE_LIMIT,

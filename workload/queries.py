@@ -841,6 +841,19 @@ def scan_json_bom(spark, sf):
     return _documents(spark, sf, lambda rows, names: F.concat(F.lit("\ufeff"), F.to_json(rows)))
 
 
+@query
+def scan_json_cut(spark, sf):
+    """Customers as one document per nation, cut by byte ranges whatever their size."""
+    customers = views.table(spark, sf, "customer")
+    rows = customers.groupBy("c_nationkey").agg(
+        F.array_sort(F.collect_list(F.struct(*customers.columns))).alias("rows")
+    )
+    path = scratch(spark)
+    texts = rows.select(F.to_json(F.struct(F.lit("x,]").alias("note"), F.col("rows").alias("items"))).alias("value"))
+    texts.write.option("maxRecordsPerFile", 1).text(path)
+    return json.read_json(spark, path, large=0)
+
+
 @query
 def scan_csv_folder(spark, sf):
     """Two files whose headers differ in order and in one column."""
