@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import constants as k
 from plumbline.functions import exprs as X
 from plumbline.operators.facts import melt
+from plumbline.sources import ranges
 
 INTEGER = r"^\s*[+-]?\d+\s*$"
 FLOAT = (
@@ -20,25 +21,67 @@ FLOAT = (
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
-def read_csv(spark: SparkSession, path: str, *, quoted_newlines: bool = True) -> DataFrame:
+#: With line breaks in quotes allowed, files beyond this are cut by byte ranges.
+LARGE_BYTES = 64 << 20
+
+
+def read_csv(
+    spark: SparkSession, path: str, *, quoted_newlines: bool = True, large: int = LARGE_BYTES
+) -> DataFrame:
     """A CSV file or folder with header rows, typed from its values.
 
-    quoted_newlines allows line breaks inside quotes, which makes a file one
-    task; switch it off for large files without them, so they are split.
+    quoted_newlines allows line breaks inside quotes. Files up to ``large`` bytes are then
+    one task each, larger ones are split and cut where a record ends; switch it off for
+    files without such breaks, which any task can split at any line.
     Files of a folder may order their columns differently or lack some; a
     missing column is null. A row with more fields than its header is an error.
     """
-    text = scan_text(spark, path, quoted_newlines=quoted_newlines)
+    text = scan_text(spark, path, quoted_newlines=quoted_newlines, large=large)
     return cast_inferred(text, infer_physical(text))
 
 
-def scan_text(spark: SparkSession, path: str, *, quoted_newlines: bool = True) -> DataFrame:
+def scan_text(
+    spark: SparkSession, path: str, *, quoted_newlines: bool = True, large: int = LARGE_BYTES
+) -> DataFrame:
     """The files as text columns with null tokens nulled.
 
     Files with the same first line are read together; names and first lines of the
-    files reach the driver. Line breaks inside a header are only understood where all
-    files have the same.
+    files reach the driver. Line breaks inside a header are understood in files beyond
+    ``large``, and in others where all have the same header.
     """
+    parts = []
+    rest: str | list[str] = path
+    if quoted_newlines:
+        listed = spark.read.format("binaryFile").load(path)  # names and sizes alone, no content
+        sizes = listed.select("_metadata.file_path", "_metadata.file_size").collect()
+        big = sorted(unquote(r["file_path"]) for r in sizes if r["file_size"] > large)
+        if big:
+            parts = _cut(spark, big)
+            rest = sorted({unquote(r["file_path"]) for r in sizes} - set(big))
+    if rest:
+        parts += _scanned(spark, rest, quoted_newlines)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _cut(spark: SparkSession, files: list[str]) -> list[DataFrame]:
+    """The rows of large files, a table per header."""
+    records = ranges.csv_records(spark, files)
+    first = F.min_by(F.struct("number", "value"), "number").alias("first")
+    headers: dict[str, list[tuple[str, int]]] = {}
+    for r in records.groupBy("file").agg(first).orderBy("file").collect():
+        headers.setdefault(r["first"]["value"], []).append((r["file"], r["first"]["number"]))
+    out = []
+    for header, found in headers.items():
+        of = spark.createDataFrame(found, "file string, head long")
+        rows = records.join(of, "file").filter("number > head").select("value")
+        names = column_names(_cells_of(spark, header))
+        schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", __surplus string"
+        cells = rows.select(F.from_csv("value", F.lit(schema), {"escape": '"'}).alias("r")).select("r.*")
+        out.append(_named(cells, names))
+    return out
+
+
+def _scanned(spark: SparkSession, path: str | list[str], quoted_newlines: bool) -> list[DataFrame]:
     reader = spark.read.options(
         escape='"', multiLine=str(quoted_newlines).lower(), encoding="UTF-8"
     )
@@ -47,15 +90,14 @@ def scan_text(spark: SparkSession, path: str, *, quoted_newlines: bool = True) -
         by_header.setdefault(r["header"], []).append(unquote(r["file"]))
     if len(by_header) < 2:
         head = reader.option("header", "false").csv(path).first()
-        return _rows(reader, path, column_names([] if head is None else list(head)))
-    parts = [
+        return [_rows(reader, path, column_names([] if head is None else list(head)))]
+    return [
         _rows(reader, files, column_names(_cells_of(spark, header)))
         for header, files in by_header.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+def _first_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, header): the first line with content of each file."""
     begins = spark.read.text(path).where("_metadata.file_block_start = 0 and value <> ''")
     lines = begins.select(
@@ -79,7 +121,10 @@ def _cells_of(spark: SparkSession, header: str) -> list[str | None]:
 def _rows(reader, path: str | list[str], names: list[str]) -> DataFrame:
     """The rows under a header."""
     schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", __surplus string"
-    raw = reader.options(header="true", enforceSchema="true").schema(schema).csv(path)
+    return _named(reader.options(header="true", enforceSchema="true").schema(schema).csv(path), names)
+
+
+def _named(raw: DataFrame, names: list[str]) -> DataFrame:
     too_many = F.raise_error(F.lit("a row has more fields than the header")).cast("boolean")
     raw = raw.where(F.when(F.col("__surplus").isNull(), F.lit(True)).otherwise(too_many))
     return raw.select(*[null_tokens(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])

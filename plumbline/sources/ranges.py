@@ -1,4 +1,4 @@
-"""Large JSON documents read by byte ranges, each of which any task can take.
+"""Large JSON documents and CSV files read by byte ranges, each of which any task can take.
 
 A file is read in the splits that Spark makes of it. What a split does to the reader's
 state is found without knowing where it begins: whether it turns strings inside out, and
@@ -10,6 +10,7 @@ brackets of one level, and only pieces of elements that cross a border are joine
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +38,14 @@ CHANGE = "file string, block long, size long, file_size long, turns int, outside
 SEGMENT = "file string, block long, part int, kind int, members int, items int, ended boolean, whole boolean, value string"
 
 
-def _splits(spark: SparkSession, files: list[str]) -> DataFrame:
+def _splits(spark: SparkSession, files: list[str], mark: str = MARK) -> DataFrame:
     """(file, block, file_size, value): the bytes of all splits in order, ends included."""
-    lines = spark.read.option("lineSep", MARK).text(files)
+    lines = spark.read.option("lineSep", mark).text(files)
     return lines.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("file_size"),
-        F.concat("value", F.lit(MARK)).alias("value"),
+        F.concat("value", F.lit(mark)).alias("value"),
     )
 
 
@@ -164,15 +165,18 @@ def segments(spark: SparkSession, files: list[str], level: int) -> DataFrame:
                 )
                 now[file, block] = [end, depth_end, part + 1, members + int(first.sum()), items + int(second.sum())]
 
-    out = keep(_splits(spark, files).mapInArrow(scan, SEGMENT))
-    # commas of earlier splits: a row a split
+    return _counted(keep(_splits(spark, files).mapInArrow(scan, SEGMENT)))
+
+
+def _counted(out: DataFrame) -> DataFrame:
+    """Adds the commas of earlier splits, which are a row a split."""
     sums = out.groupBy("file", "block").agg(F.max("members").alias("m"), F.max("items").alias("i")).collect()
     rows, totals = [], {}
     for r in sorted(sums, key=lambda r: (r["file"], r["block"])):
         m, i = totals.get(r["file"], (0, 0))
         rows.append((r["file"], r["block"], m, i))
         totals[r["file"]] = (m + r["m"], i + r["i"])
-    earlier = spark.createDataFrame(rows, "file string, block long, m long, i long")
+    earlier = out.sparkSession.createDataFrame(rows, "file string, block long, m long, i long")
     out = out.join(earlier, ["file", "block"])
     return out.withColumns({"members": F.col("members") + F.col("m"), "items": F.col("items") + F.col("i")}).drop("m", "i")
 
@@ -190,3 +194,100 @@ def joined(rows: DataFrame, *key: str) -> DataFrame:
     crossing = rows.filter("not whole").groupBy(*keys).agg(pieces.alias("p"))
     crossing = crossing.select(*keys, F.array_join("p.value", "").alias("value"), F.element_at("p.ended", -1).alias("ended"))
     return ready.union(crossing.select(*keys, _text(F.col("value"), F.col("ended")).alias("value")))
+
+
+# ---- CSV ----------------------------------------------------------------------------
+
+LINE = "\n"
+#: A cell in quotes begins where a cell begins; two quotes inside it are one.
+QUOTED = re.compile(rb'(?:(?<=[,\n])|\A)"(?:[^"]|"")*+("|\Z)')
+REST = re.compile(rb'\A(?:[^"]|"")*+("|\Z)')
+
+
+def record_ends(data: np.ndarray, inside: int) -> tuple[np.ndarray, int]:
+    """Places of line breaks that end a record, and whether the end is inside quotes.
+
+    data begins where a line begins, inside a cell in quotes or not.
+    """
+    breaks = np.flatnonzero(data == 10)
+    if not inside and not (data == QUOTE).any():
+        return breaks, 0
+    text, begins, ends, at, end = data.tobytes(), [], [], 0, 0
+    if inside:
+        found = REST.match(text)
+        begins, ends, at, end = [0], [found.end()], found.end(), int(not found.group(1))
+    for found in QUOTED.finditer(text, at):
+        begins.append(found.start())
+        ends.append(found.end())
+        end = int(not found.group(1))
+    cell = np.searchsorted(np.array(begins, np.int64), breaks, "right") - 1
+    within = (cell >= 0) & (breaks < np.array([*ends, 0], np.int64)[cell])
+    return breaks[~within], end
+
+
+def _quote_starts(spark: SparkSession, files: list[str]) -> dict[tuple[str, int], int]:
+    """Whether each split begins inside a cell in quotes; the driver holds a row a split."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[tuple, list[int]] = {}
+        for batch in batches:
+            for file, block, _, data in _runs(batch):
+                ends = [record_ends(data, begin)[1] for begin in (0, 1)]
+                state[file, block] = [ends[now] for now in state.get((file, block), (0, 1))]
+        rows = [(*key, *ends) for key, ends in state.items()]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32()]
+        names = ["file", "block", "outside", "inside"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    found = _splits(spark, files, LINE).mapInArrow(scan, "file string, block long, outside int, inside int")
+    out: dict[tuple[str, int], int] = {}
+    file, now = None, 0
+    for r in found.orderBy("file", "block").collect():
+        file, now = r["file"], 0 if r["file"] != file else now
+        out[file, r["block"]] = now
+        now = r["inside"] if now else r["outside"]
+    return out
+
+
+def csv_records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, number, value) of all records that aren't empty, without their line break."""
+    begins = _quote_starts(spark, files)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict[tuple, list[int]] = {}
+        for batch in batches:
+            for file, block, _, data in _runs(batch):
+                inside, part, number = now.get((file, block)) or [begins[file, block], 0, 0]
+                at, end = record_ends(data, inside)
+                offsets = np.concatenate([[0], at + 1, [len(data)]]).astype(np.int64)
+                n = len(at) + 1
+                ended = np.arange(n) < n - 1
+                text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+                columns = [
+                    pa.array([file] * n),
+                    pa.array(np.full(n, block, np.int64)),
+                    pa.array(np.full(n, part, np.int32)),
+                    pa.array(np.full(n, FIRST, np.int32)),
+                    pa.array((number + np.arange(n)).astype(np.int32)),
+                    pa.array(np.zeros(n, np.int32)),
+                    pa.array(ended),
+                    pa.array(ended & ((np.arange(n) > 0) | (not inside))),
+                    text.cast(pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SEGMENT.split(", ")])
+                now[file, block] = [end, part + 1, number + n - 1]
+
+    rows = _counted(keep(_splits(spark, files, LINE).mapInArrow(scan, SEGMENT)))
+    # what follows the last break of a batch is empty, unless the batch ends inside quotes
+    rows = rows.filter("whole or value <> ''")
+    pieces = F.array_sort(F.collect_list(F.struct("block", "part", "value")))
+    crossing = rows.filter("not whole").groupBy("file", "members").agg(pieces.alias("p"))
+    out = rows.filter("whole").select("file", "members", "value").union(
+        crossing.select("file", "members", F.array_join("p.value", "").alias("value"))
+    )
+    # Windows line breaks become plain ones, inside cells too
+    plain = F.when(F.col("value").endswith("\r\n"), F.replace("value", F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("value"))
+    bare = F.when(plain.endswith("\n"), F.expr("left(value, char_length(value) - 1)")).otherwise(F.col("value"))
+    out = out.withColumn("value", plain).withColumn("value", bare)
+    return out.select("file", F.col("members").alias("number"), "value").filter("value <> ''")

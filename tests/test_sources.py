@@ -1,6 +1,7 @@
 """CSV and JSON scans, sinks and intake."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,3 +222,37 @@ def test_json_that_is_no_document(spark, write):
     assert read_json(spark, write("lines.json", '{"a": 1}\n{"a": 2}\n'), large=0).count() == 2
     assert read_json(spark, write("e.json", " [ ] "), large=0).columns == []
     assert read_json(spark, write("o.json", '{"a": [1], "b": [1, 2]}'), large=0).first()["b"] == "[1, 2]"
+
+
+def test_csv_cut_anywhere(spark, tmp_path):
+    import csv
+
+    draw = random.Random(4)
+    odd = ["a,b", 'q"q', '"', "two\nlines", "\n\n", ",\n,", '",\n"', "é한😀", "", "plain", " x ", 'end"', "\n\"\n"]
+    for name, end in (("a", "\n"), ("b", "\r\n")):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
+            out = csv.writer(f, lineterminator=end)
+            out.writerow(["id", "te,xt", "multi\nline" if name == "a" else "multi", "n"])
+            for i in range(120):
+                out.writerow([i, draw.choice(odd), draw.choice(odd) * draw.randrange(1, 6), i / 2])
+    kept = {c: spark.conf.get(c, None) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for name in ("a", "b"):
+        whole = read_csv(spark, str(tmp_path / f"{name}.csv"))
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "331")
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            cut = read_csv(spark, str(tmp_path / f"{name}.csv"), large=0)
+            assert cut.dtypes == whole.dtypes
+            got = sorted(map(str, cut.collect()))
+        finally:
+            for c, v in kept.items():
+                spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+        assert got == sorted(map(str, whole.collect())) and len(got) == 120
+
+
+def test_csv_cut_keeps_plain_quotes(spark, write):
+    text = 'a,b\n5" pipe,x\n\n"un""closed, 1\n2",y\nz,"\n"\nlast,"no break"'
+    whole, cut = (read_csv(spark, write("p.csv", text), large=n) for n in (1 << 30, 0))
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect())) and cut.count() == 4
+    with pytest.raises(Exception, match="more fields"):
+        read_csv(spark, write("b.csv", "a,b\n1,2\n3,4,5\n6\n"), large=0).collect()
