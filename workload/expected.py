@@ -880,8 +880,8 @@ r as (
 select event_id, user_id, accepted from r
 """
 INTAKE_AUDIT = """
-select * from (values ('csv', 'accepted', 1::bigint, 0::bigint), ('json', 'accepted', 1, 0),
-  ('txt', 'unsupported extension', 1, 0)) t(format, verdict, files, bad_lines)
+select * from (values ('csv', 'accepted', true, 0::bigint), ('json', 'accepted', true, 0),
+  ('txt', 'unsupported extension', true, 0)) t(format, verdict, files, bad_lines)
 """
 INTAKE_CONTENT = """
 with t as (
@@ -937,6 +937,80 @@ def physical() -> str:
     )
 
 
+def customer_bytes() -> str:
+    """Bytes of the dirty customers, as document_bytes has it for documents."""
+    sizes = " + ".join(
+        f"coalesce(sum(strlen({c})), 0)" if kind == S else f"8 * count({c})"
+        for c, kind in CUSTOMER.items()
+    )
+    return (
+        f"select case when b < 1024 then b || ' B' when b < 1048576 then {fixed('b / 1024', 1)} || ' KB' "
+        f"else {fixed('b / 1048576', 2)} || ' MB' end size from (select {sizes} b from t)"
+    )
+
+
+SECTIONS = (
+    "Dataset Overview", "Overall Quality Score", "Dimension Scores", "Column Profile",
+    "Missing-Value Analysis", "Duplicate Analysis", "Validation Problems", "Outliers",
+    "Text-Quality Findings", "Executive Summary", "Priority Recommendations",
+    "Cleaning Summary",
+)
+
+
+def whole_report() -> str:
+    """The twelve sections from the SQL of their parts, by the tables that they share."""
+
+    def tail(name: str, head: str) -> str:
+        return f"({EXPECTED[name].removeprefix(head)})"
+
+    duplicate, outlier = "contains(type, 'duplicate')", "contains(type, 'outlier')"
+    invalid = "(" + " or ".join(f"contains(type, '{x}')" for x in ("invalid", "constant", "low_variance", "negative")) + ")"
+    titled_issue = "type || coalesce(': ' || \"column\", '')"
+    from_issues = [
+        (1, f"select 1, 'Total Rows', {thousands('row_count')} from z"),
+        (1, "select 2, 'Total Columns', column_count::varchar from z"),
+        (1, f"select 3, 'Memory Footprint', size from ({customer_bytes()})"),
+        (1, "select 4, 'Format', 'PARQUET'"),
+        (2, f"select 0, report_tier, overall::varchar from {tail('score_tier', CS)}"),
+        (2, f"select position + 1, 'explanation', line from {tail('score_explanations', CS)}"),
+        (6, f"select 1, 'duplicates', arg_min(description, ordinal) from i where {duplicate} having count(*) > 0"),
+        (7, f"select ordinal, {titled_issue}, description from i where not {duplicate} and {invalid}"),
+        (8, f"select ordinal, {titled_issue}, description from i where not {duplicate} and not {invalid} and {outlier}"),
+        (9, f"select 1000 + position, 'observation', observation from {tail('insight_text', CI)}"),
+        (10, f"select 1, 'summary', summary from {tail('insight_summary', CS)}"),
+        (11, f"select rank, issue, recommendation from {tail('insight_priority', CI)}"),
+        (11, f"select 100 + step, 'plan', action from {tail('insight_plan', CI)}"),
+    ]
+    for n, d in enumerate(("completeness", "validity", "uniqueness", "consistency"), start=1):
+        from_issues.append((3, f"select {n}, '{d.title()}', {d}::varchar from w"))
+    missing = tail("report_missing", CP)
+    from_profile = [
+        (4, f"select ordinal, name, line from {tail('report_column_lines', CP)}"),
+        (5, f"select 1, 'Total Missing Cells', {thousands('total_missing')} from {missing}"),
+        (5, f"select 2, 'Missing Share', {fixed('missing_pct', 2)} || '%' from {missing}"),
+        (5, f"select 3, 'Columns with Missing Data', columns_with_nulls || ' of ' || column_count from {missing}"),
+        (9, f"select ordinal, name, 'min len ' || min_length || ', avg len ' || {fixed('avg_length', 1)} || ', max len ' || max_length "
+            f"from {tail('report_text_columns', CP)} where avg_length is not null"),
+    ]
+    from_audit = [(12, f"select step, type, description from {tail('report_cleaning', AUDIT)}")]
+    for n, c in enumerate(("original_rows", "cleaned_rows", "rows_removed", "cells_modified")):
+        from_audit.append((12, f"select {100 + n}, '{c}', {thousands(c)} from {tail('clean_summary', AUDIT)}"))
+
+    def united(head: str, parts: list[tuple[int, str]]) -> str:
+        rows = " union all ".join(
+            f"select {no} no, position::int position, key::varchar as key, value::varchar as value from ({part}) p(position, key, value)"
+            for no, part in parts
+        )
+        return f"select * from ({head} {rows})"
+
+    titles = ", ".join(f"({no}, {text(title)})" for no, title in enumerate(SECTIONS, start=1))
+    rows = " union all ".join([united(CS, from_issues), united(CP, from_profile), united(AUDIT, from_audit)])
+    return (
+        "select 'dirty_customer' dataset_id, no section_no, title section, position, key, value "
+        f"from ({rows}) join (values {titles}) s(no, title) using (no)"
+    )
+
+
 def document_bytes() -> str:
     size = "sum(coalesce(strlen(text), 0) + coalesce(strlen(lang), 0) + coalesce(strlen(source), 0)) + 8 * count(doc_id) + 8 * count(n_chars)"
     return (
@@ -1129,6 +1203,7 @@ EXPECTED: dict[str, str] = {
     **{f"scan_json_{shape}": "select * from supplier" for shape in ("records", "wrapper", "record_map", "columns", "bom")},
     "scan_json_object": "select * from nation",
     "scan_json_scalars": "select s_acctbal as value from supplier",
+    "scan_csv_cut": "select doc_id, '\"' || text || '\",' || chr(10) as text, lang from documents",
     "scan_json_cut": "select * from customer",
     "scan_csv_folder": SUPPLIER_FOLDER,
     "mime_rules": MIME,
@@ -1143,3 +1218,5 @@ EXPECTED: dict[str, str] = {
     "window_counts": "select event_id, user_id, count(*) over (partition by user_id order by ts "
     "range between interval 1 day preceding and current row) window_count from events",
 }
+
+EXPECTED["report_full"] = whole_report()
