@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -262,3 +263,76 @@ def rate_limit_stream(
         .select(F.from_json("event", events.schema, exact).alias("e"), "accepted")
         .select("e.*", "accepted")
     )
+
+
+def window_counts_stream(
+    events: DataFrame,
+    key: str,
+    ts: str,
+    *,
+    seconds: float = k.RATE_WINDOW_SECONDS,
+    lateness_seconds: float = 10,
+) -> DataFrame:
+    """window_counts over a stream: every column of an event, with window_count.
+
+    Events wait in state until the watermark is past them, when no event of their time or
+    an earlier one can come any more, so that the counts are those of the batch form.
+    State per key is how many events there were at each time of one window, and the
+    events of one lateness interval, as JSON; an event-time timer wakes a key whose
+    events are due and clears one whose window has passed. Events behind the watermark,
+    and events without a time, are dropped by Spark and counted in the query progress.
+    Null keys share one state.
+    """
+    width = int(seconds * 1_000_000)
+
+    def decide(
+        group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        past, counts, times, texts = state.get if state.exists else ([], [], [], [])
+        watermark = state.getCurrentWatermarkMs() * 1000
+        arrived = [pair for batch in batches for pair in zip(batch["t"], batch["event"], strict=True)]
+        pending = sorted([*zip(times, texts, strict=True), *((int(t), e) for t, e in arrived)])
+        ready = [pair for pair in pending if pair[0] < watermark]
+        pending = pending[len(ready) :]
+        window, total = deque(zip(past, counts, strict=True)), sum(counts)
+        out = []
+        for t, same in groupby(ready, key=lambda pair: pair[0]):
+            same = [e for _, e in same]
+            while window and window[0][0] < t - width:
+                total -= window.popleft()[1]
+            window.append((t, len(same)))
+            total += len(same)
+            out += [(e, total) for e in same]
+        while window and window[0][0] < watermark - width:
+            window.popleft()
+        if pending or window:
+            state.update(
+                ([t for t, _ in window], [n for _, n in window], [t for t, _ in pending], [e for _, e in pending])
+            )
+            due = pending[0][0] if pending else window[-1][0] + width
+            state.setTimeoutTimestamp(max(due, watermark) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"event": [e for e, _ in out], "window_count": [n for _, n in out]}).astype(
+            {"event": "object", "window_count": "int64"}
+        )
+
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    every = F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]), exact)
+    return (
+        events.select(
+            F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"),
+            _micros(ts).alias("t"), every.alias("event"),
+        )
+        .withWatermark("ts", f"{int(lateness_seconds * 1000)} milliseconds")
+        .groupBy("key")
+        .applyInPandasWithState(
+            decide,
+            "event string, window_count bigint",
+            "past array<bigint>, counts array<bigint>, times array<bigint>, events array<string>",
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
+        )
+        .select(F.from_json("event", events.schema, exact).alias("e"), "window_count")
+        .select("e.*", "window_count")
+    )

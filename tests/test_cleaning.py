@@ -1,5 +1,6 @@
 """Cleaning, audit, duplicates and redaction."""
 
+import pytest
 import tables
 from pyspark.sql import functions as F
 
@@ -132,3 +133,32 @@ def test_redaction_of_nested_cells(spark):
     assert row["s"][0]["mail"] == "[EMAIL_REDACTED]"
     assert row["s"][0]["api_key"] == "[SENSITIVE_REDACTED]"
     assert row["password"] is None
+
+
+def test_batches_equal_one_run(spark, tmp_path):
+    from plumbline.operators.duplicates import duplicate_counts, keep_first
+    from plumbline.operators.history import RowHistory
+
+    rows = [(i, draw, None if i % 7 == 0 else "x" * (i % 3), -0.0 if i % 2 else 0.0) for i, draw in enumerate([1, 2, 1, 3, 5] * 12)]
+    df = spark.createDataFrame(rows, "row_id int, n int, t string, f double")
+    columns, kept = ["n", "t", "f"], []
+    for i in range(3):
+        past = RowHistory(spark, str(tmp_path / "keys"), buckets=4 + i)  # as another session would
+        kept += past.add(df.where(f"row_id div 20 = {i}"), f"b{i}", columns, ["row_id"]).collect()
+    with pytest.raises(ValueError, match="added before"):
+        past.add(df, "b1", columns, ["row_id"])
+    assert sorted(kept) == sorted(keep_first(df, columns, ["row_id"]).collect())
+    whole = duplicate_counts(df.select(columns), with_normalized=False).first()
+    assert tuple(past.copies().first()) == (whole["rows"], whole["exact_affected"], whole["exact_extra"])
+    assert tuple(RowHistory(spark, str(tmp_path / "none")).copies().first()) == (0, 0, 0)
+
+
+def test_sketches_of_parts_merge(spark):
+    from plumbline.operators import sketches
+
+    df = spark.range(60_000).selectExpr("id", "id % 977 as few", "cast(null as int) as none", "if(id % 2 = 0, 0.0D, -0.0D) as zero")
+    parts = [sketches.column_sketches(df.where(f"id % 3 = {i}")) for i in range(3)]
+    united = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    got = {r["column"]: r for r in sketches.estimates(sketches.merged(united)).collect()}
+    for column, n in (("id", 60_000), ("few", 977), ("none", 0), ("zero", 1)):
+        assert got[column]["unique_low"] <= n <= got[column]["unique_high"] and got[column]["rows"] == 60_000

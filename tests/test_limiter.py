@@ -132,3 +132,33 @@ def test_window_counts_equal_counting(spark):
     for i, (k, t) in enumerate(rows):
         near = [1 for k2, t2 in rows if k2 == k and ((t is None and t2 is None) or (t is not None and t2 is not None and t - 7 <= t2 <= t))]
         assert got[i] == len(near)
+
+
+def test_streamed_counts_equal_batch(spark, tmp_path):
+    events = sorted(random_events(6)[:300], key=lambda e: e[2])
+    folder = str(tmp_path / "in")
+    for n in range(0, 300, 100):  # disorder inside a file stays within the allowed lateness
+        frame(spark, events[n : n + 100]).coalesce(1).write.mode("append").parquet(folder)
+    for n, days in ((9999, 2), (10000, 4)):
+        last = [(n, "flush", START + timedelta(days=days))]
+        frame(spark, last).coalesce(1).write.mode("append").parquet(folder)
+    stream = (
+        spark.readStream.schema("event int, key string, at timestamp")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(folder)
+    )
+    counted = limiter.window_counts_stream(stream, "key", "at", seconds=60, lateness_seconds=600)
+    query = (
+        counted.writeStream.format("memory")
+        .queryName("counted")
+        .outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination(180)
+    rows = spark.sql("select event, window_count from counted where key <> 'flush'").collect()
+    batch = limiter.window_counts(frame(spark, events), "key", "at", 60).select("event", "window_count")
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, batch.collect())) and len(rows) == 300
+    left = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert left <= 2  # keys whose window has passed are cleared

@@ -1121,6 +1121,10 @@ EXPECTED: dict[str, str] = {
     "score_bands": f"{CS} select dataset_id, dimension, score, case when score >= 85 then 'excellent' "
     "when score >= 70 then 'good' when score >= 50 then 'fair' else 'critical' end band, "
     "greatest(0, 85 - score) below_target from m",
+    "clean_dedup_batches": f"{C}, {FIRST} select * from dd",
+    "duplicate_counts_batches": f"{C}, {copies(CUSTOMER)} select rows, exact_affected, exact_extra from d",
+    "profile_distinct_merged": f"{L}, {facts(LINEITEM, 'unique')} select \"column\", rows, non_null, "
+    "\"unique\" unique_count, true within_bounds from f",
     "clean_dedup": f"{C}, {FIRST} select * from dd",
     "clean_trim": f"{C} select row_id, "
     + ", ".join(f"{strip(c)} as {c}" for c in ("customer_name", "comment", "mixed"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from plumbline.operators import (
     validity,
 )
 from plumbline.operators import facts as fx
+from plumbline.operators import history, sketches
 from plumbline.operators import quantiles as qt
 from plumbline.session import ensure_checkpoint_dir
 from plumbline.sources import csv, flatten, intake, json, sinks
@@ -237,6 +239,18 @@ def issues_dup_normalized(spark, sf):
     return issues.number(uniqueness.row_issues(copies).where("type <> 'duplicate_rows'"))
 
 
+@query
+def profile_distinct_merged(spark, sf):
+    """Distinct counts merged from stored sketches of three parts, against the exact ones."""
+    lines, path = views.table(spark, sf, "lineitem"), scratch(spark)
+    for flag in ("A", "N", "R"):
+        sketches.column_sketches(lines.where(F.col("l_returnflag") == flag)).write.mode("append").parquet(path)
+    found = sketches.estimates(sketches.merged(spark.read.parquet(path)))
+    exact = lineitem(spark, sf).facts("unique").select("column", F.col("unique").alias("unique_count"))
+    within = F.col("unique_count").between(F.col("unique_low"), F.col("unique_high"))
+    return found.join(exact, "column").select("column", "rows", "non_null", "unique_count", within.alias("within_bounds"))
+
+
 @query
 def duplicate_counts_lineitem(spark, sf):
     return lineitem(spark, sf).row_copies()
@@ -451,6 +465,30 @@ def cleaned_customers(spark, sf) -> clean.Cleaning:
     )
 
 
+def _customer_batches(spark, sf):
+    """Dirty customers in four batches by ranges of row_id, as they would arrive."""
+    df = views.dirty_customer(spark, sf)
+    last = df.agg(F.max("row_id")).first()[0] or 0
+    return [df.where(f"row_id * 4 div {last + 1} = {i}") for i in range(4)]
+
+
+@query
+def clean_dedup_batches(spark, sf):
+    past = history.RowHistory(spark, scratch(spark))
+    kept = []
+    for i, batch in enumerate(_customer_batches(spark, sf)):
+        kept.append(past.add(batch, f"batch-{i}", views.CUSTOMER_COLUMNS, ["row_id"]))
+    return reduce(DataFrame.unionByName, kept)
+
+
+@query
+def duplicate_counts_batches(spark, sf):
+    past = history.RowHistory(spark, scratch(spark))
+    for i, batch in enumerate(_customer_batches(spark, sf)):
+        past.add(batch, f"batch-{i}", views.CUSTOMER_COLUMNS, ["row_id"])
+    return past.copies()
+
+
 @query
 def clean_dedup(spark, sf):
     return cleaned_customers(spark, sf).deduplicated
