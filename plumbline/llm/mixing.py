@@ -92,6 +92,11 @@ def mixing_plan(
     all_tokens = totals.agg(F.sum("tokens")).first()[0] or 0
     budget = all_tokens if budget is None else budget
     totals = keep(totals.withColumn("share", F.col("tokens") / F.lit(float(max(1, all_tokens)))))
+    n_sources = totals.count()
+    if entropy is None and budget > max_repeat * all_tokens:
+        raise ValueError(f"{budget} words can't be drawn from {all_tokens} without repeating a source over {max_repeat} times")
+    if entropy is not None and n_sources and entropy > math.log(n_sources) + 1e-9:
+        raise ValueError(f"{n_sources} sources have an entropy of {math.log(n_sources):.4f} at most")
     x = exponent(totals, budget, max_repeat, entropy)
     powers = totals.withColumn("power", F.exp(F.lit(x) * F.log("share")))
     z = powers.agg(F.sum("power")).first()[0] or 1.0
@@ -147,7 +152,8 @@ def mixed(
 
     ``budget`` counts words and is by default what docs hold. The sources' shares get the
     least exponent with which none is repeated over ``max_repeat`` times (the greatest
-    that still reaches ``entropy`` nats, if given). A null source is the source ''; null
+    that still reaches ``entropy`` nats, if given; words are then drawn as often as that
+    takes). A limit or an entropy that no exponent reaches is an error. A null source is the source ''; null
     and empty texts have no words and go with their block; a source without any word has
     no weight and is left out. Equal ids of a source share their place, so repeated rows
     are drawn together; a null id is an id. Columns of docs keep their names and values;

@@ -5,10 +5,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import lexical, line_dedup, spelling
+from plumbline.llm import decontaminate, lexical, line_dedup, mixing, spelling
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -188,3 +189,24 @@ def test_kept_digest(spark):
     docs = spark.createDataFrame([(1, "a line of some\nÀ")], "doc_id int, text string")
     got = line_dedup.without_repeated_lines(docs).select(F.sha2("text", 256).alias("d")).first().d
     assert got == hashlib.sha256("a line of some\nÀ".encode()).hexdigest()
+
+
+# ---- limits that can't be met -------------------------------------------------------
+
+
+def test_mix_that_cannot_be_drawn(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * (1 + i)) for i in range(20)], "doc_id long, source string, text string")
+    with pytest.raises(ValueError, match="without repeating"):
+        mixing.mixed(docs, budget=1000, max_repeat=2.0)
+    with pytest.raises(ValueError, match="entropy"):
+        mixing.mixed(docs, entropy=0.8)
+    assert mixing.mixed(docs, budget=420, max_repeat=2.0).count() >= 39
+
+
+def test_tables_reach_their_recall_or_say_so(monkeypatch):
+    draw = np.random.default_rng(1)
+    items = [draw.integers(0, 2**60, 40).astype(np.uint64) for _ in range(20)]
+    assert decontaminate.tables_needed(items, 0.2, 0.99) > 1
+    monkeypatch.setattr(decontaminate, "MOST_TABLES", 1)
+    with pytest.raises(ValueError, match="1 tables find"):
+        decontaminate.tables_needed(items, 0.2, 0.99)
