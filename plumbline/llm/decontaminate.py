@@ -47,7 +47,7 @@ MIN_WORDS = 8
 UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
 BLOCK_ITEMS = 5000
 #: Places sampled for a key, most tables, and the share of edited items to be met.
-SAMPLED, MOST_TABLES, RECALL = 3, 64, 0.99
+SAMPLED, MOST_TABLES, RECALL = 3, 1024, 0.99
 TRIALS = 300
 #: Windows, or pairs of a window and an item, that are worked on at once.
 AT_ONCE = 20_000
