@@ -1,8 +1,9 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into text blocks at block elements. A block's features are its words and
-link density, those of the blocks before and after it, and what it stands in. A decision
-tree tells main text from the rest; it is grown from the labelled blocks below.
+link density, those of the blocks before and after it, what it stands in, and how the element
+around it is named and filled. A decision tree tells main text from the rest; it is grown
+from the labelled blocks below.
 """
 
 from __future__ import annotations
@@ -45,90 +46,228 @@ HOLDERS = frozenset(
     "header html main menu nav ol section table td th ul li".split()
 )
 FURNITURE = frozenset("aside fieldset footer form menu nav".split())
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: What a page with it is called, not what the element holds: has-sidebar, with-comments.
 LAYOUT = re.compile(r"(?<![^\s_-])(?:has|with|without|no)[_-]\S*", re.I)
-#: Words of class, id and role that name what isn't main text.
-FURNITURE_WORDS = frozenset(
-    "ad ads advert advertisement adverts alert aside banner breadcrumb breadcrumbs comment "
-    "comments complementary consent contentinfo cookie cookies copyright dialog disclaimer "
-    "disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice "
-    "notices pager pagination popup promo promoted recommended related replies reply respond "
-    "search share sharing sidebar signup skip social sponsor sponsored subscribe teaser "
-    "toolbar topbar widget".split()
+#: Words of class, id and role. A name counts if its words are all here or in PARTS:
+#: related-posts does, related-work doesn't. CERTAIN names tell what an element is, DOUBTFUL
+#: ones only say so together with its text; READERS are certain in an id of a section too.
+READERS = frozenset("comment comments commentary disqus replies reply respond".split())
+CERTAIN = READERS | frozenset(
+    "ad ads adsbygoogle adsense advert advertisement advertising adverts aside banner breadcrumb "
+    "breadcrumbs complementary consent contentinfo cookie cookies copyright disclaimer footer gdpr "
+    "masthead modal nav navbar navigation newsletter notice notices pager pagination popup promo "
+    "promoted recommended related sidebar signup sponsor sponsored subscribe topbar".split()
+)
+DOUBTFUL = frozenset("alert dialog legal login menu search share sharing skip social teaser toolbar widget".split())
+PARTS = frozenset(
+    "active area article articles bar block body bottom box btn button buttons card container "
+    "content count entry feed fixed floating form global google group header heading hidden holder "
+    "icons inline inner item items layout left link links list main meta mobile module "
+    "open outer overlay page panel post posts primary reader readers region right row secondary "
+    "section site slot sticky stories sub tag text thread title to top unit user wrap wrapper".split()
 )
 HEADER_WORDS = frozenset(("header", "heading", "masthead"))
+#: Elements whose tag says content: a doubtful name inside an article doesn't change it.
+CONTENT = frozenset("blockquote details dl figure ol table".split())
+BY_ID, BY_DOUBT, BY_NAME = 1, 2, 3
 
 #: words, link density, the same of the block before and after; inside: 1 within an
-#: article, 0 on a page without one, -1 outside of the article; furniture; main text.
+#: article, 0 on a page without one, -1 outside of the article; furniture by tag; how much
+#: the name of the element around it speaks for furniture, see name_weight; main text.
 LABELLED = """
-9 0.00 0 0.00 120 0.00 1 0 1
-9 0.00 6 1.00 9 0.00 1 0 1
-1 0.00 9 0.00 80 0.00 1 0 1
-1 0.00 1 0.00 1 0.00 1 0 1
-3 0.00 40 0.05 2 0.00 1 0 1
-80 0.00 1 0.00 45 0.02 1 0 1
-45 0.10 80 0.00 12 0.40 1 0 1
-12 0.40 45 0.10 60 0.00 1 0 1
-5 1.00 60 0.00 60 0.00 1 0 1
-2 0.50 70 0.00 3 0.00 1 0 1
-200 0.01 30 0.00 8 0.00 1 0 1
-8 0.00 200 0.01 6 0.30 1 0 1
-60 0.00 5 1.00 0 0.00 1 0 1
-3 0.00 40 0.00 1 1.00 1 0 1
-10 0.00 20 0.00 4 1.00 1 0 1
-16 0.20 1 1.00 1 1.00 1 0 1
-1 1.00 5 0.00 1 1.00 1 0 1
-1 1.00 1 1.00 1 1.00 1 0 1
-4 1.00 1 1.00 30 0.00 1 0 1
-2 0.00 2 1.00 0 0.00 1 0 1
-1 1.00 0 0.00 1 1.00 1 1 0
-6 0.00 70 0.00 30 0.10 1 1 0
-40 0.00 6 0.00 12 0.20 1 1 0
-25 0.00 90 0.00 2 1.00 1 1 0
-1 1.00 0 0.00 1 1.00 -1 1 0
-1 1.00 1 1.00 14 0.00 -1 1 0
-14 0.00 1 1.00 9 0.00 -1 1 0
-20 0.05 60 0.00 0 0.00 -1 1 0
-5 0.00 14 0.00 9 0.00 -1 0 0
-60 0.00 1 1.00 9 0.00 -1 0 0
-4 0.50 80 0.00 3 1.00 -1 0 0
-35 0.10 90 0.00 12 0.00 -1 0 0
-1 1.00 0 0.00 1 1.00 0 1 0
-30 0.00 2 1.00 60 0.00 0 1 0
-18 0.10 40 0.00 0 0.00 0 1 0
-70 0.00 2 1.00 8 0.00 0 1 0
-1 1.00 0 0.00 1 1.00 0 0 0
-2 1.00 1 1.00 2 1.00 0 0 0
-3 0.90 1 1.00 50 0.00 0 0 0
-6 0.60 3 1.00 3 1.00 0 0 0
-4 0.50 40 0.00 1 1.00 0 0 0
-2 0.00 1 1.00 1 1.00 0 0 0
-5 0.00 2 1.00 4 1.00 0 0 0
-7 0.40 5 0.80 2 1.00 0 0 0
-9 0.00 2 1.00 60 0.00 0 0 1
-60 0.00 9 0.00 45 0.02 0 0 1
-45 0.02 60 0.00 20 0.05 0 0 1
-20 0.05 45 0.02 4 0.50 0 0 1
-3 0.00 60 0.00 70 0.00 0 0 1
-110 0.00 3 0.00 2 0.00 0 0 1
-2 0.00 110 0.00 40 0.00 0 0 1
-15 0.20 40 0.00 30 0.00 0 0 1
-30 0.10 15 0.20 5 1.00 0 0 1
-50 0.00 3 1.00 3 1.00 0 0 1
-25 0.00 0 0.00 0 0.00 0 0 1
-12 0.90 3 1.00 4 1.00 0 0 0
-30 0.95 2 1.00 5 1.00 0 0 0
-20 0.80 6 0.60 3 1.00 0 0 0
-1 1.00 50 0.00 1 1.00 0 0 0
-2 1.00 80 0.00 0 0.00 0 0 0
-3 0.00 70 0.00 60 0.00 0 0 1
-6 0.00 80 0.00 50 0.00 0 0 1
+9 0.00 0 0.00 120 0.00 1 0 0.00 1
+9 0.00 6 1.00 9 0.00 1 0 0.00 1
+1 0.00 9 0.00 80 0.00 1 0 0.00 1
+1 0.00 1 0.00 1 0.00 1 0 0.00 1
+3 0.00 40 0.05 2 0.00 1 0 0.00 1
+80 0.00 1 0.00 45 0.02 1 0 0.00 1
+45 0.10 80 0.00 12 0.40 1 0 0.00 1
+12 0.40 45 0.10 60 0.00 1 0 0.00 1
+5 1.00 60 0.00 60 0.00 1 0 0.00 1
+2 0.50 70 0.00 3 0.00 1 0 0.00 1
+200 0.01 30 0.00 8 0.00 1 0 0.00 1
+8 0.00 200 0.01 6 0.30 1 0 0.00 1
+60 0.00 5 1.00 0 0.00 1 0 0.00 1
+3 0.00 40 0.00 1 1.00 1 0 0.00 1
+10 0.00 20 0.00 4 1.00 1 0 0.00 1
+16 0.20 1 1.00 1 1.00 1 0 0.00 1
+1 1.00 5 0.00 1 1.00 1 0 0.00 1
+1 1.00 1 1.00 1 1.00 1 0 0.00 1
+4 1.00 1 1.00 30 0.00 1 0 0.00 1
+2 0.00 2 1.00 0 0.00 1 0 0.00 1
+1 1.00 0 0.00 1 1.00 1 1 0.00 0
+6 0.00 70 0.00 30 0.10 1 1 0.00 0
+40 0.00 6 0.00 12 0.20 1 1 0.00 0
+25 0.00 90 0.00 2 1.00 1 1 0.00 0
+1 1.00 0 0.00 1 1.00 -1 1 0.00 0
+1 1.00 1 1.00 14 0.00 -1 1 0.00 0
+14 0.00 1 1.00 9 0.00 -1 1 0.00 0
+20 0.05 60 0.00 0 0.00 -1 1 0.00 0
+5 0.00 14 0.00 9 0.00 -1 0 0.00 0
+60 0.00 1 1.00 9 0.00 -1 0 0.00 0
+4 0.50 80 0.00 3 1.00 -1 0 0.00 0
+35 0.10 90 0.00 12 0.00 -1 0 0.00 0
+1 1.00 0 0.00 1 1.00 0 1 0.00 0
+30 0.00 2 1.00 60 0.00 0 1 0.00 0
+18 0.10 40 0.00 0 0.00 0 1 0.00 0
+70 0.00 2 1.00 8 0.00 0 1 0.00 0
+1 1.00 0 0.00 1 1.00 0 0 0.00 0
+2 1.00 1 1.00 2 1.00 0 0 0.00 0
+3 0.90 1 1.00 50 0.00 0 0 0.00 0
+6 0.60 3 1.00 3 1.00 0 0 0.00 0
+4 0.50 40 0.00 1 1.00 0 0 0.00 0
+2 0.00 1 1.00 1 1.00 0 0 0.00 0
+5 0.00 2 1.00 4 1.00 0 0 0.00 0
+7 0.40 5 0.80 2 1.00 0 0 0.00 0
+9 0.00 2 1.00 60 0.00 0 0 0.00 1
+60 0.00 9 0.00 45 0.02 0 0 0.00 1
+45 0.02 60 0.00 20 0.05 0 0 0.00 1
+20 0.05 45 0.02 4 0.50 0 0 0.00 1
+3 0.00 60 0.00 70 0.00 0 0 0.00 1
+110 0.00 3 0.00 2 0.00 0 0 0.00 1
+2 0.00 110 0.00 40 0.00 0 0 0.00 1
+15 0.20 40 0.00 30 0.00 0 0 0.00 1
+30 0.10 15 0.20 5 1.00 0 0 0.00 1
+50 0.00 3 1.00 3 1.00 0 0 0.00 1
+25 0.00 0 0.00 0 0.00 0 0 0.00 1
+12 0.90 3 1.00 4 1.00 0 0 0.00 0
+30 0.95 2 1.00 5 1.00 0 0 0.00 0
+20 0.80 6 0.60 3 1.00 0 0 0.00 0
+1 1.00 50 0.00 1 1.00 0 0 0.00 0
+2 1.00 80 0.00 0 0.00 0 0 0.00 0
+3 0.00 70 0.00 60 0.00 0 0 0.00 1
+6 0.00 80 0.00 50 0.00 0 0 0.00 1
+2 0.00 1 1.00 7 0.00 0 0 0.00 1
+5 0.00 0 0.00 0 0.00 0 0 0.00 1
+7 0.00 9 0.00 0 0.00 0 0 0.00 1
+7 0.00 0 0.00 9 0.00 0 0 0.00 1
+7 0.00 1 1.00 9 0.00 0 0 0.00 1
+1 0.00 0 0.00 40 0.00 0 0 0.00 1
+1 0.00 2 1.00 40 0.00 0 0 0.00 1
+3 0.00 0 0.00 7 0.00 0 0 0.00 1
+4 0.00 60 0.00 0 0.00 0 0 0.00 1
+4 0.00 30 0.00 1 1.00 0 0 0.00 1
+6 0.15 20 0.00 3 0.00 0 0 0.00 1
+1 0.00 1 0.00 1 0.00 0 0 0.00 1
+2 0.00 5 0.00 6 0.00 0 0 0.00 1
+3 0.00 2 0.00 2 0.00 0 0 0.00 1
+30 0.00 12 0.00 0 0.00 1 0 0.05 1
+6 0.00 2 0.00 40 0.00 1 0 0.17 1
+2 0.00 40 0.00 6 0.00 1 0 0.17 1
+14 0.20 2 0.00 40 0.00 1 0 0.12 1
+1 0.00 40 0.00 6 0.00 1 0 0.50 1
+3 1.00 40 0.00 6 1.00 1 0 0.71 0
+2 0.00 40 0.00 6 1.00 1 0 0.56 0
+30 0.00 12 0.00 0 0.00 1 0 0.33 1
+2 0.00 40 0.00 30 0.00 1 0 0.38 1
+40 0.10 2 0.00 40 0.00 1 0 0.34 1
+12 0.30 20 0.00 40 0.00 1 0 0.50 1
+1 0.00 40 0.00 6 0.00 1 0 0.91 0
+4 0.00 40 0.00 6 0.00 1 0 0.71 0
+7 0.00 1 0.00 40 0.00 1 0 0.59 0
+12 1.00 40 0.00 60 0.00 1 0 1.00 0
+3 1.00 40 0.00 6 1.00 1 0 0.96 0
+20 0.60 2 0.00 40 0.00 1 0 0.62 0
+1 0.00 40 0.00 6 0.00 1 0 1.00 0
+40 0.00 6 0.00 60 0.10 1 0 1.00 0
+25 0.00 90 0.00 2 1.00 1 0 1.00 0
+90 0.00 60 0.00 80 0.00 1 0 1.00 0
+3 1.00 9 0.00 2 1.00 1 0 1.00 0
+1 0.00 40 0.00 6 0.00 0 0 0.91 0
+14 0.00 0 0.00 40 0.00 0 0 0.42 1
+40 0.00 3 0.00 40 0.00 0 0 0.26 1
+6 0.00 3 0.00 40 0.00 0 0 0.62 0
+9 1.00 3 0.00 40 0.00 0 0 0.92 0
+30 0.00 40 0.00 6 0.00 0 0 1.00 0
+3 0.00 40 0.00 6 0.00 0 0 1.00 0
+60 0.00 40 0.00 6 0.00 -1 0 0.14 0
+60 0.00 40 0.00 6 0.00 -1 0 1.00 0
+40 0.00 1 0.00 40 0.00 0 0 1.00 0
+80 0.00 40 0.00 40 0.00 1 0 0.14 1
+60 0.00 3 0.00 90 0.00 1 0 0.20 1
+12 1.00 40 0.05 30 0.00 1 0 0.34 1
+3 1.00 0 0.00 30 0.00 1 0 0.43 1
+12 1.00 40 0.05 30 0.00 1 0 0.05 1
+2 1.00 0 0.00 30 0.00 1 0 0.11 1
+3 0.00 4 0.00 2 1.00 1 0 0.00 1
+1 0.00 0 0.00 3 1.00 1 0 0.00 1
+6 0.20 9 0.00 12 1.00 1 0 0.00 1
+5 0.00 2 1.00 4 1.00 1 0 0.00 1
+1 0.00 1 1.00 1 1.00 1 0 0.00 1
+3 1.00 0 0.00 60 0.00 1 0 0.00 1
+1 1.00 0 0.00 1 1.00 1 0 0.00 1
+9 0.60 0 0.00 0 0.00 1 0 0.00 1
+20 1.00 0 0.00 7 0.00 1 0 0.00 1
+2 1.00 0 0.00 40 0.00 1 0 1.00 0
+2 0.00 40 0.00 6 1.00 1 0 0.94 0
+20 0.00 40 0.00 6 1.00 1 0 0.71 0
+2 1.00 0 0.00 6 1.00 1 0 0.94 0
+2 1.00 0 0.00 6 1.00 1 0 0.62 0
+2 1.00 0 0.00 60 0.00 -1 0 0.00 0
+2 0.00 0 0.00 60 0.00 -1 0 0.00 0
+60 0.00 0 0.00 60 0.00 -1 0 0.00 0
+4 0.50 40 0.00 6 0.00 1 0 0.77 0
+1 1.00 0 0.00 6 0.00 1 0 0.83 0
+12 1.00 40 0.05 30 0.00 0 0 0.34 1
+20 0.00 40 0.05 30 0.00 1 0 1.00 0
+9 0.00 0 0.00 30 0.00 1 0 1.00 0
+30 0.10 4 0.00 8 0.00 0 0 1.00 0
+9 0.00 20 0.00 8 0.00 -1 0 1.00 0
+9 0.00 20 0.00 8 0.00 1 1 1.00 0
+60 0.00 20 0.00 80 0.00 1 1 0.24 0
+60 0.00 20 0.00 80 0.00 1 1 0.00 0
+60 0.00 20 0.00 80 0.00 0 1 0.00 0
+60 0.00 20 0.00 80 0.00 0 1 0.24 0
+60 0.00 20 0.00 80 0.00 -1 0 0.24 0
+14 0.00 20 0.00 80 0.00 -1 1 0.06 0
+30 0.00 20 0.00 80 0.00 1 0 0.37 1
+30 0.00 20 0.00 80 0.00 1 0 0.06 1
+6 0.00 9 0.00 3 1.00 1 0 0.08 1
+25 0.10 1 0.00 2 1.00 1 0 0.11 1
+1 0.00 0 0.00 1 1.00 1 0 0.25 1
+3 0.40 20 0.00 2 1.00 1 0 0.11 1
+2 0.40 0 0.00 4 1.00 1 0 0.00 1
+9 0.50 30 0.00 1 1.00 1 0 0.00 1
+2 0.50 0 0.00 3 1.00 1 0 0.71 0
+9 1.00 1 0.00 3 1.00 1 0 0.77 0
+2 0.40 2 1.00 3 1.00 1 0 0.71 0
+9 0.00 3 0.00 4 0.00 0 0 1.00 0
+2 0.60 9 0.00 8 0.00 1 0 0.33 1
+1 1.00 20 0.00 8 0.00 1 0 0.25 1
+5 1.00 2 0.00 3 1.00 1 0 0.40 1
+3 0.40 2 0.00 3 1.00 1 0 0.40 1
+8 0.00 2 0.00 3 1.00 1 0 0.20 1
+2 0.10 2 0.00 3 1.00 1 0 0.33 1
+1 1.00 2 1.00 3 1.00 1 0 0.91 0
+12 0.00 40 0.00 6 0.00 -1 0 0.45 0
+30 0.00 9 0.00 60 0.00 -1 0 0.33 0
+9 0.10 9 0.00 60 0.00 -1 0 0.42 0
+25 0.60 9 0.00 60 0.00 -1 0 0.25 0
+8 0.00 0 0.00 0 0.00 -1 0 0.50 0
+8 1.00 0 0.00 0 0.00 1 0 0.00 1
+2 0.00 9 0.00 6 1.00 1 0 0.50 1
+1 0.00 40 0.00 1 1.00 1 0 0.33 1
+14 0.00 9 0.00 30 0.00 1 1 0.42 0
+30 0.00 9 0.00 30 0.00 0 1 0.33 0
+9 0.20 9 0.00 30 0.00 1 1 0.25 0
+45 0.00 9 0.00 30 0.00 0 1 0.20 0
+12 0.00 9 0.00 30 0.00 1 1 0.00 0
+3 0.00 9 0.00 3 0.00 0 1 0.00 0
+6 0.00 60 0.00 9 0.00 0 1 0.14 0
+1 0.00 60 0.00 3 1.00 1 0 0.00 1
+1 0.50 9 0.00 3 1.00 1 0 0.50 1
+5 0.20 30 0.00 2 1.00 1 0 0.20 1
+60 0.00 1 1.00 2 1.00 0 0 0.00 1
+20 0.00 0 0.00 1 1.00 0 0 0.00 1
+12 0.10 2 1.00 3 1.00 0 0 0.00 1
 """
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before",
     "words_after", "link_density_after", "inside", "furniture",
+    "named",
 )
-DEPTH = 7
+DEPTH = 12
 
 
 def grow(rows: list[list[float]], depth: int = DEPTH):
@@ -177,6 +316,8 @@ class Block:
     linked: int
     in_article: bool
     furniture: bool
+    #: How much the name of the element around it speaks for furniture.
+    named: float = 0.0
 
 
 @dataclass(eq=False)
@@ -184,12 +325,41 @@ class _Holder:
     name: str
     article: bool
     above: _Holder | None = None
-    #: Furniture by its own or an outer tag; by its own class; outer holders that are by class.
+    #: Furniture by its own or an outer tag; how it is named; outer holders that are named so.
     tagged: bool = False
-    classed: bool = False
-    n_classed: int = 0
+    named: int = 0
+    n_named: int = 0
     spared: bool = False
-    furniture: bool = False
+    #: The most certainly named holder around a block, and what it holds in all.
+    namer: _Holder | None = None
+    blocks: int = 0
+    words: int = 0
+    linked: int = 0
+
+
+def how_named(name: str, more: str, in_article: bool) -> int:
+    """What class, id and role of an element say of it: 0, BY_ID, BY_DOUBT or BY_NAME."""
+    most = 0
+    for m in CLASSES.finditer(more):
+        by_id = m[0][:2].lower() == "id" and name == "section" and in_article
+        for one in LAYOUT.sub("", m[1] or m[2] or m[3] or "").split():
+            words = {w for w in re.split(r"[^a-z]+", CAMEL.sub("-", one).lower()) if len(w) > 2 or w == "ad"}
+            certain = CERTAIN - HEADER_WORDS if in_article else CERTAIN | HEADER_WORDS
+            if not words or not words <= CERTAIN | DOUBTFUL | PARTS or words <= PARTS - certain:
+                continue
+            if words & READERS or (words & certain and not by_id):
+                most = BY_NAME
+            elif words & (certain | DOUBTFUL) and not (in_article and name in CONTENT):
+                most = max(most, BY_ID if by_id else BY_DOUBT)
+    return most
+
+
+def name_weight(named: int, free_words: float) -> float:
+    """0 to 1 for how an element is named and its words a block outside of links.
+
+    Running text speaks against a doubtful name, any text against the id of a section.
+    """
+    return {0: 0.0, BY_ID: 1 / (1 + free_words), BY_DOUBT: 10 / (10 + free_words), BY_NAME: 1.0}[named]
 
 
 @dataclass
@@ -219,17 +389,11 @@ class _Page:
     def open(self, name: str, more: str) -> None:
         above = self.stack[-1] if self.stack else _Holder("", False)
         article = above.article or name in ("article", "main")
-        classes = [LAYOUT.sub("", m[1] or m[2] or m[3] or "").lower() for m in CLASSES.finditer(more)]
-        named = {w for x in classes for w in re.split(r"[^a-z]+", x)}
-        if above.article:  # an article has its own header
-            named -= HEADER_WORDS
-        elif "header" in named and name not in ("body", "html"):
-            named.add("masthead")
         own = name in FURNITURE or (name == "header" and not above.article)
         outermost = name == "article" and not any(h.name == "article" for h in self.stack)
-        classed = name not in ("body", "html", "main") and not outermost and bool(named & FURNITURE_WORDS)
-        holder = _Holder(name, article, above, above.tagged or own or bool(HIDDEN.search(more)), classed)
-        holder.n_classed = above.n_classed + above.classed
+        named = 0 if outermost or name in ("body", "html", "main") else how_named(name, more, above.article)
+        holder = _Holder(name, article, above, above.tagged or own or bool(HIDDEN.search(more)), named)
+        holder.n_named = above.n_named + (above.named > 0)
         if article and not above.article:
             self.outermost.append(holder)
         self.stack.append(holder)
@@ -238,21 +402,33 @@ class _Page:
     def blocks(self) -> list[Block]:
         """The blocks, when all holders are known.
 
-        A class doesn't make furniture of what holds the page's article: if every outermost
-        article stands in holders with such classes, those around the least enclosed ones
+        A name doesn't make furniture of what holds the page's article: if every outermost
+        article stands in holders with such names, those around the least enclosed ones
         are layout.
         """
         articles = [h for h in self.outermost if not h.tagged]
-        least = min((h.n_classed for h in articles), default=0)
+        least = min((h.n_named for h in articles), default=0)
         for h in articles:
-            if least and h.n_classed == least:
+            if least and h.n_named == least:
                 above = h.above
                 while above is not None and not above.spared:
-                    above.spared, above.classed = True, False
+                    above.spared, above.named = True, 0
                     above = above.above
+        for _, words, linked, h in self.found:
+            h.blocks, h.words, h.linked = h.blocks + 1, h.words + words, h.linked + linked
+        for h in reversed(self.holders):
+            up = h.above
+            up.blocks, up.words, up.linked = up.blocks + h.blocks, up.words + h.words, up.linked + h.linked
         for h in self.holders:
-            h.furniture = h.tagged or h.classed or (h.above is not None and h.above.furniture)
-        return [Block(text, words, linked, h.article, h.furniture) for text, words, linked, h in self.found]
+            outer = h.above.namer
+            h.namer = h if h.named and (outer is None or h.named > outer.named) else outer
+        out = []
+        for text, words, linked, h in self.found:
+            block = Block(text, words, linked, h.article, h.tagged)
+            if by := h.namer:
+                block.named = name_weight(by.named, (by.words - by.linked) / by.blocks)
+            out.append(block)
+        return out
 
     def close(self, name: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -335,7 +511,7 @@ def blocks_of(page: str) -> list[Block]:
 def main_text(page: str) -> str:
     """The blocks that the tree takes for main text, one a line."""
     blocks = blocks_of(page)
-    has_article = any(b.in_article and not b.furniture for b in blocks)
+    has_article = any(b.in_article and not b.furniture and b.named < 1 for b in blocks)
     ends = Block("", 0, 0, False, False)
 
     def density(b: Block) -> float:
@@ -346,7 +522,7 @@ def main_text(page: str) -> str:
         inside = 1 if b.in_article else -1 if has_article else 0
         features = [
             b.words, density(b), before.words, density(before), after.words, density(after),
-            inside, int(b.furniture),
+            inside, int(b.furniture), b.named,
         ]
         if is_main(features):
             out.append(b.text)
@@ -358,7 +534,8 @@ def extracted(
 ) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars (code points).
 
-    Null html is empty, and its text is empty. Character references are decoded, white
+    Null html is empty, and its text is empty; an empty table gives an empty table. Very long
+    pages are read whole, in time that grows with their length. Character references are decoded, white
     space inside a block becomes one space, blocks are joined by line feeds. Scripts,
     styles, comments and form controls are markup, not text. Other columns are not
     looked at; repeated rows come out as often as they went in.

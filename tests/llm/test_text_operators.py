@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -376,6 +377,100 @@ def test_raw_elements_take_the_rest():
         assert html_text.main_text(f"{ARTICLE}<{name}><p>not text of the page</p>") == "Title\nOne two three."
 
 
+LONG = "The words of this part go on for quite a while, as articles do."
+AROUND = f"<article><h1>T</h1><p>{LONG}</p>%s<p>{LONG}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section class="legal-analysis"><p>%s</p></section>',
+        '<div class="related-work"><p>%s</p></div>',
+        '<section id="social-history"><p>%s</p></section>',
+        '<div id="search-algorithm"><p>%s</p></div>',
+        '<section id="login"><p>%s</p></section>',
+        '<ol class="menu"><li>%s</ol>',
+        '<figure class="share"><figcaption>%s</figcaption></figure>',
+        '<details class="widget"><summary>%s</summary></details>',
+    ],
+)
+@pytest.mark.parametrize("text", ["Short.", "A line of some words.", "Here the words go on for a while, as they do in articles."])
+def test_sections_of_the_article_stay(part, text):
+    assert html_text.main_text(AROUND % (part % text)) == f"T\n{LONG}\n{text}\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="share"><a href=x>Share</a> <a href=y>Mail</a></div>',
+        '<div class="share-buttons"><p>Share this</p></div>',
+        '<div class="td-social">Share on <a href=x>X</a></div>',
+        '<ul class="menu"><li><a href=a>A</a><li><a href=b>B and c</a></ul>',
+        f"<section id=comments><p>{LONG}</p></section>",
+        f'<ol class="comment-list"><li>{LONG}</ol>',
+        f'<section class="reader-comments"><p>{LONG}</p></section>',
+        f'<div class="ad-slot">{LONG}</div>',
+        '<div class="adBanner">Buy</div>',
+        f"<div id=cookie-notice>{LONG}</div>",
+        f"<div class=sidebar><p>{LONG}</p></div>",
+    ],
+)
+def test_furniture_of_the_article_goes(part):
+    assert html_text.main_text(AROUND % part) == f"T\n{LONG}\n{LONG}"
+
+
+def test_pages_without_article_keep_short_paragraphs():
+    seven, nine = "Seven words are in this one here.", "Nine words are in this one that is here."
+    assert html_text.main_text(f"<p>{seven}</p><p>{nine}</p>") == f"{seven}\n{nine}"
+    assert html_text.main_text("<p>Only five words in here.</p>") == "Only five words in here."
+    links = "<ul><li><a href=x>Home</a><li><a href=y>About us</a></ul>"
+    page = f"{links}<h1>Head</h1><p>{seven}</p><p>{LONG}</p><p>Ok.</p><footer>Of us</footer>"
+    assert html_text.main_text(page) == f"Head\n{seven}\n{LONG}\nOk."
+    assert html_text.main_text(f"{links}<p>{LONG * 3}</p>{links}") == LONG * 3
+
+
+class _Plain(HTMLParser):
+    """The blocks inside <article> by the standard parser; furniture by its tag alone."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.out, self.blocks, self.words = 0, 0, [], ""
+
+    def cut(self):
+        if text := " ".join(self.words.split()):
+            self.blocks.append(text)
+        self.words = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCKS:
+            self.cut()
+        self.inside += tag == "article"
+        self.out += tag in html_text.FURNITURE or tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.cut()
+        self.inside -= tag == "article"
+        self.out -= tag in html_text.FURNITURE or tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.words += data
+
+
+def test_given_pages_equal_the_standard_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extracted(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows) > 100
+    for r in rows:
+        plain = _Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        plain.cut()
+        assert got[r.page_id] == "\n".join(plain.blocks), r.page_id
+
+
 def test_tree_learns_its_table():
     rows = html_text.labelled()
     assert all(html_text.is_main(r[:-1]) == bool(r[-1]) for r in rows)
