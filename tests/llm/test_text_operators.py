@@ -526,6 +526,30 @@ def test_secrets_are_added(spark):
     assert kinds[0] == ["secret"] and kinds[39] == []
 
 
+def test_many_matches_of_one_text_keep_their_places(spark):
+    parts = ["user{0}@mail.com", "10.0.{1}.7", "token=ab{0}cd45ef67ab89x", "+49 30 1234{2}"]
+    words = [p.format(i, i % 300, i + 10_000) for i in range(2_000) for p in parts]
+    text = "é😀 ".join(words)
+    [r] = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    base = [(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.BASE]
+    assert base == list(base_spans(text)) and len(base) > 5_000
+    assert all(text[s.start : s.end] == s.match for s in r.spans)
+    assert sum(s.kind == "secret" for s in r.spans) == 2_000
+
+
+def test_gazetteers_vote(spark):
+    cases = [
+        ("email", "a@b.de", 1), ("email", "a@b.museum", 1), ("email", "a@b.qqz", -1), ("ip", "127.0.0.1", -1), ("ip", "8.8.4.4", 0),
+        ("card", "4111 1111 1111 1111", 1), ("card", "2720990000000007", 1), ("card", "9111111111111111", -1),
+        ("phone", "+49 30 123456", 1), ("phone", "+352 123456", 1), ("phone", "+0 123456789", -1),
+        ("local", "212-555-0187", 1), ("local", "199-555-0187", -1), ("iban", "DE89 3704 0044 0532 0130 00", 1),
+        ("iban", "DE89 3704 0044 0532 0130", -1), ("iban", "QQ89 3704 0044 0532 0130 00", -1), ("social", "123-45-6789", 0),
+    ]
+    rows = spark.createDataFrame([(i, (k, 0, 1, m, "")) for i, (k, m, _) in enumerate(cases)], f"i int, s {pii.SPAN}")
+    got = {r.i: r.v for r in rows.select("i", pii.votes(F.col("s"))["gazetteer"].alias("v")).collect()}
+    assert [got[i] for i in range(len(cases))] == [v for *_, v in cases]
+
+
 def test_feature_rows_are_those_of_single_texts():
     column = pa.array(["a b c", None, "", "x" * 10, "Ab!! ab!!"])
     assert [x.tolist() for x in quality.feature_rows(column)] == [
