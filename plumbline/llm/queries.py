@@ -115,23 +115,11 @@ def _url_sql() -> str:
         f"'/{rule.partition('/')[2]}' as start"
         for verdict, rule in url_filter.RULES
     )
-    rounds = []
-    for i in range(url_filter.ROUNDS):
-        rounds.append(f"""
-got{i} as (
-  select host, sum(t)::bigint as t, sum(b)::bigint as b from (
-    select v as host, trust // n_out as t, 0 as b from edges join s{i} on u = s{i}.host join outs on outs.host = u
-    union all
-    select u as host, 0 as t, distrust // n_in as b from edges join s{i} on v = s{i}.host join ins on ins.host = v
-  ) group by host),
-s{i + 1} as (
-  select host, seed_t, seed_b, (seed_t * {100 - url_filter.DAMPING_PERCENT} + coalesce(t, 0) * {url_filter.DAMPING_PERCENT}) // 100 as trust,
-    (seed_b * {100 - url_filter.DAMPING_PERCENT} + coalesce(b, 0) * {url_filter.DAMPING_PERCENT}) // 100 as distrust
-  from s{i} left join got{i} using (host))""")
     link = url_filter.LINK.replace("'", "''")
+    rest, damping = 100 - url_filter.DAMPING_PERCENT, url_filter.DAMPING_PERCENT
     # without any edge nothing flows and the seeds stand as they are
     return f"""
-with rules as ({fits}),
+with recursive rules as ({fits}),
 parsed as materialized (
   select row_number() over () as k, page_id, html,
     case when position('://' in url) > 0 then regexp_extract(substr(url, position('://' in url) + 3), '^[^/?#]*') else '' end as raw_host,
@@ -156,12 +144,20 @@ ins as (select v as host, count(*) as n_in from edges group by v),
 seeds as (
   select host, coalesce((trusted::hugeint * {url_filter.TOTAL} // nullif((select sum(trusted) from hosts), 0))::bigint, 0) as seed_t,
     coalesce((blocked::hugeint * {url_filter.TOTAL} // nullif((select sum(blocked) from hosts), 0))::bigint, 0) as seed_b from hosts),
-s0 as (select *, seed_t as trust, seed_b as distrust from seeds),
-{",".join(rounds)},
-scores as (
-  select host, case when (select count(*) from edges) > 0 then s.trust else s0.trust end as trust,
-    case when (select count(*) from edges) > 0 then s.distrust else s0.distrust end as distrust
-  from s{url_filter.ROUNDS} s join s0 using (host))
+rounds as (
+  select 0 as i, host, seed_t, seed_b, seed_t as trust, seed_b as distrust, {4 * url_filter.TOTAL}::hugeint as moved from seeds
+  union all
+  select i + 1, host, seed_t, seed_b, new_t, new_b, sum(abs(new_t - trust) + abs(new_b - distrust)) over ()
+  from (
+    select r.*, (seed_t * {rest} + coalesce(t, 0) * {damping}) // 100 as new_t, (seed_b * {rest} + coalesce(b, 0) * {damping}) // 100 as new_b
+    from rounds r left join (
+      select host, sum(t)::bigint as t, sum(b)::bigint as b from (
+        select v as host, trust // n_out as t, 0 as b from edges join rounds x on u = x.host join outs on outs.host = u
+        union all
+        select u as host, 0 as t, distrust // n_in as b from edges join rounds y on v = y.host join ins on ins.host = v
+      ) group by host) g using (host)
+    where moved > {url_filter.SETTLED} and (select count(*) from edges) > 0)),
+scores as (select host, trust, distrust from rounds where i = (select max(i) from rounds))
 select page_id, host, path, rule,
   coalesce(verdict, case when host <> '' and distrust > trust then 'block' else 'allow' end) as verdict,
   trust, distrust

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, html_text, mixing, pii, quality, token_store, toxicity, url_filter
-from plumbline.llm.queries import word_tokenizer
+from plumbline.llm.queries import SQL, word_tokenizer
 from plumbline.session import shared_folder
 
 # ---- url filter ---------------------------------------------------------------------
@@ -41,6 +41,30 @@ def test_rules_and_propagation(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
+def test_scores_settle_and_equal_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    draw = random.Random(3)
+    hosts = [f"h{i}.net" for i in range(30)]
+    links = {h: [hosts[(i + 1) % 30]] for i, h in enumerate(hosts) if i < 20}  # a chain of twenty
+    for i in range(20, 30):
+        links[hosts[i]] = [hosts[draw.randrange(20, 30)] for _ in range(3)]
+    links["seed.org"], links["bad.de.com"] = [hosts[0]], [hosts[25]]
+    links[hosts[22]] = links.get(hosts[22], []) + ["x.com"]
+    rows = [(i, f"http://{h}/{'de/' if 'com' in h else ''}", "".join(f"<a href='http://{x}/'>x</a>" for x in links.get(h, [])))
+            for i, h in enumerate([*hosts, "seed.org", "bad.de.com", "x.com"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: r for r in url_filter.judged(pages).collect()}
+    assert got[hosts[19]].trust > 0 and got[hosts[22]].verdict == "block" and got[hosts[3]].verdict == "allow"
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    expected = duck.execute(SQL["op1_url_filter"]).fetchall()
+    assert sorted(expected) == sorted(tuple(r) for r in got.values())
+    # one more digit changes no score by more than the bound
+    finer = {r.host: r for r in url_filter.judged(pages, settled=url_filter.SETTLED // 1000).collect()}
+    assert all(abs(finer[h].trust - got[h].trust) + abs(finer[h].distrust - got[h].distrust) <= 6 * url_filter.SETTLED for h in got)
+
+
 # ---- mixing -------------------------------------------------------------------------
 
 
