@@ -43,6 +43,32 @@ LETTERS = [c for c in map(chr, range(256)) if PLAIN_WORD.fullmatch(c)]
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of texts whose characters are all below U+0100.
 LATIN = bytes(range(0xC4))
+#: Marks that end a word most often, and what a byte is where they are set apart.
+WORD_ENDS = ",.;:!?"
+LETTER, MARK, SPACE = 1, 2, 3
+KINDS = np.zeros(256, np.uint8)
+KINDS[[*range(97, 123), *range(0x80, 0xC0), 0xC3]] = LETTER
+KINDS[list(WORD_ENDS.encode())] = MARK
+KINDS[[0x20, *range(0x09, 0x0E)]] = SPACE
+#: New words that make one text for the library.
+TOGETHER = 100
+
+
+def marks_apart(text: bytes) -> bytes:
+    """A space before a mark that alone stands between a word of letters and white space.
+
+    The text has no character beyond U+00FF and no ASCII capital. Bytes of two-byte
+    letters count as letters; the two signs among those leave the text as it is.
+    """
+    if b"\xc3\x97" in text or b"\xc3\xb7" in text:
+        return text
+    a = np.frombuffer(text, np.uint8)
+    kinds = KINDS[a]
+    others = np.flatnonzero(kinds != LETTER)
+    kind = kinds[others]
+    gap = np.diff(others)
+    at = others[1:-1][(kind[:-2] == SPACE) & (kind[1:-1] == MARK) & (kind[2:] == SPACE) & (gap[:-1] > 1) & (gap[1:] == 1)]
+    return np.insert(a, at, 0x20).tobytes() if len(at) else text
 
 
 class WordEncoder:
@@ -51,14 +77,15 @@ class WordEncoder:
     Such a tokenizer gives a text the ids of its white-space separated parts, one after
     the other, and parts repeat: ids are remembered by part. Parts are cut at ASCII white
     space alone; whatever else a tokenizer does inside a part is left to the library.
-    The new words of many texts are encoded as one text, whose ids are cut again where
-    the tokenizer's vocabulary marks the end of a word.
+    The new words of many texts are encoded together, and their ids are cut again where
+    the tokenizer's vocabulary marks the end of a word. Words of small ASCII letters alone,
+    which nothing but the model changes, skip the steps before it.
     A tokenizer that isn't of this kind must be used with ``whole_texts``.
     """
 
     def __init__(self, path: str, whole_texts: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.normal, self.cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -86,6 +113,16 @@ class WordEncoder:
             and all(self._pieces(w + MARKS_AFTER) == [*x, *self._pieces(MARKS_AFTER)] for w, x in one.items())
             and self._together(samples) == [self._ids(one[w]) for w in samples]
         )
+        # words of small ASCII letters that come through unchanged need the model alone
+        small = [w for w in samples if w.isascii()] + ["".join(map(chr, range(97, 123)))]
+        self.bare = Tokenizer(self.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.small = (
+            self.plain
+            and all(self._pieces(w) == [w] for w in small)
+            and self._small([w.encode() for w in small]) == [self._ids([w]) for w in small]
+        )
+        self.apart = self.plain and all(self._pieces(w + m) == [*x, *self._pieces(m)] for w, x in one.items() for m in WORD_ENDS)
 
     def _pieces(self, text: str) -> list[str]:
         text = self.normal.normalize_str(text) if self.normal else text
@@ -97,9 +134,18 @@ class WordEncoder:
     def _together(self, words: list[str]) -> list[bytes] | None:
         """Ids of words of letters, from one text; None if the words can't be told apart."""
         found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
-        ids = np.array(found, "<u4")
+        return self._cut(np.array(found, "<u4"), len(words))
+
+    def _small(self, words: list[bytes]) -> list[bytes] | None:
+        """Ids of words of small ASCII letters, by the model alone; None as above."""
+        texts = [b" ".join(words[i : i + TOGETHER]).decode() for i in range(0, len(words), TOGETHER)]
+        found = [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._cut(np.concatenate([np.array(x, "<u4") for x in found]), len(words))
+
+    def _cut(self, ids: np.ndarray, n: int) -> list[bytes] | None:
+        """The ids of n words, one after the other, cut where words end."""
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+        if len(ends) != n or (len(ends) and ends[-1] != len(ids)):
             return None
         data = ids.tobytes()
         begins = [0, *(4 * ends).tolist()]
@@ -118,12 +164,16 @@ class WordEncoder:
         """Remembers the ids of words that aren't in the new generation."""
         new, old = self.new, self.old
         bases: dict[bytes, str] = {}
+        small = []
         marked = []
         for word in words:
             found = old.get(word)
             if found is not None:
                 new[word] = found
                 continue
+            if self.small and word.isalpha() and word.islower():
+                small.append(word)
+                continue
             text = word.decode()
             plain = PLAIN_WORD.fullmatch(text) if self.plain else None
             if plain is None:
@@ -139,6 +189,11 @@ class WordEncoder:
                     bases[base] = low
             if base is not word:
                 marked.append((word, base, marks.encode()))
+        if small:
+            ids = self._small(small)
+            if ids is None:
+                ids = [self._word(w.decode()) for w in small]
+            new.update(zip(small, ids, strict=True))
         if bases:
             ids = self._together(list(bases.values()))
             if ids is None:
@@ -164,6 +219,8 @@ class WordEncoder:
             else:
                 # beyond U+00FF some letters compose with marks as small letters only
                 safe = self.lowers and not text.translate(None, LATIN)
+                if safe and self.apart:
+                    low = marks_apart(low)
                 parts[i] = (low if safe else text).split()
         new = self.new
         self._learn(set().union(*parts.values()).difference(new))

@@ -318,6 +318,29 @@ def test_store_equals_the_library(spark, odd, empty, monkeypatch):
     assert token_store.read_documents(spark, path).count() == 0
 
 
+def test_words_and_marks_are_encoded_as_in_whole_texts(monkeypatch):
+    """Marks after words are set apart, and new small words need the model alone."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(word_tokenizer())
+    encoder = token_store.WordEncoder(word_tokenizer())
+    assert encoder.small and encoder.apart
+    draw = random.Random(5)
+    ends = [*token_store.WORD_ENDS, "", "!,", "),", ".\"", "'s,", "'", "×,", "÷.", "²;", "ª.", "Ý:"]
+    words = ["".join(draw.choices("abcdefgxyzABCéßÀÿ", k=draw.randint(0, 9))) + draw.choice(ends) for _ in range(3000)]
+    texts = [f"{a}{gap}{b} {c}" for a, b, c in zip(words, words[1:], words[2:], strict=False) for gap in (" ", "\n", "\u00a0")]
+    texts += [", a, .", "a,", " a,", "a, ", ",", " , ", "3, a3, 3a. x²,", "×, a×, ab, c", "don't, 'll. we'll, 're:", "日本, ab, c", "a\u0301, b, c"]
+    texts += [" ".join(words[i : i + 150]) for i in range(0, 3000, 150)]
+    got = encoder.ids([t.encode() for t in texts])
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    # a word followed by a mark is no word of its own any more
+    fresh = token_store.WordEncoder(word_tokenizer())
+    fresh.ids([b"Some words, and words. To end: words; end"])
+    assert b"words," not in fresh.new and {b"words", b",", b".", b"end"} <= set(fresh.new)
+    monkeypatch.setattr(fresh, "_together", lambda words: pytest.fail("small words take all steps"))
+    fresh.ids([b"quite unseen letters, all small"])
+
+
 # ---- pages --------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head>
