@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes hashed at once: numpy needs about 30 bytes of memory for each of them.
-BLOCK_BYTES = 1 << 21
+#: Bytes hashed at once: numpy needs about 30 bytes of memory for each of them, and the
+#: powers below 16 more in every worker.
+BLOCK_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240117))
 BYTE_VALUES = _rng.integers(1, 2**64 - 1, 256, dtype=U64) | U64(1)

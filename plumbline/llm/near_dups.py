@@ -44,6 +44,8 @@ THRESHOLD_PERCENT = 75
 SKETCH_SIZE, LONG_SKETCH = 64, 256
 #: 64-bit numbers that hold the parities of a set.
 PARITY_LONGS = 16
+#: Values of whole sets that a worker holds before it hands them on.
+SET_VALUES = 1 << 19
 MISS = 1e-7
 #: Share of the waiting classes under which another round of meetings isn't worth while.
 FEW_TIED = 0.02
@@ -121,7 +123,7 @@ def sets_of(docs: DataFrame, width: int, k: int) -> DataFrame:
                     keys.append(key)
                     found.append(x)
                     size += len(x)
-                if size > 1 << 21:
+                if size > SET_VALUES:
                     yield _rows(keys, found, k)
                     keys, found, size = [], [], 0
             yield _rows(keys, found, k)

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.llm.components import components
 from plumbline.llm.hashing import (
-    BLOCK_BYTES, BYTE_VALUES, MARKS, U64, block_words, combine, fold_case, mix, powers_of, text_blocks,
+    BYTE_VALUES, MARKS, U64, block_words, combine, fold_case, mix, powers_of, text_blocks,
 )
 from plumbline.llm.near_dups import shingle_set
 from plumbline.llm.quality import held_out
@@ -38,6 +38,8 @@ ABUSE = (
     "disgusting vile filthy filth pig pigs vermin parasite freak bastard bitch whore slut "
     "damn fuck fucking shit crap asshole bullshit retard retarded degenerate hate despise"
 )
+#: Bytes of a long text that are looked at together.
+PIECE_BYTES = 1 << 21
 #: Bytes of the word beginnings that are looked at; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6, 7, 8)
 #: A term's share of a text's words is told apart by whether it reaches these; 0 is any.
@@ -92,9 +94,9 @@ def _bounds(folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def _pieces(buf: np.ndarray) -> list[tuple[int, int]]:
     """A block as it is, or one long text cut where marks stand."""
     out, at = [], 0
-    while len(buf) - at > BLOCK_BYTES:
-        gaps = np.flatnonzero(MARKS[buf[at : at + BLOCK_BYTES]])
-        end = at + (int(gaps[-1]) + 1 if len(gaps) else BLOCK_BYTES)
+    while len(buf) - at > PIECE_BYTES:
+        gaps = np.flatnonzero(MARKS[buf[at : at + PIECE_BYTES]])
+        end = at + (int(gaps[-1]) + 1 if len(gaps) else PIECE_BYTES)
         out.append((at, end))
         at = end
     return [*out, (at, len(buf))]

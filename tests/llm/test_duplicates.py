@@ -1,13 +1,17 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
 from plumbline.llm.exact_dups import exact_duplicates
-from plumbline.llm.near_dups import common_values, near_duplicates, without_near_duplicates
+from plumbline.llm import hashing
+from plumbline.llm.near_dups import common_values, near_duplicates, text_sets, without_near_duplicates
 
 BLANK = "[\x20\x09-\x0d]+"
 
@@ -138,3 +142,21 @@ def test_a_third_of_the_rows_in_one_class(spark):
     found = near_duplicates(df)
     assert found.filter("component_id = 0").count() == 1000
     assert found.filter("kept").count() == 2001
+
+
+def test_a_worker_needs_little_memory_for_shingle_sets():
+    draw = random.Random(11)
+    words = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(2000)]
+    texts = [" ".join(draw.choices(words, k=200)) for _ in range(3500)]  # 4 MB
+    texts.insert(7, " ".join(draw.choices(words, k=100_000)))  # cut into blocks
+    column = pa.array(texts)
+    tracemalloc.start()
+    sizes = [len(x) for x in text_sets(column, 5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    tables = hashing._POWERS.nbytes + hashing._INVERSES.nbytes
+    assert peak + tables < 40e6
+    for i in (0, 7, 3500):
+        own = texts[i].split()
+        assert sizes[i] == len({tuple(own[j : j + 5]) for j in range(len(own) - 4)})
+    assert np.array_equal(next(text_sets(column.slice(7, 1), 5)), list(text_sets(column.slice(5, 4), 5))[2])
