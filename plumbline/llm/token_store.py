@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,8 @@ LEVEL = 3
 END_ID = 1
 #: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 500_000
-#: Texts of so many bytes look their new words up together.
-TEXTS_BYTES = 1 << 20
+#: Texts of so many bytes are encoded together.
+TEXTS_BYTES = 1 << 21
 
 #: Letters that normal forms leave alone, then marks; ' and < may begin something else.
 MARKS_AFTER = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
@@ -50,25 +51,35 @@ KINDS = np.zeros(256, np.uint8)
 KINDS[[*range(97, 123), *range(0x80, 0xC0), 0xC3]] = LETTER
 KINDS[list(WORD_ENDS.encode())] = MARK
 KINDS[[0x20, *range(0x09, 0x0E)]] = SPACE
+KINDS = KINDS.tobytes()
+#: Bytes of letters that are no letters: the signs of times and division.
+SIGNS = (b"\xc3\x97", b"\xc3\xb7")
 #: New words that make one text for the library.
 TOGETHER = 100
 
 
-def marks_apart(text: bytes) -> bytes:
+def marks_apart(text: bytes) -> tuple[bytes, np.ndarray]:
     """A space before a mark that alone stands between a word of letters and white space.
 
-    The text has no character beyond U+00FF and no ASCII capital. Bytes of two-byte
-    letters count as letters; the two signs among those leave the text as it is.
+    The text has no character beyond U+00FF, no ASCII capital and none of SIGNS. Bytes of
+    two-byte letters count as letters. The places of the marks come second.
     """
-    if b"\xc3\x97" in text or b"\xc3\xb7" in text:
-        return text
-    a = np.frombuffer(text, np.uint8)
-    kinds = KINDS[a]
+    kinds = np.frombuffer(text.translate(KINDS), np.uint8)
     others = np.flatnonzero(kinds != LETTER)
     kind = kinds[others]
     gap = np.diff(others)
     at = others[1:-1][(kind[:-2] == SPACE) & (kind[1:-1] == MARK) & (kind[2:] == SPACE) & (gap[:-1] > 1) & (gap[1:] == 1)]
-    return np.insert(a, at, 0x20).tobytes() if len(at) else text
+    return np.insert(np.frombuffer(text, np.uint8), at, 0x20).tobytes(), at
+
+
+def joined(texts: list[bytes], apart: bool) -> tuple[bytes, np.ndarray]:
+    """Texts, each with a line end, and where each begins; with their marks set apart if asked."""
+    data = b"".join([x for t in texts for x in (t, b"\n")])
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    if not apart:
+        return data, begins
+    data, at = marks_apart(data)
+    return data, begins + np.searchsorted(at, begins)
 
 
 class WordEncoder:
@@ -77,6 +88,8 @@ class WordEncoder:
     Such a tokenizer gives a text the ids of its white-space separated parts, one after
     the other, and parts repeat: ids are remembered by part. Parts are cut at ASCII white
     space alone; whatever else a tokenizer does inside a part is left to the library.
+    Arrow cuts the texts of a block and numbers their different parts, so a part is looked
+    up once a block and its ids are copied to all its places.
     The new words of many texts are encoded together, and their ids are cut again where
     the tokenizer's vocabulary marks the end of a word. Words of small ASCII letters alone,
     which nothing but the model changes, skip the steps before it.
@@ -211,23 +224,42 @@ class WordEncoder:
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
         out: list[bytes | None] = [None] * len(texts)
-        parts: dict[int, list[bytes]] = {}
+        marked: dict[int, bytes] = {}
+        others: dict[int, bytes] = {}
         for i, text in enumerate(texts):
             low = text.translate(LOWERED)
             if any(a in low for a in self.added_low):
                 out[i] = self._text(text.decode())
+            # beyond U+00FF some letters compose with marks as small letters only
+            elif not self.lowers or text.translate(None, LATIN):
+                others[i] = text
+            elif self.apart and not any(x in low for x in SIGNS):
+                marked[i] = low
             else:
-                # beyond U+00FF some letters compose with marks as small letters only
-                safe = self.lowers and not text.translate(None, LATIN)
-                if safe and self.apart:
-                    low = marks_apart(low)
-                parts[i] = (low if safe else text).split()
-        new = self.new
-        self._learn(set().union(*parts.values()).difference(new))
-        for i, own in parts.items():
-            out[i] = b"".join(map(new.__getitem__, own))
+                others[i] = low
+        for own, apart in ((marked, True), (others, False)):
+            if own:
+                at = list(own)
+                data, begins = joined(list(own.values()), apart)
+                own.clear()
+                for i, ids in zip(at, self._block(data, begins), strict=True):
+                    out[i] = ids
         return out
 
+    def _block(self, data: bytes, begins: np.ndarray) -> Iterator[bytes]:
+        """Ids of the texts that stand in data, one after the other."""
+        ends = np.append(begins, len(data)).astype(np.int64)
+        texts = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(data))
+        parts = pc.ascii_split_whitespace(texts)
+        numbered = parts.values.dictionary_encode()
+        words = numbered.dictionary.cast(pa.large_binary()).to_pylist()
+        self._learn(set(words).difference(self.new))
+        ids = pa.array(map(self.new.__getitem__, words), pa.large_binary()).take(numbered.indices)
+        _, offsets, found = ids.buffers()
+        at = np.frombuffer(offsets, np.int64)[parts.offsets.to_numpy()].tolist()
+        found = memoryview(found) if found else b""
+        return (bytes(found[a:b]) for a, b in zip(at, at[1:]))  # noqa: B905
+
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 

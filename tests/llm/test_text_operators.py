@@ -341,6 +341,33 @@ def test_words_and_marks_are_encoded_as_in_whole_texts(monkeypatch):
     fresh.ids([b"quite unseen letters, all small"])
 
 
+def test_words_of_a_block_are_looked_up_once():
+    """Texts of all kinds in one block keep their order; a word's ids are copied to all its places."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(word_tokenizer())
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    draw = random.Random(7)
+    kinds = ["", " ", "\n", "\t\x0b a\x0c\r\n", ",", "a", "A, b", " c. ", "×, d", "Ÿ, y", "日本 語,", "x\x1cy\u00a0z\u2003w", "\x85, e", "Word, " * 50]
+    kinds += [f"{a}{x}{b}" for x in added for a in ("", " f,") for b in ("", "g, h")]
+    texts = draw.choices(kinds, k=600)
+    encoder = token_store.WordEncoder(word_tokenizer())
+    assert encoder.ids([]) == []
+    for some in (texts, [""], ["", ""], [texts[-1]], [" ,"], ["日"]):
+        got = encoder.ids([t.encode() for t in some])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    encoder.new = Counted()
+    encoder.ids([b"one two, three. " * 1000, b"two one, three: " * 1000])
+    assert 0 < encoder.new.asked < 30
+
+
 # ---- pages --------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head>
